@@ -1,23 +1,311 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over the given tables, and their SQL.
+
+Documents stand for files (lang as language, source as project), conversations for
+samples; benchmark items for names to look for.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FLAGSHIP = "samples_by_language"
+from .functions import text as T
+from .functions.tokens import content_hash
+from .operators import dedup, quality, relations, statistics
+from .plans.config import Quality
+from .plans.generators import METADATA, TOOL, TURN
+from .sinks.formats import formatted
+from .sources import scan
+from .streaming import progress
+
+FLAGSHIP = "project_language_totals"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.coalesce("lang", F.lit("Unknown")).alias("language")).agg(F.count("*").alias("n"))
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the columns of a file table."""
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("file_pos"), F.col("source").alias("project"), F.col("lang").alias("language"),
+        F.octet_length(text).cast("long").alias("size_bytes"), T.line_count(text).alias("line_count"), text.alias("content"),
+    )
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in the columns of a sample table, in the order of conv_id."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    none = F.lit(None)
+    turns = F.transform("t", lambda t: F.struct(t["role"].alias("role"), F.coalesce(t["text"], F.lit("")).alias("content"), none.alias("tool_calls"), none.alias("tool_call_id"), none.alias("name")).cast(TURN))
+    tokens = F.aggregate("t", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(T.quarter_bytes(t["text"]), F.lit(0).cast("long")))
+    tier = F.when(F.size("t") <= 3, "Simple").when(F.size("t") <= 5, "Moderate").otherwise("Complex")
+    meta = F.struct(none.alias("language"), none.alias("symbol_name"), none.alias("symbol_kind"), tokens.alias("estimated_tokens"), tier.alias("complexity_tier")).cast(METADATA)
+    return rows.select(
+        F.sha2(F.col("conv_id").cast("string"), 256).alias("sample_key"), F.col("conv_id").alias("ord"), F.lit("conversations").alias("source_project"), F.array().cast("array<string>").alias("source_files"),
+        F.lit("MultiTurn").alias("sample_type"), turns.alias("conversation"), none.cast(f"array<{TOOL}>").alias("tools"), meta.alias("metadata"),
+    )
+
+
+LINES_SQL = "CASE WHEN {0} = '' THEN 0 ELSE length({0}) - length(replace({0}, chr(10), '')) + CASE WHEN ends_with({0}, chr(10)) THEN 0 ELSE 1 END END"
+TEXT_LINES = LINES_SQL.format("text")
+SPACE = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+@query(
+    f"""SELECT source AS project, lang AS language, count(*) AS file_count, sum({TEXT_LINES})::BIGINT AS total_lines, sum(strlen(text))::BIGINT AS total_bytes
+    FROM documents WHERE lang IS NOT NULL GROUP BY ALL"""
+)
+def project_language_totals(spark, sf_dir):
+    """Files, lines and bytes by project and language."""
+    own = files(spark, sf_dir).where("language is not null").groupBy("project", "language")
+    return own.agg(F.count("*").alias("file_count"), F.sum("line_count").alias("total_lines"), F.sum("size_bytes").alias("total_bytes"))
+
+
+@query(
+    f"""SELECT lang AS language, count(*) AS file_count, sum({TEXT_LINES})::BIGINT AS total_lines, sum(strlen(text))::BIGINT AS total_bytes, grouping(lang) = 1 AS is_total
+    FROM documents GROUP BY ROLLUP (lang) HAVING grouping(lang) = 1 OR lang IS NOT NULL"""
+)
+def language_totals(spark, sf_dir):
+    """R1 and R2 in one pass."""
+    return statistics.language_totals(files(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, {TEXT_LINES} AS n_lines, strlen(text) // 4 AS quarter, (strlen(text) * 10 // 35 + len(regexp_split_to_array(trim(regexp_replace(text, '{SPACE}+', ' ', 'g'), ' '), ' ')) * 13 // 10) // 2 AS estimated FROM documents WHERE regexp_matches(text, '[^\\s]')")
+def text_measures(spark, sf_dir):
+    """Lines and token estimates of each text that isn't blank."""
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").where(text.rlike(r"[^\t-\r ]")).select("doc_id", T.line_count(text).alias("n_lines"), T.quarter_bytes(text).alias("quarter"), T.estimated_tokens(text).alias("estimated"))
+
+
+@query()
+def content_hashes(spark, sf_dir):
+    """XXH3 of the content, and the first document with it."""
+    own = table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+    first = own.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
+    return own.join(first, "content_hash")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_doc FROM documents")
+def first_with_content(spark, sf_dir):
+    """Each document and the first with the same content."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return own.join(own.groupBy("h").agg(F.min("doc_id").alias("first_doc")), "h").select("doc_id", "first_doc")
+
+
+HEADER_SQL = "lower(array_to_string(string_split(text, chr(10))[1:20], chr(10)))"
+
+
+@query(f"SELECT doc_id, regexp_matches({HEADER_SQL}, '{quality.GENERATED_HEADER}') AS generated FROM documents")
+def generated_headers(spark, sf_dir):
+    """whether the first 20 lines say that a file is generated."""
+    return table(spark, sf_dir, "documents").select("doc_id", quality.is_generated(F.lit("x.txt"), F.col("text")).alias("generated"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, text, string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)) AS a FROM documents),
+    c AS (SELECT doc_id, text, len(a) AS n, len(list_filter(a, lambda x: regexp_matches(x, '^\\s*(//|#|/\\*|\\*)'))) AS k FROM l)
+    SELECT doc_id, text = '' OR (n <= 3 AND regexp_matches(lower(text), 'get|set|return self\\.')) OR (n > 5 AND k / n > 0.7) AS boilerplate FROM c"""
+)
+def boilerplate(spark, sf_dir):
+    """F8: short accessors and texts that are mostly comments."""
+    return table(spark, sf_dir, "documents").select("doc_id", quality.is_boilerplate(F.col("text")).alias("boilerplate"))
+
+
+TURNS_SQL = "SELECT conv_id, list(struct_pack(role := role, content := coalesce(text, '')) ORDER BY turn, role, text) AS c FROM conversations GROUP BY conv_id"
+
+
+@query(
+    f"""WITH s AS ({TURNS_SQL}), j AS (SELECT conv_id,
+      len(list_filter(c, lambda t: regexp_replace(t.content, '{SPACE}', '', 'g') = '')) > 0 AS blank,
+      list_filter(list_transform(c, lambda t: CASE WHEN t.role = 'assistant' THEN CASE WHEN strlen(t.content) // nullif({LINES_SQL.format("t.content")}, 0) > 200 THEN 'long lines'
+        WHEN NOT contains(t.content, '```') AND length(regexp_replace(t.content, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / greatest(length(t.content), 1) < 0.4 THEN 'few letters' END END), lambda r: r IS NOT NULL)[1] AS r FROM s)
+    SELECT conv_id, CASE WHEN blank THEN 'empty turn' ELSE r END AS reason FROM j"""
+)
+def sample_reasons(spark, sf_dir):
+    """F10 to F14 without token counts: the first reason to reject a sample."""
+    return samples(spark, sf_dir).select(F.col("ord").alias("conv_id"), quality.cheap_reason(F.col("conversation"), Quality()).alias("reason"))
+
+
+@query()
+def judged_samples(spark, sf_dir):
+    """Tokens of each sample and the first reason to reject it."""
+    return quality.with_reasons(samples(spark, sf_dir)).select(F.col("ord").alias("conv_id"), "tokens", "reject_reason")
+
+
+@query()
+def deduplicated_documents(spark, sf_dir):
+    """Documents that the keep-first rule keeps."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
+    return dedup.deduplicated(docs, F.col("text")).select(F.col("ord").alias("doc_id"))
+
+
+@query()
+def minhash_links(spark, sf_dir):
+    """Linked pairs of documents and their estimated similarity."""
+    signed = dedup._written(dedup.signatures(table(spark, sf_dir, "documents"), "doc_id"))
+    return dedup.links(dedup._written(dedup.firsts(signed)))
+
+
+def _json(x: str) -> str:
+    return f"to_json({x})::VARCHAR"
+
+
+ROLE_SQL = "CASE t.role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' WHEN 'system' THEN 'system' ELSE 'observation' END"
+IPY_SQL = "CASE WHEN t.role IN ('system', 'user', 'assistant') THEN t.role ELSE 'ipython' END"
+
+
+@query(f"""WITH s AS ({TURNS_SQL}) SELECT conv_id, '{{"messages":[' || array_to_string(list_transform(c, lambda t: '{{"content":' || {_json("t.content")} || ',"role":"' || t.role || '"}}'), ',') || ']}}' AS line FROM s""")
+def format_openai(spark, sf_dir):
+    """W1."""
+    return formatted(samples(spark, sf_dir), "OpenAI", with_tools=False).select(F.col("ord").alias("conv_id"), "line")
+
+
+@query(f"""WITH s AS ({TURNS_SQL}) SELECT conv_id, '{{"text":' || to_json(array_to_string(list_transform(c, lambda t: '<|im_start|>' || t.role || chr(10) || t.content || '<|im_end|>' || chr(10)), ''))::VARCHAR || '}}' AS line FROM s""")
+def format_chatml(spark, sf_dir):
+    """W2."""
+    return formatted(samples(spark, sf_dir), "ChatML", with_tools=False).select(F.col("ord").alias("conv_id"), "line")
+
+
+@query(f"""WITH s AS ({TURNS_SQL}) SELECT conv_id, '{{"text":' || to_json('<|begin_of_text|>' || array_to_string(list_transform(c, lambda t: '<|start_header_id|>' || {IPY_SQL} || '<|end_header_id|>' || chr(10) || chr(10) || t.content || '<|eot_id|>' || chr(10)), ''))::VARCHAR || '}}' AS line FROM s""")
+def format_llama(spark, sf_dir):
+    """W3."""
+    return formatted(samples(spark, sf_dir), "Llama4", with_tools=False).select(F.col("ord").alias("conv_id"), "line")
+
+
+@query(f"""WITH s AS ({TURNS_SQL}), f AS (SELECT *, list_filter(c, lambda t: t.role = 'system')[1].content AS sys, list_position(list_transform(c, lambda t: t.role), 'user') AS u FROM s)
+    SELECT conv_id, '{{"text":' || to_json('<s>' || array_to_string(list_transform(c, lambda t, i: CASE t.role WHEN 'system' THEN '' WHEN 'user' THEN '[INST] ' || CASE WHEN i = u AND sys IS NOT NULL THEN sys || chr(10) || chr(10) ELSE '' END || t.content || ' [/INST]'
+      WHEN 'assistant' THEN t.content || '</s>' ELSE '[TOOL_RESULTS] {{"id": "unknown", "content": ' || to_json(t.content)::VARCHAR || '}}[/TOOL_RESULTS]' END), ''))::VARCHAR || '}}' AS line FROM f""")
+def format_mistral(spark, sf_dir):
+    """W4."""
+    return formatted(samples(spark, sf_dir), "Mistral", with_tools=False).select(F.col("ord").alias("conv_id"), "line")
+
+
+@query(f"""WITH s AS ({TURNS_SQL}) SELECT conv_id, '{{"conversations":[' || array_to_string(list_transform(c, lambda t: '{{"from":"' || {ROLE_SQL} || '","value":' || to_json(t.content)::VARCHAR || '}}'), ',') || ']}}' AS line FROM s""")
+def format_sharegpt(spark, sf_dir):
+    """W5."""
+    return formatted(samples(spark, sf_dir), "ShareGPT", with_tools=False).select(F.col("ord").alias("conv_id"), "line")
+
+
+@query(f"""WITH s AS ({TURNS_SQL}), p AS (SELECT conv_id, coalesce(list_filter(c, lambda t: t.role = 'system')[-1].content, '') AS sys, coalesce(list_filter(c, lambda t: t.role = 'assistant')[-1].content, '') AS a,
+      array_to_string(list_transform(list_filter(c, lambda t: t.role = 'user'), lambda t: t.content), chr(10) || chr(10)) AS u FROM s)
+    SELECT conv_id, '{{"input":' || to_json(CASE WHEN sys = '' THEN '' ELSE u END)::VARCHAR || ',"instruction":' || to_json(CASE WHEN sys = '' THEN u ELSE sys END)::VARCHAR || ',"output":' || to_json(a)::VARCHAR || '}}' AS line FROM p""")
+def format_alpaca(spark, sf_dir):
+    """W6."""
+    return formatted(samples(spark, sf_dir), "Alpaca", with_tools=False).select(F.col("ord").alias("conv_id"), "line")
+
+
+@query(f"""WITH s AS ({TURNS_SQL}) SELECT conv_id, '{{"middle":' || to_json(coalesce(list_filter(c, lambda t: t.role = 'assistant')[1].content, ''))::VARCHAR || ',"prefix":' || to_json(coalesce(list_filter(c, lambda t: t.role = 'user')[1].content, ''))::VARCHAR || ',"suffix":""}}' AS line FROM s""")
+def format_fill_in(spark, sf_dir):
+    """W7 on samples without a marker: prefix, middle and an empty suffix."""
+    own = samples(spark, sf_dir).withColumn("sample_type", F.lit("CodeCompletion"))
+    return formatted(own, "OpenAI", with_tools=False).select(F.col("ord").alias("conv_id"), "line")
+
+
+@query(
+    """WITH s AS (SELECT conv_id, count(*) AS k FROM conversations GROUP BY 1), t AS (SELECT CASE WHEN k <= 3 THEN 'Simple' WHEN k <= 5 THEN 'Moderate' ELSE 'Complex' END AS tier FROM s)
+    SELECT 'complexity' AS dimension, tier AS key, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT 'type', 'MultiTurn', count(*) FROM t HAVING count(*) > 0 UNION ALL SELECT 'language', 'Unknown', count(*) FROM t HAVING count(*) > 0"""
+)
+def sample_counts(spark, sf_dir):
+    """Samples by type, language and complexity."""
+    return statistics.counts(samples(spark, sf_dir))
+
+
+@query(
+    """WITH s AS (SELECT conv_id, sum(coalesce(strlen(text) // 4, 0))::BIGINT AS v FROM conversations GROUP BY 1), a AS (SELECT list(v ORDER BY v) AS l FROM s)
+    SELECT len(l)::BIGINT AS n, list_sum(l)::BIGINT AS sum, l[1] AS min, l[-1] AS max, (list_sum(l) // len(l))::BIGINT AS mean, l[len(l) // 2 + 1] AS median,
+    l[floor((len(l) - 1) * 0.9)::BIGINT + 1] AS p90, l[floor((len(l) - 1) * 0.99)::BIGINT + 1] AS p99 FROM a"""
+)
+def token_statistics(spark, sf_dir):
+    """Order statistics of the samples' token estimates."""
+    return statistics.order_statistics(samples(spark, sf_dir).select(F.col("metadata.estimated_tokens").alias("v")), "v")
+
+
+@query(
+    """WITH h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text))
+    SELECT item_id, n::INT AS n, doc_id FROM h WHERE n <= 3"""
+)
+def first_mentions(spark, sf_dir):
+    """The first three documents that contain each benchmark text."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("name"))
+    hits = relations.mentions(items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+    ranked = items.join(hits, "name").withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy("path")))
+    return ranked.where("n <= 3").select("item_id", "n", F.col("path").alias("doc_id"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*)/[^/]*$', 1) AS dir FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY page_id) AS n FROM p)
+    SELECT dir, array_to_string(list(page_id ORDER BY page_id), ',') AS siblings FROM r WHERE n <= 10 GROUP BY dir"""
+)
+def page_siblings(spark, sf_dir):
+    """The first ten pages of each folder."""
+    path = F.regexp_replace("url", "[?#].*$", "")
+    own = table(spark, sf_dir, "pages").select(T.parent_dir(path).alias("dir"), "page_id")
+    ranked = own.withColumn("n", F.row_number().over(Window.partitionBy("dir").orderBy("page_id"))).where("n <= 10")
+    return ranked.groupBy("dir").agg(F.array_join(F.transform(F.sort_array(F.collect_list("page_id")), lambda x: x.cast("string")), ",").alias("siblings"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def not_yet_labelled(spark, sf_dir):
+    """Documents without a label."""
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT d.doc_id, source, quality FROM documents d JOIN labels USING (doc_id)")
+def labelled_documents(spark, sf_dir):
+    """Labels with their documents' sources."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("SELECT conv_id, text FROM conversations WHERE turn = 0 ORDER BY conv_id LIMIT 20 OFFSET 10")
+def preview_page(spark, sf_dir):
+    """A page of first turns."""
+    return table(spark, sf_dir, "conversations").where("turn = 0").orderBy("conv_id").offset(10).limit(20).select("conv_id", "text")
+
+
+@query("SELECT user_id, event_type, count(*) AS n, max(struct_pack(ts := ts, event_id := event_id, value := value)).ts AS ts, max(struct_pack(ts := ts, event_id := event_id, value := value)).event_id AS event_id, max(struct_pack(ts := ts, event_id := event_id, value := value)).value AS value FROM events GROUP BY ALL")
+def latest_events(spark, sf_dir):
+    """The last event of each kind and user."""
+    return progress.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], "value")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def hourly_events(spark, sf_dir):
+    """Events by hour and kind, the batch form of the stream."""
+    return progress.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type").withColumn("total", F.round("total", 6))
+
+
+@query("SELECT doc_id, lower(regexp_replace(source || ' ' || lang || '!', '[^\\p{L}\\p{N}-]', '_', 'g')) AS safe, replace(replace(replace(replace(left(text, 80), '\"', '\\\"'), chr(10), ' '), chr(13), ''), ':', ' -') AS escaped FROM documents")
+def names_and_yaml(spark, sf_dir):
+    """K2, K5: file-safe names, and the start of each text escaped for YAML."""
+    name = F.concat("source", F.lit(" "), "lang", F.lit("!"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.safe_name(name).alias("safe"), T.yaml_escaped(F.substring("text", 1, 80)).alias("escaped"))
+
 
+@query("SELECT source, count(*) AS n, CASE WHEN count(*) < 1000 THEN 'n<1K' WHEN count(*) < 10000 THEN '1K<n<10K' WHEN count(*) < 100000 THEN '10K<n<100K' WHEN count(*) < 1000000 THEN '100K<n<1M' ELSE '1M<n<10M' END AS bucket FROM documents GROUP BY 1")
+def size_buckets(spark, sf_dir):
+    """K6: size category of each source."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("bucket", T.size_bucket(F.col("n")))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"samples_by_language": samples_by_language}
 
-SQL: dict[str, str] = {"samples_by_language": "SELECT coalesce(lang, 'Unknown') AS language, count(*) AS n FROM documents GROUP BY 1"}
+@query()
+def descriptions(spark, sf_dir):
+    """The first sentences of each text read as Markdown."""
+    return scan.description(table(spark, sf_dir, "documents"), "text").select("doc_id", "description")
