@@ -87,6 +87,72 @@ SELECT sizes.doc_id, sizes.n AS n_shingles, c.component_id, sizes.doc_id = c.com
 FROM sizes JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
+_ASSIGN = secrets.ASSIGN.replace("'", "''")
+_LIKE = r"""length({0}) >= 16 AND regexp_matches({0}, '[0-9]') AND regexp_matches({0}, '[A-Za-z]') AND len(list_distinct(string_split({0}, ''))) >= 9
+  AND NOT regexp_matches({0}, '(?i)example|sample|changeme|placeholder|your|dummy|xxxx|1234567|abcdef01')
+  AND len(list_filter(range(1, length({0}) - 4), lambda i: lower({0}[i:i + 5]) = repeat(lower({0}[i:i]), 6))) = 0"""
+_STRING = "coalesce(string_agg(CASE k WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'bare' END || ':' || s || ':' || e, ',' ORDER BY s, k)%s, '')"
+OP5_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT r, source, 0 AS k, 6 AS least, regexp_extract_all(t, '{_ASSIGN}', 0) AS m, regexp_extract_all(t, '{_ASSIGN}', 2) AS v, string_split_regex(t, '{_ASSIGN}') AS g FROM d
+  UNION ALL SELECT r, source, 1, 20, regexp_extract_all(t, '{secrets.ACCESS}', 0) AS m, m, string_split_regex(t, '{secrets.ACCESS}') FROM d
+  UNION ALL SELECT r, source, 2, 24, regexp_extract_all(t, '[0-9a-f]{{24,}}', 0) AS m, m, string_split_regex(t, '[0-9a-f]{{24,}}') FROM d
+  UNION ALL SELECT r, source, 3, 20, regexp_extract_all(t, '{secrets.BARE}', 0) AS m, m, string_split_regex(t, '{secrets.BARE}') FROM d),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0),
+spans AS (
+  SELECT r, source, k, v[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s, length(m[i]) AS n, least FROM each),
+hits AS (SELECT r, source, k, v, s, s + n AS e, {_LIKE.format("v")} AS random FROM spans WHERE length(v) >= least),
+base AS (SELECT * FROM hits WHERE k < 3),
+counts AS (SELECT v, CASE WHEN count(DISTINCT source) >= 3 THEN 'widespread' WHEN any_value(random) THEN 'live' ELSE 'weak' END AS verdict FROM base GROUP BY v),
+bare AS (SELECT * FROM hits h WHERE k = 3 AND random AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = h.r AND b.s < h.e AND h.s < b.e)),
+told AS (SELECT a.*, verdict FROM (SELECT * FROM base UNION ALL SELECT * FROM bare) a LEFT JOIN counts USING (v) WHERE k < 3 OR verdict = 'live'),
+rows_ AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {_STRING % " FILTER (k < 3)"} AS b, {_STRING % ""} AS spans,
+    count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'widespread') AS n_widespread FROM told GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_widespread, 0) AS n_widespread
+FROM d LEFT JOIN rows_ USING (r)
+"""
+
+_ENTROPY = "ln(list_sum(list_transform(p, lambda x: pow(x, {0})))) - {0} * list_sum(list_transform(p, lambda x: pow(x, {0}) * ln(x))) / list_sum(list_transform(p, lambda x: pow(x, {0})))"
+_REPEATS = "pow(list_min(p), {0}) / list_sum(list_transform(p, lambda x: pow(x, {0}))) / list_min(p)"
+OP6_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS key, coalesce(ceil(strlen(text) / 4), 0)::BIGINT AS tokens, coalesce(doc_id::VARCHAR, '') AS name FROM documents),
+totals AS (SELECT key, sum(tokens)::BIGINT AS total FROM d GROUP BY 1 HAVING sum(tokens) > 0),
+one AS (SELECT list(total / t ORDER BY key) AS p, any_value(t) AS t FROM totals, (SELECT sum(total)::DOUBLE AS t FROM totals)),
+search AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS lo2, 1.0::DOUBLE AS hi2, p, t, greatest({mixing.ENTROPY_SHARE} * ln(len(p)), {_ENTROPY.format("1.0")} + 1e-12) AS aim FROM one
+  UNION ALL
+  SELECT i + 1, CASE WHEN g THEN lo ELSE m END, CASE WHEN g THEN m ELSE hi END, CASE WHEN g2 THEN lo2 ELSE m2 END, CASE WHEN g2 THEN m2 ELSE hi2 END, p, t, aim
+  FROM (SELECT *, {_ENTROPY.format("m")} <= aim AS g, {_REPEATS.format("m2")} <= {mixing.MOST_REPEATS} AS g2 FROM (SELECT *, (lo + hi) / 2 AS m, (lo2 + hi2) / 2 AS m2 FROM search WHERE i < {mixing.TURNS}))),
+alpha AS (SELECT greatest(hi, hi2) AS a, p, t FROM search WHERE i = {mixing.TURNS}),
+plan AS (
+  SELECT *, floor(target / total + 1e-9)::INT AS whole FROM (
+    SELECT key, total, pow(total / t, a) / list_sum(list_transform(p, lambda x: pow(x, a))) AS weight, weight * t AS target FROM totals, alpha)),
+read AS (
+  SELECT *, md5('1:' || epoch || ':' || name) AS ord FROM (
+    SELECT *, unnest(range(0, 1 + CASE WHEN tokens > 0 THEN greatest(CASE WHEN target - whole * total >= 1 THEN whole ELSE whole - 1 END, 0) ELSE 0 END))::INT AS epoch FROM d JOIN plan USING (key))),
+placed AS (SELECT *, epoch * total + sum(tokens) OVER (PARTITION BY key, epoch ORDER BY ord ROWS UNBOUNDED PRECEDING) AS upto FROM read),
+kept AS (SELECT *, floor((upto - tokens) / greatest(weight * {mixing.BLOCK_TOKENS}, 1.0))::BIGINT AS block FROM placed WHERE epoch < whole OR tokens = 0 OR upto <= target)
+SELECT doc_id, source, tokens, epoch, block, row_number() OVER (PARTITION BY block ORDER BY ord, epoch, key) - 1 AS position FROM kept
+"""
+
+OP9_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+fine AS MATERIALIZED (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM fine a JOIN fine b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reach(r, t) AS (SELECT r, r FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.t),
+c AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.t GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c USING (r) LEFT JOIN (SELECT a AS r, count(*) AS n FROM links GROUP BY 1) USING (r)
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
@@ -103,4 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
+    "op5_secret_scan": OP5_SQL,
+    "op6_temperature_mixing": OP6_SQL,
+    "op9_embedding_near_dedup": OP9_SQL,
 }
