@@ -13,7 +13,8 @@
 4. Each page is read again without its low-importance branches. Where the page
    marks its article, its text is what stands there; the article's own plain
    paragraphs, lists and headings are protected, because copies of one article
-   on a host say nothing about noise.
+   on a host say nothing about noise; so is what the article stands in, and the
+   page's body as such.
 
 Copies of a page count once. Statistics are grouped counts of hashes; a host's
 result is its set of low-importance nodes, which its template bounds.
@@ -212,8 +213,14 @@ class Page:
         """Blocks left without noise and the host's low-importance places."""
         article = any(n.main and not n.noise and n.start < n.end for n in self.nodes)
         gone: dict[int, bool] = {}
+        around: set[int] = set()  # what an article stands in
         for n in self.nodes:
-            shielded = n.main and (n.tag in PLAIN and not n.named or not n.parent.main)
+            if n.main and not n.parent.main:
+                while n.parent and id(n.parent) not in around:
+                    n = n.parent
+                    around.add(id(n))
+        for n in self.nodes:
+            shielded = n.main and (n.tag in PLAIN and not n.named or not n.parent.main) or id(n) in around or n.tag in ("#page", "html", "body")
             own = n.noise or n.place - 2**63 in low and not shielded
             gone[id(n)] = own or n.parent is not None and gone[id(n.parent)]
         return "\n".join(t for n, t in self.blocks if not gone[id(n)] and (n.main or not article))
