@@ -111,9 +111,37 @@ def removed(edges: DataFrame) -> DataFrame:
             return state.where("not kept").select(F.col("n").alias("ord"))
 
 
+def removed_by_rounds(first: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(ord) that the keep-first rule removes, without all pairs of a bucket.
+
+    Rounds over the open rows of buckets: a row that is the earliest open one in all
+    of its buckets is kept, as whatever could remove it is settled. It is compared
+    with the open rows of its buckets and removes those that link; both leave. So m
+    near copies of a row cost m comparisons, not m squared. The earliest open row is
+    always settled, so rounds end.
+    """
+    rows = first.select(F.col("i").alias("ord"), F.posexplode("bands").alias("band", "h"))
+    signed = first.select(F.col("i").alias("ord"), "signature")
+    open_, gone = rows, None
+    while True:
+        low = open_.groupBy("band", "h").agg(F.min("ord").alias("low"), F.count("*").alias("n")).where("n > 1")
+        open_ = _written(open_.select("ord", "band", "h").join(low, ["band", "h"]))
+        if open_.isEmpty():
+            break
+        kept = _written(open_.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("low")).alias("kept")).where("kept").select("ord"))
+        lead = open_.join(kept, "ord").select(F.col("ord").alias("i"), "band", "h")
+        pairs = lead.join(open_.select(F.col("ord").alias("j"), "band", "h"), ["band", "h"]).where("i < j").select("i", "j").distinct()
+        same = F.aggregate(F.zip_with("s", "t", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, v: n + v)
+        near = pairs.join(signed.toDF("i", "s"), "i").join(signed.toDF("j", "t"), "j").where(same / F.lit(float(PERMUTATIONS)) >= threshold)
+        now = _written(near.select(F.col("j").alias("ord")).distinct())
+        gone = now if gone is None else gone.union(now)
+        open_ = open_.join(kept.union(now), "ord", "left_anti")
+    return gone if gone is not None else signed.select("ord").limit(0)
+
+
 def deduplicated(samples: DataFrame, text, ord_col: str = "ord", threshold: float = THRESHOLD) -> DataFrame:
     """``samples`` without those that the rule removes; ``text`` is a column."""
     signed = _written(signatures(samples.select(F.col(ord_col).alias("ord"), text.alias("text"))))
     first = _written(firsts(signed))
-    gone = removed(links(first, threshold)).union(signed.join(first, signed.ord == first.i, "left_anti").select("ord"))
+    gone = removed_by_rounds(first, threshold).union(signed.join(first, signed.ord == first.i, "left_anti").select("ord"))
     return samples.join(gone.withColumnRenamed("ord", ord_col), ord_col, "left_anti")

@@ -212,6 +212,8 @@ def test_dedup_equals_loop(spark, sf):
             if x not in gone and y not in gone and banded and (s == t).mean() >= 0.85:
                 gone.add(y)
     assert got == {o for o, _ in rows} - gone
+    first = dedup.firsts(dedup.signatures(docs, "ord"))
+    assert {r.ord for r in dedup.removed(dedup.links(first)).collect()} == {r.ord for r in dedup.removed_by_rounds(first).collect()}
 
 
 def test_reasons(spark):
