@@ -197,8 +197,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     asked = written(asked.join(entries.select("v", "rep"), "v").select("vec_id", "rep"))
     queries = entries.select("rep", "v").join(asked.select("rep").distinct(), "rep", "left_semi")
 
-    left = written(_blocks(entries.select("rep", "v"), BLOCK_ROWS, quantiser))
-    right = written(_blocks(queries, BLOCK_QUERIES, None))
+    # full blocks: as many partitions as there are blocks
+    parts = lambda df, size: df.repartition(max(1, -(-df.count() // size)))
+    left = written(_blocks(parts(entries.select("rep", "v"), BLOCK_ROWS), BLOCK_ROWS, quantiser))
+    right = written(_blocks(parts(queries, BLOCK_QUERIES), BLOCK_QUERIES, None))
     # the stated queries against all rows: blocks meet blocks, not rows rows
     met = left.crossJoin(right.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.xxhash64("ids").alias("q")))
 
