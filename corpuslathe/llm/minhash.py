@@ -9,12 +9,13 @@ Plan
 1. One pass over the texts: shingle set, its size and 64-bit fingerprint, the
    band hashes and a 128-bit sketch of the signature. Written as a table.
 2. Equal sets meet by fingerprint; only one of each set goes on.
-3. Each bucket of a band has a leader (its smallest fingerprint). Pairs of a
-   member and its leader are verified on full sets, and the links give first
-   components. A group of m near copies costs m pairs here, not m squared.
-4. Members of a bucket that are still in another component than the leader meet
-   every member of that bucket that is in another component than their own, so
-   that no bucket is cut short; the sketch and the sizes sift inside the join.
+3. In buckets of up to ``SMALL_BUCKET`` members every pair that the sketch and the
+   sizes allow is verified on full sets, each pair once; links give components.
+4. In larger buckets a leader out of the largest component so far is verified
+   against the members outside it, in a few rounds: a group of m near copies costs
+   m pairs a round, not m squared. Then the members still outside meet every member
+   of their bucket in another component than their own, in a join whose condition
+   is the similarity itself, so that only links come out and no bucket is cut short.
 5. Components over all verified links.
 
 Buckets are never capped. A set pair with similarity 0.75 is missed by all bands
@@ -40,6 +41,8 @@ BAND_ROWS = 5
 SKETCH_BITS = 128
 #: Agreement of 1-bit values at J = 0.75 differs in 16 of 128 bits with standard deviation 3.7.
 SKETCH_SLACK = 36
+#: Buckets up to this size are compared in full; leader rounds in the larger ones.
+SMALL_BUCKET, ROUNDS = 32, 2
 WORDS_HELD = 400_000
 WORDS_AT_ONCE = 120_000
 
@@ -198,6 +201,28 @@ def _near(x: str, y: str, percent: int):
     return (differ <= SKETCH_SLACK) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of those found so far and further links."""
+    links = written(links)
+    if found is None:
+        return connected_components(links)
+    return found if links.isEmpty() else connected_components(found.where("id <> component").toDF("a", "b").union(links))
+
+
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Bucket rows with their component so far, c."""
+    to = found.select(F.col("id").alias("_id"), "component")
+    return rows.join(to, F.col("r.fp") == F.col("_id"), "left").select("band", "r", F.coalesce("component", "r.fp").alias("c"))
+
+
+def _tops(placed: DataFrame, turn: int) -> DataFrame:
+    """(band, tc, l): the largest component of each bucket that holds several, and
+    one member of it, another each turn."""
+    parts = placed.groupBy("band", "c").agg(F.count("*").alias("n"), F.min_by("r", F.xxhash64("r.fp", F.lit(turn))).alias("l"))
+    tops = parts.groupBy("band").agg(F.max(F.struct("n", "c", "l")).alias("t"), F.count("*").alias("parts")).where("parts > 1")
+    return tops.select("band", F.col("t.c").alias("tc"), F.col("t.l").alias("l"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -213,37 +238,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands")
     )
     rows = reps.select("fp", F.struct("fp", "n", "s1", "s2").alias("r"), F.explode("bands").alias("band"))
-    leaders = rows.groupBy("band").agg(F.min("r").alias("l"), F.count("*").alias("members")).where("members > 1").drop("members")
-    shared = written(rows.join(leaders, "band").select("band", "r", "l"))
+    full = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = written(rows.join(full, "band").select("band", "r", "members"))
     ids = shared.select(F.col("r.fp").alias("fp")).distinct()
     wanted = table.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(ids, "fp", "left_semi").select("doc_id").distinct()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = written(_set_table(source.join(wanted, source.doc_id.eqNullSafe(wanted.doc_id), "left_semi")).dropDuplicates(["fp"]))
 
-    first = shared.where("r.fp <> l.fp").where(_near("r", "l", percent)).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
-    links = written(_verified(first, sets, percent))
-    found = connected_components(links)
-
-    def part_of(df: DataFrame, col: str, name: str) -> DataFrame:
-        to = found.select(F.col("id").alias("_id"), F.col("component").alias("_c"))
-        return df.join(to, F.col(col) == F.col("_id"), "left").withColumn(name, F.coalesce("_c", F.col(col))).drop("_id", "_c")
-
-    placed = part_of(part_of(shared, "r.fp", "c"), "l.fp", "lc")
-    mixed = placed.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band")
-    placed = written(placed.join(mixed, "band", "left_semi"))
-    out, all_ = placed.where("c <> lc").alias("o"), placed.alias("m")
-    rest = (
-        out.join(
-            all_,
-            (F.col("o.band") == F.col("m.band")) & (F.col("o.c") != F.col("m.c")) & (F.col("m.r.fp") != F.col("m.l.fp"))
-            & ((F.col("m.c") == F.col("m.lc")) | (F.col("o.r.fp") < F.col("m.r.fp"))) & _near("o.r", "m.r", percent),
+    x, y = shared.where(F.col("members") <= SMALL_BUCKET).alias("x"), shared.where(F.col("members") <= SMALL_BUCKET).alias("y")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.r.fp") < F.col("y.r.fp")) & _near("x.r", "y.r", percent))
+    found = _joined(None, _verified(pairs.select(F.col("x.r.fp").alias("a"), F.col("y.r.fp").alias("b")).distinct(), sets, percent))
+
+    large = written(shared.where(F.col("members") > SMALL_BUCKET).select("band", "r"))
+    if not large.isEmpty():
+        for turn in range(ROUNDS):
+            placed = written(_placed(large, found))
+            outside = placed.join(_tops(placed, turn), "band").where("c <> tc").where(_near("r", "l", percent))
+            pairs = outside.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
+            found = _joined(found, _verified(pairs, sets, percent))
+        placed = written(_placed(large, found))
+        placed = placed.join(_tops(placed, ROUNDS).select("band", "tc"), "band")
+        placed = written(placed.join(sets.select(F.col("fp").alias("_fp"), "shingles"), F.col("r.fp") == F.col("_fp")).select("band", "r", "c", "tc", "shingles"))
+        both = F.size(F.array_intersect("o.shingles", "m.shingles"))
+        rest = placed.where("c <> tc").alias("o").join(
+            placed.alias("m"),
+            (F.col("o.band") == F.col("m.band")) & (F.col("o.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.tc")) | (F.col("o.r.fp") < F.col("m.r.fp")))
+            & _near("o.r", "m.r", percent) & ((100 + percent) * both >= percent * (F.col("o.r.n") + F.col("m.r.n"))),
         )
-        .select(F.least("o.r.fp", "m.r.fp").alias("a"), F.greatest("o.r.fp", "m.r.fp").alias("b"))
-        .distinct()
-    )
-    more = written(_verified(rest, sets, percent))
-    if not more.isEmpty():
-        found = connected_components(found.where("id <> component").toDF("a", "b").union(more))
+        found = _joined(found, rest.select(F.col("o.r.fp").alias("a"), F.col("m.r.fp").alias("b")).distinct())
     nodes = table.select("doc_id", "n_shingles", "fp").join(found.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     first_id = nodes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("first_id"))
     return nodes.join(first_id, "c", "left").select(
