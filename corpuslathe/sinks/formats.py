@@ -189,3 +189,20 @@ def formatted(samples: DataFrame, style: str, with_tools: bool = True) -> DataFr
     own = samples.withColumns({"_calls": calls, "_tools": tools})
     line = _WRITERS[style](conversation, F.col("_tools"), F.col("_calls"))
     return own.withColumn("line", F.when(F.col("sample_type") == "CodeCompletion", _fim(conversation, style)).otherwise(line)).drop("_calls", "_tools")
+
+
+# The catalogue of formats.
+CATALOGUE = [
+    ("OpenAI", "OpenAI Chat", "messages array with tool_calls. Universal standard.", ["GPT-OSS", "General"]),
+    ("ChatML", "ChatML / Hermes", "im_start/im_end delimiters with <tools> XML tags.", ["Qwen3", "Qwen3.5", "Phi-4"]),
+    ("Llama4", "Llama 4", "header_start/header_end tokens with pythonic tool calls.", ["Llama Scout", "Llama Maverick"]),
+    ("Mistral", "Mistral", "INST control tokens with JSON tool_calls.", ["Mistral Small", "Mistral Large"]),
+    ("ShareGPT", "ShareGPT", "Legacy conversations format for LlamaFactory/Unsloth.", ["LlamaFactory", "Unsloth"]),
+    ("Alpaca", "Alpaca", "Simple instruction/input/output triplets.", ["Any instruction-tuned model"]),
+]
+
+
+def catalogue(spark) -> DataFrame:
+    """(format, name, description, models, supports_tools) of the six formats."""
+    rows = [(*r, TOOL_SUPPORT[r[0]]) for r in CATALOGUE]
+    return spark.createDataFrame(rows, "format string, name string, description string, models array<string>, supports_tools boolean")

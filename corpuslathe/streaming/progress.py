@@ -21,5 +21,5 @@ def completed_phases(log: DataFrame) -> DataFrame:
     """(run, phase, started, completed, percent) from events (run, seq, event, phase,
     current, total); percent 0 where the total is 0."""
     is_ = lambda e: F.count_if(F.col("event") == e) > 0
-    step = F.max_by(F.when(F.col("total") > 0, F.floor(100 * F.col("current") / F.col("total"))).otherwise(0), F.when(F.col("event") == "progress", F.col("seq")))
+    step = F.max_by(F.when(F.col("total") > 0, F.floor(100 * F.col("current") / F.col("total") + 0.5)).otherwise(0), F.when(F.col("event") == "progress", F.col("seq")))
     return log.groupBy("run", "phase").agg(is_("started").alias("started"), is_("completed").alias("completed"), F.coalesce(step, F.lit(0)).cast("int").alias("percent"))

@@ -230,3 +230,24 @@ def test_reasons(spark):
     df = spark.createDataFrame(rows, f"ord long, conversation array<{TURN}>")
     got = [r.reject_reason for r in quality.with_reasons(df).orderBy("ord").collect()]
     assert got[1:] == list(cases)[1:], got
+
+
+def test_session(spark, tree, tmp_path):
+    from corpuslathe.plans.session import Session, shown_bytes, suggested_name
+
+    s = Session(spark, str(tmp_path))
+    p = s.scan(str(tree))
+    assert p.project_type == "python" and p.description.startswith("A small tree") and p.totals.file_count == 10
+    assert s.describe(p.id, "new").tables.description == "new" and s.get(p.id).description == "new"
+    assert s.languages(p.id).first().language == "Python" and s.formats().count() == 6
+    with pytest.raises(ValueError):
+        s.update_config(formats=("None",))
+    s.update_config(enabled_types=("CodeQA", "Documentation"))
+    result = s.run(p.id)
+    assert s.status["state"] == "complete" and result.kept.count() > 0
+    assert sum(r.n for r in s.rejected(result).collect()) == result.judged.where("reject_reason is not null").count()
+    counts, tokens = s.statistics(result.kept)
+    assert tokens.n == result.kept.count() == sum(r.n for r in counts.where("dimension = 'type'").collect())
+    assert s.preview(result.kept, 0, 2).count() == 2
+    assert spark.read.text(s.publish(p.id, result.kept, "mit") + "/card").count() > 10
+    assert suggested_name("My Tool!!") == "my-tool-training-data" and shown_bytes(2048) == "2.0 KB"
