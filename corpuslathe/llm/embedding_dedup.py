@@ -29,9 +29,10 @@ from .common import connected_components, written
 
 COSINE = 0.98
 FIT_ROWS = 16_384
-SHARD_ROWS = 1500
+#: Rows that a task holds. A label that fits is one shard; others are split into shards of about SHARD_ROWS, which leaves room for the overlap.
+CHUNK = 8192
+SHARD_ROWS = 4096
 MOST_CENTRES = 256
-CHUNK = 2048
 NEAR, FAR, DEGREE, LONG = 64, 24, 24, 8
 ALPHA = 1.2
 BEAM = 12
@@ -178,8 +179,9 @@ def _tasks(nodes: DataFrame, cosine: float) -> DataFrame:
         sizes = [len(a) for a in v]
         dim = max(sorted(set(sizes)), key=sizes.count)
         x = np.array([a for a in v if len(a) == dim])
-        k = min(MOST_CENTRES, len(x) // 8, round(len(x) / len(sample) * n / SHARD_ROWS))
-        if k > 1:
+        own = len(x) / len(sample) * n  # the label's nodes, about
+        k = min(MOST_CENTRES, len(x) // 8, round(own / SHARD_ROWS))
+        if own > CHUNK and k > 1:
             fitted[label] = centres(x / np.linalg.norm(x, axis=1)[:, None], k)
     shared = spark.sparkContext.broadcast(fitted)
 
