@@ -46,7 +46,9 @@ SIGNS = [ord(c) for c in "!?#$%&*@^~|"]
 _TRIPLE = re.compile(r"(.)\1\1").search
 _LETTER = re.compile(r"[^\W\d_]").search
 LEET = str.maketrans("013457@$!|€", "oieastasile")
-HIT, FIXED, SECOND, CAPS, PUNCT, ODD, DIGITS = (1 << b for b in range(16, 23))
+HIT, FIXED, SECOND, CAPS, PUNCT, ODD, DIGITS, KNOWN = (1 << b for b in range(16, 24))
+_EDGES = ".,;:!?\"'()[]{}<>|*#$%&-_/~"
+_FLAGS = {w: FIXED * (w in INSULTS) | SECOND * (w in SECOND_PERSON) for w in INSULTS | SECOND_PERSON}
 FEATURES = (
     "log_words", "weight_rate", "hit_rate", "log_hits", "best", "second_best", "log_distinct", "window", "fixed_rate", "log_fixed", "second_rate",
     "near_second", "caps_rate", "upper_share", "bang_rate", "punct_rate", "punct_share", "odd_rate", "digit_rate", "hit_caps",
@@ -92,27 +94,56 @@ class Tokens(dict):
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
+        self.heads = {t[:3] for t in weights}
 
     def __missing__(self, token: str) -> int:
         if len(self) >= TOKENS_HELD:
             self.clear()
+        self[token] = value = self.value(token, self.weights.get)
+        return value
+
+    def value(self, token: str, get) -> int:
+        word = token.lower().strip(_EDGES)
+        if not word.isalpha() or _TRIPLE(word):
+            return self.odd_value(token, get)
+        value = _FLAGS.get(word, 0)
+        if word[:3] in self.heads:
+            found = [w for t in terms_of(word) if (w := get(t)) is not None]
+            if found:
+                best = max(found)
+                value |= round(100 * best) | KNOWN | HIT * (best > 0)
+        return value | CAPS * (len(word) > 1 and token.isupper()) | PUNCT * (len(token) - len(word) > 1)
+
+    def odd_value(self, token: str, get) -> int:
         word = core(token)
-        get = self.weights.get
-        best = max([get(t, 0.0) for t in terms_of(word)], default=0.0)
         alpha, odd = word.isalpha(), 0
         other = word if alpha and not _TRIPLE(word) else plain(word)
+        found = [w for t in terms_of(word) if (w := get(t)) is not None]
         if other != word and len(other) > 2:
-            best = max([best, *(get(t, 0.0) for t in terms_of(other))])
+            found += [w for t in terms_of(other) if (w := get(t)) is not None]
             odd = ODD if not alpha and (_LETTER(word) or not word.isalnum()) else 0
-        value = round(100 * best) | odd
-        value |= HIT * (best > 0) | FIXED * (word in INSULTS or other in INSULTS) | SECOND * (word in SECOND_PERSON)
+        best = max(found, default=0.0)
+        value = round(100 * best) | odd | KNOWN * bool(found) | HIT * (best > 0) | _FLAGS.get(word, 0) | _FLAGS.get(other, 0) & FIXED
         value |= CAPS * (len(word) > 1 and token.isupper()) | DIGITS * (not alpha and not word.isdigit() and any(c.isdigit() for c in word))
-        value |= PUNCT * (len(token) - len(word) > 1)
+        return value | PUNCT * (len(token) - len(word) > 1)
+
+
+class Adjusted(dict):
+    """``Tokens`` for one document, with other weights of some terms."""
+
+    def __init__(self, tokens: Tokens, changed: dict[str, float]):
+        self.tokens = tokens
+        self.get_weight = lambda t: changed.get(t, tokens.weights.get(t))
+
+    def __missing__(self, token: str) -> int:
+        value = self.tokens[token]
+        if value & KNOWN:
+            value = self.tokens.value(token, self.get_weight)
         self[token] = value
         return value
 
 
-def features(text: str | None, tokens: Tokens) -> np.ndarray:
+def features(text: str | None, tokens: dict) -> np.ndarray:
     """The values of FEATURES; all zero for a null or blank text."""
     out = np.zeros(len(FEATURES))
     words = (text or "").split()
@@ -261,14 +292,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         terms = list(lexicon)
         place = {t: i for i, t in enumerate(terms)}
         a, b = (np.array([lexicon[t][k] for t in terms]) for k in (0, 1))
-        base = dict(zip(terms, weight(a, b, toxic, clean).tolist(), strict=True))
+        tokens = Tokens(dict(zip(terms, weight(a, b, toxic, clean).tolist(), strict=True)))
         for batch in batches:
             out = []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.array(sorted({place[x] for w in {core(w) for w in t.split()} for x in terms_of(w) if x in place}), np.int64)
                 less = weight(a[own] - (y == 1), b[own] - (y == 0), toxic - (y == 1), clean - (y == 0))
-                changed = base | {terms[i]: w for i, w in zip(own.tolist(), less.tolist(), strict=True)} if len(own) else base
-                out.append(features(t, Tokens(changed)))
+                out.append(features(t, Adjusted(tokens, {terms[i]: w for i, w in zip(own.tolist(), less.tolist(), strict=True)})))
             yield pa.RecordBatch.from_arrays([_feature_table(np.array(out)) if out else pa.array([], pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "y", "_id"])
 
     kind = sample.schema["_id"].dataType.simpleString()
