@@ -3,20 +3,26 @@
 1. Every page becomes a list of style nodes. A style node is an element's place
    as tags and classes from the root (digits blanked); elements of one page with
    the same place are one node.
-2. The pages of a host are merged: for each style node, on how many distinct
-   pages it occurs, how its sequences of children differ (presentation) and how
+2. The pages of a host are merged: for each style node, beside how many distinct
+   articles it occurs, how its sequences of children differ (presentation) and how
    its contents differ (content). Both importances are entropies over the base of
-   the page count: 0 if all pages agree, 1 if all differ.
+   that count: 0 if all agree, 1 if all differ. What a node stands beside is known
+   by the longest block of the page's article outside of the node; equal contents
+   with ``SHARE`` of the article or more are copies of it and count once. So copies
+   that differ in a date, an advert or a comment say nothing about the article's
+   own nodes, with or without a mark.
 3. Composite importance = GAMMA * presentation + (1 - GAMMA) * content. What tags,
    roles, ids and classes name as navigation, notice, advert, form and the like
-   has importance 0 from the start, so hosts with few pages are served too.
+   has importance 0 from the start, so hosts with few pages are served too. A
+   wrapper's name says nothing if the only marked article, with ``MOST`` of the
+   page's text, stands in it.
 4. Each page is read again without its low-importance branches. Where the page
    marks its article, its text is what stands there; the article's own plain
    paragraphs, lists and headings are protected, because copies of one article
    on a host say nothing about noise; so is what the article stands in, and the
    page's body as such.
 
-Copies of a page count once. Statistics are grouped counts of hashes; a host's
+Statistics are grouped counts of hashes; a host's
 result is its set of low-importance nodes, which its template bounds.
 """
 
@@ -24,6 +30,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -35,6 +42,8 @@ from .common import written
 GAMMA = 0.4
 LOW = 0.2
 LEAST_PAGES = 4
+SHARE = 2 / 3
+MOST = 1 / 2
 
 # Kinds of HTML elements, and names that mark noise.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,23 +74,25 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "place", "parent", "noise", "main", "named", "start", "end", "children")
+    __slots__ = ("tag", "place", "parent", "noise", "own", "main", "named", "start", "end", "children")
 
-    def __init__(self, tag: str, place: int, parent: Node | None, noise: bool, main: bool, named: bool, start: int):
-        self.tag, self.place, self.parent, self.noise, self.main, self.named, self.start = tag, place, parent, noise, main, named, start
+    def __init__(self, tag: str, place: int, parent: Node | None, own: int, main: bool, named: bool, start: int):
+        self.tag, self.place, self.parent, self.own, self.main, self.named, self.start = tag, place, parent, own, main, named, start
+        self.noise = own > 0 or parent is not None and parent.noise
         self.end, self.children = start, []
 
 
-def _judge(tag: str, attributes: dict, inside: bool) -> tuple[str, bool, bool]:
-    """Style key, noise and main of an element; inside: of a main element."""
+def _judge(tag: str, attributes: dict, inside: bool) -> tuple[str, int, bool]:
+    """Style key, noise (1 if only by its names, 2 otherwise) and main of an element; inside: of a main element."""
     role = (attributes.get("role") or "").lower()
     names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
     parts = {p.lower() for p in _NAME_PARTS.findall(names)} if names != " " else set()
     main = tag in ("article", "main") or role in ("main", "article") or "articleBody" in (attributes.get("itemprop") or "")
     noise = tag in NOISE_TAGS and not (tag == "header" and inside) or role in NOISE_ROLES or "hidden" in attributes
     noise = noise or (attributes.get("aria-hidden") or "").lower() == "true" or bool(_HIDDEN.search(attributes.get("style") or ""))
-    if parts and tag not in ("html", "body"):
-        noise = noise or bool(parts & NOISE_NAMES) or bool(parts & WEAK_NAMES) and not (parts & MAIN_NAMES or main)
+    noise = 2 if noise else 0
+    if parts and not noise and tag not in ("html", "body"):
+        noise = int(bool(parts & NOISE_NAMES) or bool(parts & WEAK_NAMES) and not (parts & MAIN_NAMES or main))
     key = tag if not attributes else f"{tag}.{' '.join(sorted(_DIGITS.sub('#', attributes.get('class') or '').split()))}#{_DIGITS.sub('#', attributes.get('id') or '')}"
     return key, noise, main and not noise
 
@@ -94,18 +105,37 @@ class Page:
         self.texts: list[str] = []
         self.blocks: list[tuple[Node, str]] = []
         self.places, self.parts = places, []
-        self.top = self.open("#page", "#page", None, False, False, False)
+        self.top = self.open("#page", "#page", None, 0, False, False)
         self.read(source)
         while self.top:
             self.close(self.top)
+        self.marked = any(n.main and not n.noise and n.start < n.end for n in self.nodes)
+        if not self.marked:
+            self.unwrap()
 
-    def open(self, tag: str, key: str, parent: Node | None, noise: bool, main: bool, named: bool) -> Node:
+    def unwrap(self) -> None:
+        """Frees the marked article from the names of what it stands in."""
+        hard: dict[int, bool] = {}
+        for n in self.nodes:
+            hard[id(n)] = n.own == 2 or n.parent is not None and hard[id(n.parent)]
+        tops = [n for n in self.nodes if n.main and not n.parent.main and n.own == 0 and not hard[id(n)] and n.start < n.end]
+        sizes = [0, *accumulate(0 if hard[id(n)] else len(t) for n, t in self.blocks)]
+        tops = [n for n in tops if sizes[n.end] - sizes[n.start] >= MOST * sizes[-1]]
+        if tops:
+            around = tops[0].parent
+            while around:
+                around.own, around = 0, around.parent
+            for n in self.nodes:
+                n.noise = n.own > 0 or n.parent is not None and n.parent.noise
+            self.marked = True
+
+    def open(self, tag: str, key: str, parent: Node | None, own: int, main: bool, named: bool) -> Node:
         at = (parent.place if parent else 0, key)
         if (place := self.places.get(at)) is None:
             if len(self.places) > 200_000:
                 self.places.clear()
             self.places[at] = place = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"), at[0] % 2**63)
-        node = Node(tag, place, parent, noise, main, named, len(self.texts))
+        node = Node(tag, place, parent, own, main, named, len(self.texts))
         if parent:
             parent.children.append(key)
         self.nodes.append(node)
@@ -189,17 +219,25 @@ class Page:
             attributes = {a[1].lower(): next((entities.unescape(x) for x in a.groups()[1:] if x is not None), "") for a in _ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
             parent = self.top
             if tag in ("html", "body") and not attributes.get("role"):
-                key, noise, main = tag, False, False
+                key, noise, main = tag, 0, False
             else:
                 key, noise, main = _judge(tag, attributes, parent.main)
-            self.top = self.open(tag, key, parent, parent.noise or noise, parent.main or main, bool(attributes.get("class") or attributes.get("id")))
+            self.top = self.open(tag, key, parent, noise, parent.main or main, bool(attributes.get("class") or attributes.get("id")))
         self.text(source[at:])
 
-    def styles(self) -> list[tuple[int, int, int]]:
-        """(place, presentation, content) of each style node, as hashes."""
+    def styles(self) -> list[tuple[int, int, int, int]]:
+        """(beside, place, presentation, content) of each style node, as hashes;
+        beside: the longest block of the article outside of it, 0 for what is the
+        article itself."""
         found: dict[int, list] = {}
+        sizes = [len(t) if not n.noise and (n.main or not self.marked) else 0 for n, t in self.blocks]
+        until = [0, *accumulate(sizes)]
+        order = sorted((i for i, n in enumerate(sizes) if n), key=lambda i: (-sizes[i], i))
         for n in self.nodes:
-            got = found.setdefault(n.place, [xxhash.xxh3_64(), xxhash.xxh3_64()])
+            if (got := found.get(n.place)) is None:
+                got = found[n.place] = [xxhash.xxh3_64(), xxhash.xxh3_64(), 0, []]
+            got[2] += until[n.end] - until[n.start]
+            got[3].append((n.start, n.end))
             last = None
             for c in n.children:
                 if c != last:
@@ -207,11 +245,23 @@ class Page:
                 last = c
             for t in self.texts[n.start : n.end]:
                 got[1].update(t.encode("utf-8", "surrogatepass") + b"\0")
-        return [(p - 2**63, a.intdigest() - 2**63, b.intdigest() - 2**63) for p, (a, b) in found.items()]
+        hashes: dict[int, int] = {}
+
+        def beside(size: int, spans: list) -> int:
+            if size >= SHARE * until[-1]:
+                return 0
+            at = order[0]
+            if any(a <= at < b for a, b in spans):
+                inside = {i for a, b in spans for i in range(a, b)}
+                at = next(i for i in order if i not in inside)
+            if at not in hashes:
+                hashes[at] = xxhash.xxh3_64_intdigest(self.texts[at].encode("utf-8", "surrogatepass")) - 2**63
+            return hashes[at]
+
+        return [(beside(size, spans), p - 2**63, a.intdigest() - 2**63, b.intdigest() - 2**63) for p, (a, b, size, spans) in found.items()]
 
     def main_text(self, low: set[int]) -> str:
         """Blocks left without noise and the host's low-importance places."""
-        article = any(n.main and not n.noise and n.start < n.end for n in self.nodes)
         gone: dict[int, bool] = {}
         around: set[int] = set()  # what an article stands in
         for n in self.nodes:
@@ -223,7 +273,7 @@ class Page:
             shielded = n.main and (n.tag in PLAIN and not n.named or not n.parent.main) or id(n) in around or n.tag in ("#page", "html", "body")
             own = n.noise or n.place - 2**63 in low and not shielded
             gone[id(n)] = own or n.parent is not None and gone[id(n.parent)]
-        return "\n".join(t for n, t in self.blocks if not gone[id(n)] and (n.main or not article))
+        return "\n".join(t for n, t in self.blocks if not gone[id(n)] and (n.main or not self.marked))
 
 
 def host_of(url: str):
@@ -234,20 +284,21 @@ def host_of(url: str):
 def style_importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, place, pages, presentation, content, importance) of every style node.
 
-    Pages without a host or html are left out; copies of a page on a host count once.
+    Pages without a host or html are left out. ``pages`` counts distinct articles
+    beside the node; copies of a page on a host count once.
     """
 
     def run(batches):
         places: dict = {}
         for batch in batches:
-            host, copy, out = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
+            host, out = batch.column(1).to_pylist(), []
             for i, source in enumerate(batch.column(0).to_pylist()):
-                out += [(host[i], copy[i], *s) for s in Page(source, places).styles()]
+                out += [(host[i], *s) for s in Page(source, places).styles()]
             columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], ["host", "copy", "place", "children", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], ["host", "beside", "place", "children", "texts"])
 
     own = pages.select(F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host")).where("html is not null and host is not null")
-    nodes = own.withColumn("copy", F.xxhash64("html")).mapInArrow(run, "host string, copy long, place long, children long, texts long").distinct()
+    nodes = own.mapInArrow(run, "host string, beside long, place long, children long, texts long").distinct()
     nodes = nodes.groupBy("host", "place", "children", "texts").agg(F.count("*").alias("n"))
 
     def entropy(of: str) -> DataFrame:

@@ -312,6 +312,22 @@ def test_html(spark):
     assert html.extract(df.where("page_id < 0")).count() == 0
 
 
+def test_html_copies(spark):
+    """Copies of an article that differ elsewhere keep it, marked or not; boxes beside distinct articles go."""
+    text = "<div class='lead'>The first part of one copied text.</div><div class='body'><p>The second part, longer than the first, of one copied text.</p></div>"
+    want = "The first part of one copied text.\nThe second part, longer than the first, of one copied text."
+    shapes = {"main": f"<main><article>{text}</article></main>", "article": f"<article><div class='wrap'>{text}</div></article>", "bare": f"<div class='wrap'>{text}</div>"}
+    rows = [(f"{k}{i}", f"https://{k}.example/p", f"<body><span class='when'>{i} May</span>{s}<div class='ad'>buy {i}</div><!-- {i} --></body>") for k, s in shapes.items() for i in range(12)]
+    some = [f"Text {'abcd'[i % 4]} of four that have eight copies each on this host." for i in range(32)]
+    rows += [(f"four{i}", "https://four.example/p", f"<body><div class='wrap'>{t}</div><div class='box'>The same box.</div><i>{i}</i></body>") for i, t in enumerate(some)]
+    rows += [("wrapped", None, "<div class='page sidebar-right'><main><p>The only article.</p></main></div>"), ("teaser", None, "<div class='text'>The text of the page.</div><div class='related'><article>more</article></div>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    for i in range(12):
+        assert got[f"main{i}"] == got[f"article{i}"] == want and got[f"bare{i}"] == f"{i} May\n{want}"
+    assert all(got[f"four{i}"] == f"{t}\n{i}" for i, t in enumerate(some))
+    assert got["wrapped"] == "The only article." and got["teaser"] == "The text of the page."
+
+
 def test_mixing(spark, odd, none):
     sources = spark.createDataFrame([("a", 8000), ("b", 1000), ("c", 500), ("d", 0)], "source string, tokens long")
     w = {r.source: r for r in mixing.weights(sources, 0.9, None).collect()}
