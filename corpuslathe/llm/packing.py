@@ -11,7 +11,10 @@ once. In a block:
   fillings of what remains of its sequence, least waste first;
 * a branch ends when its waste exceeds what the incumbent leaves: (its sequences
   - 1) * capacity - total length; reaching the bound ceil(total / capacity) ends
-  the search. After ``NODES`` fillings the incumbent stands. This bounds time;
+  the search. ``WIDTH`` fillings are tried for a piece, out of those that ``STEPS``
+  steps find; a search that ends without reaching the bound is repeated with four
+  times as many, until nothing was left out. After ``NODES`` fillings (one of more
+  than ``STEPS`` steps counts as several) the incumbent stands. This bounds time;
   it drops no piece.
 """
 
@@ -32,7 +35,7 @@ CAPACITY = 2048
 END_ID = 0
 BLOCK_ROWS = 4096
 NODES = 6000
-#: Fillings kept for each largest piece, and steps to look for them.
+#: Fillings kept for each largest piece, and steps to look for them, at first.
 WIDTH, STEPS = 3, 160
 CHUNKS_HELD = 600_000
 
@@ -184,36 +187,39 @@ class _Left:
         return (self.mask & ((2 << most) - 1)).bit_length() - 1 if most > 0 and self.mask & ((2 << most) - 1) else 0
 
 
-def fillings(left: _Left, room: int, width: int = WIDTH, steps: int = STEPS) -> list[tuple[int, list[int]]]:
+def fillings(left: _Left, room: int, width: int = WIDTH, steps: int = STEPS) -> tuple[list[tuple[int, list[int]]], int, bool]:
     """Up to ``width`` undominated fillings of ``room`` as (waste, sizes), least
-    waste first. A filling is dominated if one of its pieces could give way to a
-    larger one that is left, or if another piece still fits."""
+    waste first, with the steps used and whether some may be left out. A filling is
+    dominated if one of its pieces could give way to a larger one that is left, or
+    if another piece still fits."""
     found: list[tuple[int, list[int]]] = []
     picked: list[int] = []
-    budget = [steps]
-
-    def go(room: int, most: int) -> bool:
-        """True once nothing better can be found or the steps are used."""
-        s = left.largest(min(room, most))
-        if not s:
-            if not any(left.largest(f + room) > f for f in set(picked)) and not left.largest(room):
-                found.append((room, list(picked)))
-            return room == 0
-        while s:
-            budget[0] -= 1
+    used = full = 0
+    most, cut = room, False
+    while True:
+        while s := left.largest(min(room, most)):
+            if used == steps:
+                cut = True
+                break
+            used += 1
             left.take(s)
             picked.append(s)
-            done = go(room - s, s)
-            picked.pop()
+            room, most = room - s, s
+        if not cut and not left.largest(room) and not any(left.largest(f + room) > f for f in set(picked)):
+            found.append((room, list(picked)))
+            full += room == 0
+            cut = full == width  # nothing better can be found
+        while picked and not cut:
+            s = picked.pop()
             left.add(s)
-            if done or budget[0] <= 0:
-                return True
-            if left.largest(room - s) == 0 and found:
-                break  # smaller ones alone waste more and are dominated
-            s = left.largest(s - 1)
-        return False
-
-    go(room, room)
+            filled, room, most = room == 0, room + s, s - 1
+            if not filled and left.largest(min(room, most)):
+                break  # if s fills the room, all that could stand for it fits into s
+        else:
+            break
+    for s in picked:
+        left.add(s)
+        room += s
     if not found:  # the steps ended in the middle: complete greedily
         sizes, rest = [], room
         while s := left.largest(rest):
@@ -224,7 +230,7 @@ def fillings(left: _Left, room: int, width: int = WIDTH, steps: int = STEPS) ->
             left.add(s)
         found.append((rest, sizes))
     found.sort(key=lambda x: x[0])
-    return found[:width]
+    return found[:width], used, cut or len(found) > width
 
 
 def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
@@ -237,6 +243,7 @@ def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODE
         return best
     left, waste, spare = _Left(sizes, capacity), 0, (len(best) - 1) * capacity - total
     path: list[tuple[list[int], int, list]] = []  # a bin, its waste, and its other fillings
+    width, steps, cut = WIDTH, STEPS, False
 
     def close(largest: int, options: list) -> None:
         nonlocal waste
@@ -247,11 +254,14 @@ def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODE
         path.append(([largest, *filling], w, options))
 
     while nodes > 0:
-        nodes -= 1
         if waste <= spare and (largest := left.largest(capacity)):
             left.take(largest)
-            close(largest, fillings(left, capacity - largest))
+            options, used, some = fillings(left, capacity - largest, width, steps)
+            nodes -= max(1, -(-used // STEPS))
+            cut = cut or some
+            close(largest, options)
             continue
+        nodes -= 1
         if waste <= spare:
             best = [b for b, _, _ in path]
             if len(best) <= bound:
@@ -267,7 +277,9 @@ def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODE
                 break
             left.add(largest)
         if not path:
-            break
+            if not cut:
+                break
+            width, steps, cut = 4 * width, 4 * steps, False
     return best
 
 

@@ -163,6 +163,25 @@ def test_bin_completion_is_optimal_when_small(sizes):
     assert len(got) <= least(sorted(sizes, reverse=True), [], len(sizes)) + 1
 
 
+def test_bin_completion_finds_the_optimum():
+    def least(rest, rooms, best):
+        if not rest or len(rooms) >= best:
+            return min(best, len(rooms))
+        for room in {r for r in rooms if r >= rest[0]}:
+            i = rooms.index(room)
+            best = least(rest[1:], rooms[:i] + [room - rest[0]] + rooms[i + 1 :], best)
+        return least(rest[1:], [*rooms, 100 - rest[0]], best)
+
+    assert len(packing.bin_completion([61, 37, 33, 30, 20, 19], 100)) == 2
+    rng = np.random.default_rng(0)
+    for k in range(300):
+        sizes = rng.integers(*((15, 70), (1, 60), (25, 45))[k % 3], rng.integers(6, 11)).tolist()
+        got = packing.bin_completion(sizes, 100)
+        assert sorted(x for b in got for x in b) == sorted(sizes) and all(sum(b) <= 100 for b in got)
+        assert len(got) == least(sorted(sizes, reverse=True), [], len(sizes))
+    assert len(packing.bin_completion([1] * 3000 + [2047, 1500, 1025, 1025, 900], 2048)) == -(-9497 // 2048)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab \n\t'é1日.! \x1c")), max_size=40))
 def test_encoder_equals_tokenizer(text):
