@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslathe.llm import minhash, mixing, packing, secrets, toxicity
-from corpuslathe.llm.common import shared_dir
+from corpuslathe.llm.common import shared_dir, written
 
 MOST_REPEATS = 1.5
 
@@ -31,16 +31,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: its smallest id, and
-    of rows that repeat that id, one."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where("not kept").select("doc_id").distinct()
-    again = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates stays: that of its smallest id.
+    Rows are told apart by id and text, so unrelated texts that share an id all
+    stay, and rows without id are judged like others."""
+    found = written(minhash.survivors(docs).where("not stays or n > 1"))
+    gone = found.where("not stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    again = found.where("stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rows = docs.withColumn("_text_hash", minhash.text_hash())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    left = rows.join(gone, same, "left_anti")
     if again.isEmpty():
-        return left
-    several = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
+        return left.select(*docs.columns)
+    several = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    return left.join(again, same, "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

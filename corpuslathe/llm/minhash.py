@@ -133,14 +133,19 @@ def _in_parts(texts: list) -> Iterator[list]:
         yield part
 
 
+def text_hash(text_col: str = "text"):
+    """64-bit hash of a row's whole text."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, fp, bands, s1, s2) for each row."""
+    """(doc_id, text_hash, n_shingles, fp, bands, s1, s2) for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         held = _WordHashes()
         for batch in batches:
-            ids, at = batch.column(0), 0
+            ids, whole, at = batch.column(0), batch.column(2), 0
             for part in _in_parts(batch.column(1).to_pylist()):
                 sets = [shingle_set(t, held) for t in part]
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -154,13 +159,13 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         s1[i], s2[i] = map(int, sketches[j])
                         fp[i] = xxhash.xxh3_64_intdigest(sets[i].tobytes()) - 2**63
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(part)), pa.array(map(len, sets), pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())],
-                    ["doc_id", "n_shingles", "fp", "bands", "s1", "s2"],
+                    [ids.slice(at, len(part)), whole.slice(at, len(part)), pa.array(map(len, sets), pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())],
+                    ["doc_id", "text_hash", "n_shingles", "fp", "bands", "s1", "s2"],
                 )
                 at += len(part)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, fp long, bands array<long>, s1 long, s2 long"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("text_hash")).mapInArrow(
+        run, f"doc_id {kind}, text_hash long, n_shingles long, fp long, bands array<long>, s1 long, s2 long"
     )
 
 
@@ -223,16 +228,8 @@ def _tops(placed: DataFrame, turn: int) -> DataFrame:
     return tops.select("band", F.col("t.c").alias("tc"), F.col("t.l").alias("l"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    Documents link when 100 * |A & B| >= percent * |A | B| on their shingle sets.
-    component_id is the smallest id reachable by links. Null or empty texts have
-    no shingles and link with nothing. Rows that repeat an id are nodes of their
-    own; they share a component if their sets are equal or link. A row without id
-    may link others, and takes part in no minimum; where a component has no id at
-    all, component_id is null and kept is true. Other columns are not read.
-    """
+def _nodes(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, c) for each row; c is its component, null without shingles."""
     table = written(sketch_table(docs, id_col, text_col))
     reps = table.where("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands")
@@ -266,8 +263,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             & _near("o.r", "m.r", percent) & ((100 + percent) * both >= percent * (F.col("o.r.n") + F.col("m.r.n"))),
         )
         found = _joined(found, rest.select(F.col("o.r.fp").alias("a"), F.col("m.r.fp").alias("b")).distinct())
-    nodes = table.select("doc_id", "n_shingles", "fp").join(found.select(F.col("id").alias("fp"), "component"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
+    rows = table.select("doc_id", "text_hash", "n_shingles", "fp").join(found.select(F.col("id").alias("fp"), "component"), "fp", "left")
+    return rows.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "fp").alias("c"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Documents link when 100 * |A & B| >= percent * |A | B| on their shingle sets.
+    component_id is the smallest id reachable by links. Null or empty texts have
+    no shingles and link with nothing. Rows that repeat an id are nodes of their
+    own; they share a component if their sets are equal or link. A row without id
+    may link others, and takes part in no minimum; where a component has no id at
+    all, component_id is null and kept is true. Other columns are not read.
+    """
+    nodes = _nodes(docs, id_col, text_col, percent)
     first_id = nodes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("first_id"))
     return nodes.join(first_id, "c", "left").select(
         "doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("first_id")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """(doc_id, text_hash, n, stays): for each distinct id and text of ``docs`` its
+    number of rows and whether it is the one that stands for its component.
+
+    That is the smallest id's, and of texts that share that id the one of the least
+    hash; a text without id stands for components only that have no id at all.
+    Texts without shingles stand for themselves.
+    """
+    keys = written(_nodes(docs, id_col, text_col, percent).groupBy("doc_id", "text_hash").agg(F.first("c").alias("c"), F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    best = keys.where("c is not null").groupBy("c").agg(F.min(order).alias("best"), F.count("*").alias("m")).where("m > 1").select("c", "best")
+    stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
+    return keys.join(best, "c", "left").select("doc_id", "text_hash", "n", stays.alias("stays"))

@@ -58,6 +58,17 @@ def test_near(stages):
     assert set(got) == want and max(got.values()) == 1
 
 
+def test_near_rows_by_id_and_text(spark, sf):
+    """Repeated ids with other texts, and rows without id."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, d), (3, d), (None, a), (None, b + " more"), (None, e), (None, e), (None, e + " more"), (None, "short"), (None, None), (None, None), (None, ""), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
+    of_e = [k for k in got if k[1] in (e, e + " more")]
+    assert len(of_e) == 1 and of_e[0][0] is None
+    assert got == Counter([(1, a), (2, b), (3, c), (3, d), *of_e, (None, "short"), (None, None), (None, ""), (4, None), (4, "")])
+
+
 def test_secrets(stages):
     before, after = ({r.doc_id: r for r in s.collect()} for s in stages[2:4])
     assert before.keys() == after.keys()
