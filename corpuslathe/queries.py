@@ -299,6 +299,12 @@ def names_and_yaml(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.safe_name(name).alias("safe"), T.yaml_escaped(F.substring("text", 1, 80)).alias("escaped"))
 
 
+@query("SELECT doc_id, replace(replace(replace(replace(text, '\"', '\\\"'), chr(10), ' '), chr(13), ''), ':', ' -') AS escaped FROM documents")
+def yaml_texts(spark, sf_dir):
+    """K5: each whole text escaped for YAML."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.yaml_escaped(F.col("text")).alias("escaped"))
+
+
 @query("SELECT source, count(*) AS n, CASE WHEN count(*) < 1000 THEN 'n<1K' WHEN count(*) < 10000 THEN '1K<n<10K' WHEN count(*) < 100000 THEN '10K<n<100K' WHEN count(*) < 1000000 THEN '100K<n<1M' ELSE '1M<n<10M' END AS bucket FROM documents GROUP BY 1")
 def size_buckets(spark, sf_dir):
     """K6: size category of each source."""

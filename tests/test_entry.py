@@ -41,6 +41,13 @@ def test_query(spark, sf, duck, name):
         assert len(got.columns)
 
 
+def test_yaml_of_whole_texts(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.escaped for r in queries.QUERIES["yaml_texts"](spark, sf).collect()}
+    assert max(map(len, texts.values())) > 80
+    assert got == {i: t.replace('"', '\\"').replace("\n", " ").replace("\r", "").replace(":", " -") for i, t in texts.items()}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
