@@ -5,15 +5,22 @@
    centre whose bisector with its nearest centre is within half the link distance.
    Two vectors within the link distance then share a shard for certain (the
    nearest centre of their midpoint has both). Centres are fitted on at most
-   ``FIT_ROWS`` nodes; all nodes are dealt. Shards over ``CHUNK`` rows are split,
-   and each pair of chunks is a task, so that a task is bounded and no pair lost.
-3. Each task builds a graph: robust pruning of near candidates, and of random ones
-   for long edges, with reverse edges. The adjacency lists of all tasks are united
-   by node.
+   ``FIT_ROWS`` nodes; all nodes are dealt. Shards that are still too large for a
+   task are dealt again in the same way, by centres fitted on ``FIT_SHARD`` of their
+   own nodes. What no centre divides (one dense cluster) is cut into chunks, and
+   each pair of chunks is a task, so that a task is bounded and no pair lost.
+3. Each task builds a graph: its nodes are dealt to overlapping sub-clusters, which
+   propose near candidates; robust pruning picks neighbours of these, and of random
+   ones for long edges, with reverse edges. The adjacency lists of all sub-clusters
+   and of all tasks are united by node.
 4. Each task searches the united graph for every node of its own: greedy search
-   from the medoid, then expansion along all nodes within the link similarity less
-   ``SLACK``. Pairs are verified in double precision on the original vectors.
-5. ``audit`` measures recall against brute force.
+   from the medoids of the node's nearest sub-clusters, then expansion along all nodes within
+   the link similarity less ``SLACK``. Links are verified in double precision on the
+   original vectors.
+5. A link counts in one task only, that of the first shard (and chunks) which both
+   nodes share, so a task gives each node's number of links and its component
+   within the task: as many rows as it has nodes, however many links there are.
+6. ``audit`` measures recall against brute force.
 """
 
 from __future__ import annotations
@@ -29,14 +36,19 @@ from .common import connected_components, written
 
 COSINE = 0.98
 FIT_ROWS = 16_384
+FIT_SHARD = 4096
 #: Rows that a task holds. A label that fits is one shard; others are split into shards of about SHARD_ROWS, which leaves room for the overlap.
 CHUNK = 8192
 SHARD_ROWS = 4096
 MOST_CENTRES = 256
+#: Nodes of a sub-cluster inside a task, and how many sub-clusters a node is in.
+SUB_ROWS, SUBS = 256, 3
 NEAR, FAR, DEGREE, LONG = 64, 24, 24, 8
 ALPHA = 1.2
-BEAM = 12
+BEAM, STARTS = 12, 3
 SLACK = 0.03
+#: Pairs of nodes looked at in one step of a search.
+AT_ONCE = 1 << 20
 
 
 def centres(x: np.ndarray, k: int, seed: int = 1, turns: int = 8) -> np.ndarray:
@@ -61,9 +73,22 @@ def overlapping(x: np.ndarray, c: np.ndarray, cosine: float = COSINE) -> np.ndar
     return d - d[np.arange(len(x)), first][:, None] <= 2 * half * apart[first] + 1e-9
 
 
+def sub_clusters(x: np.ndarray, seed: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """Overlapping groups of rows of unit vectors x, and each row's nearest groups."""
+    n = len(x)
+    k = max(1, n // SUB_ROWS)
+    if k == 1:
+        return [np.arange(n)], np.zeros((n, 1), np.int64)
+    rng = np.random.default_rng(seed)
+    c = centres(x[rng.choice(n, min(n, 16 * k), replace=False)], k, seed, 4)
+    near = np.argsort(-(x @ c.T - 0.5 * (c**2).sum(1)), 1, kind="stable")[:, : min(SUBS, k)]
+    rows, order = np.repeat(np.arange(n), near.shape[1]), np.argsort(near.ravel(), kind="stable")
+    return np.split(rows[order], np.searchsorted(near.ravel()[order], np.arange(1, k))), near
+
+
 def robust_graph(x: np.ndarray, seed: int = 1) -> list[np.ndarray]:
-    """Neighbours of each unit vector: robust-pruned near and far candidates, and
-    reverse edges."""
+    """Neighbours of each unit vector: robust-pruned near candidates out of its
+    sub-clusters, far ones at random, and reverse edges."""
     n = len(x)
     if n < 2:
         return [np.empty(0, np.int64)] * n
@@ -89,23 +114,29 @@ def robust_graph(x: np.ndarray, seed: int = 1) -> list[np.ndarray]:
             alive &= (ALPHA * between > far) & (cand != star[:, None])
         return out
 
-    near, far = min(NEAR, n - 1), min(FAR, n)
-    edges = []
+    def found(rows: np.ndarray, picked: np.ndarray) -> np.ndarray:
+        a, b = np.repeat(rows, picked.shape[1]), picked.ravel()
+        return a[b >= 0] * n + b[b >= 0]
+
+    keys = []
+    for group in sub_clusters(x, seed)[0]:  # the lists of all sub-clusters are united
+        near = min(NEAR, len(group) - 1)
+        for at in range(0, len(group) if near > 0 else 0, 256):
+            rows = group[at : at + 256]
+            s = x[rows] @ x[group].T
+            s[np.arange(len(rows)), np.arange(at, at + len(rows))] = -2
+            keys.append(found(rows, pruned(rows, group[np.argpartition(-s, near - 1, 1)[:, :near]], DEGREE)))
     for at in range(0, n, 256):
         rows = np.arange(at, min(n, at + 256))
-        s = x[rows] @ x.T
-        s[np.arange(len(rows)), rows] = -2
-        cand = np.argpartition(-s, near - 1, 1)[:, :near]
-        edges.append(np.concatenate([pruned(rows, cand, DEGREE), pruned(rows, rng.integers(0, n, (len(rows), far)), LONG)], 1))
-    out = np.concatenate(edges)
-    a, b = np.repeat(np.arange(n), out.shape[1]), out.ravel()
-    a, b = a[b >= 0], b[b >= 0]
-    both = np.unique(np.concatenate([a * n + b, b * n + a]))
+        keys.append(found(rows, pruned(rows, rng.integers(0, n, (len(rows), min(FAR, n))), LONG)))
+    keys = np.unique(np.concatenate(keys))
+    both = np.unique(np.concatenate([keys, keys % n * n + keys // n]))
     return np.split(both % n, np.searchsorted(both // n, np.arange(1, n)))
 
 
-def range_search(x: np.ndarray, norms: np.ndarray, edges: list[np.ndarray], cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of rows of x found by the graph with the cosine."""
+def range_search(x: np.ndarray, norms: np.ndarray, edges: list[np.ndarray], cosine: float = COSINE):
+    """Yields arrays of pairs (i, j), i < j, of rows of x that the graph finds to
+    reach the cosine, each pair once."""
     n = len(x)
     unit = (x / norms[:, None]).astype(np.float32)
     size = np.array([len(e) for e in edges])
@@ -116,18 +147,26 @@ def range_search(x: np.ndarray, norms: np.ndarray, edges: list[np.ndarray], cosi
     for i, e in enumerate(edges):  # the nearest first
         near = e if len(e) <= most else e[np.argsort(-(unit[e] @ unit[i]), kind="stable")[:most]]
         pad[i, : len(near)] = near
-    medoid = int((unit @ unit.sum(0)).argmax())
-    pairs = []
-    for at in range(0, n, 512):
-        q = np.arange(at, min(n, at + 512))
+    groups, nearest = sub_clusters(unit)
+    medoids = np.array([g[(unit[g] @ unit[g].sum(0)).argmax()] if len(g) else 0 for g in groups])
+
+    def cosines(a: np.ndarray, b: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.einsum("ij,ij->i", of[a[i : i + 65536]], of[b[i : i + 65536]]) for i in range(0, max(len(a), 1), 65536)])
+
+    at = 0
+    while at < n:
+        q = np.arange(at, min(n, at + max(1, min(512, (1 << 23) // n))))
+        at += len(q)
         m = len(q)
         rows = np.arange(m)
+        first = medoids[nearest[q, :STARTS]]
         seen = np.zeros((m, n), bool)
-        seen[:, medoid] = True
+        seen[rows[:, None], first] = True
         ids = np.full((m, BEAM), -1)
         sims = np.full((m, BEAM), -np.inf, np.float32)
         done = np.ones((m, BEAM), bool)
-        ids[:, 0], sims[:, 0], done[:, 0] = medoid, unit[q] @ unit[medoid], False
+        k = first.shape[1]
+        ids[:, :k], sims[:, :k], done[:, :k] = first, np.einsum("nd,nkd->nk", unit[q], unit[first]), False
         while not done.all():
             open_ = np.where(done, -np.inf, sims)
             best = open_.argmax(1)
@@ -135,7 +174,7 @@ def range_search(x: np.ndarray, norms: np.ndarray, edges: list[np.ndarray], cosi
             done[rows, best] = True
             cand = np.where(live[:, None], pad[ids[rows, best]], -1)
             new = (cand >= 0) & ~seen[rows[:, None], cand]
-            seen[rows[:, None], np.where(new, cand, medoid)] = True
+            seen[rows[:, None], np.where(new, cand, first[:, :1])] = True
             own = np.where(new, np.einsum("nd,nkd->nk", unit[q], unit[cand]), -np.inf)
             ids, sims = np.concatenate([ids, cand], 1), np.concatenate([sims, own], 1)
             done = np.concatenate([done, ~new], 1)
@@ -148,6 +187,8 @@ def range_search(x: np.ndarray, norms: np.ndarray, edges: list[np.ndarray], cosi
         seen = within.copy()
         r, c = np.nonzero(within)
         while len(r):  # neighbours of all that is near enough
+            part = max(1, AT_ONCE // max(int(size[c].mean()), 1))
+            r, rest_r, c, rest_c = r[:part], r[part:], c[:part], c[part:]
             reps = size[c]
             new_r = np.repeat(r, reps)
             new_c = flat[np.repeat(starts[c] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())]
@@ -155,67 +196,138 @@ def range_search(x: np.ndarray, norms: np.ndarray, edges: list[np.ndarray], cosi
             key = np.unique(new_r[fresh] * n + new_c[fresh])
             r, c = key // n, key % n
             seen[r, c] = True
-            near = np.concatenate([np.einsum("ij,ij->i", unit[q[r[i : i + 65536]]], unit[c[i : i + 65536]]) for i in range(0, max(len(r), 1), 65536)]) >= cosine - SLACK
+            near = cosines(q[r], c, unit) >= cosine - SLACK
             r, c = r[near], c[near]
             within[r, c] = True
-        r, c = np.nonzero(within)
-        a, b = q[r], c
-        a, b = a[a < b], b[a < b]
-        exact = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, max(len(a), 1), 65536)]) / (norms[a] * norms[b])
-        pairs.append((a[exact >= cosine], b[exact >= cosine]))
-    return tuple(np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
+            r, c = np.concatenate([r, rest_r]), np.concatenate([c, rest_c])
+        r, c = np.nonzero(within & (np.arange(n) > q[:, None]))
+        for i in range(0, len(r), AT_ONCE):
+            a, b = q[r[i : i + AT_ONCE]], c[i : i + AT_ONCE]
+            fine = cosines(a, b, x) / (norms[a] * norms[b]) >= cosine
+            yield a[fine], b[fine]
+
+
+def _deal(nodes: DataFrame, fitted, cosine: float, level: str) -> DataFrame:
+    """``nodes`` once for each centre of their ``key`` that they go to, numbered in
+    column ``level``, with all of a node's numbers in ``level``s. Nodes of other
+    length, or of a key without centres, go to a place of their length."""
+    shared = nodes.sparkSession.sparkContext.broadcast(fitted)
+    names = [c for c in nodes.columns if c not in ("key", "v")]
+
+    def run(batches):
+        for batch in batches:
+            keys = np.array(batch.column(0).to_pylist(), object)
+            vectors = batch.column(1).to_numpy(zero_copy_only=False)
+            row, place, places = [], [], []
+            for key in dict.fromkeys(keys):
+                own, c = np.flatnonzero(keys == key), shared.value.get(key)
+                fits = np.array([c is not None and len(vectors[i]) == c.shape[1] for i in own])
+                for i in own[~fits].tolist():
+                    row.append(i), place.append(-len(vectors[i])), places.append([-len(vectors[i])])
+                if fits.any():
+                    own = own[fits]
+                    x = np.stack([vectors[i] for i in own])
+                    goes = overlapping(x / np.linalg.norm(x, axis=1)[:, None], c, cosine)
+                    for i, to in zip(own.tolist(), goes, strict=True):
+                        to = np.flatnonzero(to).tolist()
+                        row += [i] * len(to)
+                        place += to
+                        places += [to] * len(to)
+            at = pa.array(row, pa.int64())
+            columns = [batch.column(k).take(at) for k in range(1, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place, pa.int32()), pa.array(places, pa.list_(pa.int32()))], ["v", *names, level, f"{level}s"])
+
+    into = nodes.select("key", "v", *names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in into.schema.fields[1:])
+    return into.mapInArrow(run, f"{schema}, {level} int, {level}s array<int>")
+
+
+def _fit(x: list, rows: float) -> np.ndarray | None:
+    """Centres for about so many rows, from some of them; None if they fit one task."""
+    sizes = [len(a) for a in x]
+    dim = max(sorted(set(sizes)), key=sizes.count)
+    x = np.array([a for a in x if len(a) == dim])
+    k = min(MOST_CENTRES, len(x) // 8, round(rows / SHARD_ROWS))
+    return centres(x / np.linalg.norm(x, axis=1)[:, None], k) if rows > CHUNK and k > 1 else None
 
 
 def _tasks(nodes: DataFrame, cosine: float) -> DataFrame:
-    """(shard, i, j, node, v): the nodes of each task."""
-    spark = nodes.sparkSession
+    """(shard, i, j, c, s, t, ss, ts, node, v): the nodes of each task, with their
+    place at both levels, all their places, and their chunk."""
     n = nodes.count()
     sample = nodes.select("label", "v").orderBy(F.col("node")).limit(FIT_ROWS).collect()  # at most FIT_ROWS
     by_label: dict = {}
     for r in sample:
         by_label.setdefault(r.label, []).append(r.v)
-    fitted = {}
-    for label, v in by_label.items():
-        sizes = [len(a) for a in v]
-        dim = max(sorted(set(sizes)), key=sizes.count)
-        x = np.array([a for a in v if len(a) == dim])
-        own = len(x) / len(sample) * n  # the label's nodes, about
-        k = min(MOST_CENTRES, len(x) // 8, round(own / SHARD_ROWS))
-        if own > CHUNK and k > 1:
-            fitted[label] = centres(x / np.linalg.norm(x, axis=1)[:, None], k)
-    shared = spark.sparkContext.broadcast(fitted)
-
-    def deal(batches):
-        for batch in batches:
-            labels = batch.column(1).to_pylist()
-            vectors = batch.column(2).to_numpy(zero_copy_only=False)
-            row, shard = [], []
-            for label in dict.fromkeys(labels):
-                own = np.array([i for i, x in enumerate(labels) if x == label])
-                c = shared.value.get(label)
-                fits = np.array([c is not None and len(vectors[i]) == c.shape[1] for i in own])
-                row += own[~fits].tolist()
-                shard += [-len(vectors[i]) for i in own[~fits]]
-                if fits.any():
-                    x = np.stack([vectors[i] for i in own[fits]])
-                    r, s = np.nonzero(overlapping(x / np.linalg.norm(x, axis=1)[:, None], c, cosine))
-                    row += own[fits][r].tolist()
-                    shard += s.tolist()
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(shard, pa.int32())], ["node", "label", "v", "shard"])
-
-    kind = nodes.schema["label"].dataType.simpleString()
-    dealt = nodes.select("node", "label", "v").mapInArrow(deal, f"node long, label {kind}, v array<double>, shard int")
-    dealt = written(dealt.select("node", "v", F.xxhash64("label", "shard").alias("shard")))
-    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    fitted = {k: c for k, v in by_label.items() if (c := _fit(v, len(v) / len(sample) * n)) is not None}
+    shard = F.xxhash64("label", "s").alias("key")
+    dealt = written(_deal(nodes.select(F.col("label").alias("key"), "label", "node", "v"), fitted, cosine, "s").select(shard, "node", "v", "s", "ss"))
+    large = written(dealt.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK))
+    # the second level: as many shards as nodes / CHUNK; each fits its centres in a task
+    picked = F.pmod(F.xxhash64("node", F.lit(11)), F.col("rows")) < FIT_SHARD
+    some = dealt.join(F.broadcast(large) if large.count() < 100_000 else large, "key").where(picked)
+
+    def centre(block: pd.DataFrame) -> pd.DataFrame:
+        c = _fit(list(block.v), float(block["rows"].iloc[0]))
+        return pd.DataFrame({"key": [] if c is None else [block.key.iloc[0]], "c": [] if c is None else [c.tobytes()], "k": [] if c is None else [len(c)]})
+
+    second = written(some.groupBy("key").applyInPandas(centre, "key long, c binary, k int"))
+    kept = second.count()
+    if 0 < kept * MOST_CENTRES <= 1 << 18:  # centres that a task can hold
+        held = {r.key: np.frombuffer(r.c).reshape(r.k, -1) for r in second.collect()}
+        again = dealt.join(F.broadcast(second.select("key")), "key", "left_semi").withColumn("shard", F.col("key"))
+        rest = dealt.join(F.broadcast(second.select("key")), "key", "left_anti").select(F.col("key").alias("shard"), "node", "v", "s", "ss", F.lit(0).alias("t"), F.array(F.lit(0)).alias("ts"))
+        dealt = _deal(again, held, cosine, "t").select("shard", "node", "v", "s", "ss", "t", "ts").unionByName(rest)
+        dealt = written(dealt.withColumn("shard", F.xxhash64("shard", "t")))
+    else:
+        dealt = dealt.select(F.col("key").alias("shard"), "node", "v", "s", "ss", F.lit(0).alias("t"), F.array(F.lit(0)).alias("ts"))
+    sizes = written(dealt.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
-    return dealt.join(sizes, "shard").withColumn("c", own).select(
-        "shard", "node", "v", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))).alias("t")
-    ).select("shard", "t.i", "t.j", "node", "v")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
+    return dealt.join(sizes, "shard").withColumn("c", own).select("shard", "node", "v", "s", "ss", "t", "ts", "c", F.explode(pairs).alias("p")).select(
+        "shard", "p.i", "p.j", "c", "s", "t", "ss", "ts", "node", "v"
+    )
+
+
+class _First:
+    """Which pairs of a task's rows count there: those with no earlier shard in common."""
+
+    def __init__(self, block: pd.DataFrame):
+        self.c, self.i, self.j = block.c.to_numpy(), block.i.iloc[0], block.j.iloc[0]
+        # places before the task's own, as sets of bits
+        self.before = [self.bits(block[f"{k}s"], block[k].iloc[0]) for k in "st"]
+
+    @staticmethod
+    def bits(places, own: int) -> np.ndarray:
+        out = np.zeros((len(places), MOST_CENTRES // 64), np.uint64)
+        for r, some in enumerate(places):
+            for p in some:
+                if 0 <= p < own:
+                    out[r, p // 64] |= np.uint64(1 << p % 64)
+        return out
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        fine = (np.minimum(self.c[a], self.c[b]) == self.i) & (np.maximum(self.c[a], self.c[b]) == self.j)
+        for bits in self.before:
+            fine &= ~(bits[a] & bits[b]).any(1)
+        return fine
+
+
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Components after further links: for each row the least row of its own."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
 
 
-def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """Distinct pairs (a, b) of linked nodes (node, label, v), each once."""
+def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(node, root, others) for the rows (node, label, v, n) of each task in which a
+    node has links: root is a node of the same component, others the rows (sums of
+    n) that it links with and that count in this task."""
     tasks = written(_tasks(nodes, cosine))
 
     def build(block: pd.DataFrame) -> pd.DataFrame:
@@ -225,21 +337,28 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
         edges = robust_graph(x / np.linalg.norm(x, axis=1)[:, None])
         return pd.DataFrame({"node": ids, "near": [ids[e] for e in edges]})
 
-    graph = tasks.groupBy("shard", "i", "j").applyInPandas(build, "node long, near array<long>")
-    graph = written(graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    graph = tasks.select("shard", "i", "j", "node", "v").groupBy("shard", "i", "j").applyInPandas(build, "node long, near array<long>")
+    graph = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    graph = written(graph.join(nodes.select("node", "n"), "node"))
 
     def find(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("node", ignore_index=True)
-        x, ids = np.stack(block.v.to_numpy()), block.node.to_numpy()
+        x, ids, n = np.stack(block.v.to_numpy()), block.node.to_numpy(), block.n.to_numpy()
         edges = []
         for near in block.near:
             near = np.asarray(near)
             at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
             edges.append(at[ids[at] == near])
-        a, b = range_search(x, np.linalg.norm(x, axis=1), edges, cosine)
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+        first, others, root = _First(block), np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a, b in range_search(x, np.linalg.norm(x, axis=1), edges, cosine):
+            counts = first(a, b)
+            a, b = a[counts], b[counts]
+            others += np.bincount(a, n[b], len(ids)).astype(np.int64) + np.bincount(b, n[a], len(ids)).astype(np.int64)
+            root = _united(root, a, b)
+        some = others > 0
+        return pd.DataFrame({"node": ids[some], "root": ids[root[some]], "others": others[some]})
 
-    return tasks.join(graph, "node").groupBy("shard", "i", "j").applyInPandas(find, "a long, b long").distinct()
+    return tasks.join(graph, "node").groupBy("shard", "i", "j").applyInPandas(find, "node long, root long, others long")
 
 
 def graph_nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -261,26 +380,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     rows = written(graph_nodes(vectors, id_col, vector_col, label_col).select("vec_id", "label", "node", "v"))
     nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
-    pairs = written(links(nodes.select("node", "label", "v"), cosine))
-    both = pairs.union(pairs.select("b", "a"))
-    counts = nodes.select("node", "first_id", "n")
-    linked = both.join(counts.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "node")
-    found = connected_components(pairs).withColumnRenamed("id", "node")
-    placed = counts.join(linked, "node", "left").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    placed = placed.join(first, "component").select("node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "node").join(placed, "node").select("vec_id", "n_links", "component_id")
+    nodes = written(nodes)
+    found = written(linked(nodes.select("node", "label", "v", "n"), cosine))
+    others = found.groupBy("node").agg(F.sum("others").alias("others"))
+    parts = written(connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node"))
+    placed = written(nodes.select("node", "first_id", "n").join(others, "node", "left").join(parts, "node", "left"))
+    # written before the join, so that one large component is no single task
+    first = written(placed.where("component is not null").groupBy("component").agg(F.min("first_id").alias("component_id")))
+    placed = placed.join(first, "component", "left").select(
+        "node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    out = rows.select("vec_id", "node").join(written(placed), "node").select("vec_id", "n_links", "component_id")
     ids = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     apart = ids.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(apart).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def audit(nodes: DataFrame, pairs: DataFrame, queries: int = 200, cosine: float = COSINE) -> float:
-    """Share of the true links of at most so many nodes that ``pairs`` has, by brute
-    force over the nodes of their labels."""
+def audit(nodes: DataFrame, found: DataFrame, queries: int = 200, cosine: float = COSINE) -> float | None:
+    """Share of the true links of at most so many nodes (node, label, v, n) that
+    ``found``, the result of ``linked``, counts; by brute force over the nodes of
+    their labels. None if they have no link."""
     asked = F.broadcast(nodes.orderBy(F.xxhash64("node")).limit(queries).select(F.col("node").alias("q"), "label", F.col("v").alias("w")))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     near = dot("v", "w") / F.sqrt(dot("v", "v") * dot("w", "w"))
-    true = nodes.join(asked, "label").where((F.col("node") != F.col("q")) & (near >= cosine)).select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
-    return true.join(pairs, ["a", "b"], "left_semi").count() / max(true.count(), 1)
+    true = nodes.join(asked, "label").where((F.col("node") != F.col("q")) & (near >= cosine)).groupBy("q").agg(F.sum("n").alias("true"))
+    got = found.groupBy("node").agg(F.sum("others").alias("got"))
+    r = true.join(got, F.col("q") == F.col("node"), "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("got", F.lit(0))))).first()
+    return r[1] / r[0] if r[0] else None

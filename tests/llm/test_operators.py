@@ -300,11 +300,52 @@ def test_embedding_dedup(spark, monkeypatch):
         least[c] = min(i, least.get(c, i))
     want = Counter((i, n[k], least[c], i == least[c]) for k, ((i, *_), c) in enumerate(zip(every, g, strict=True)))
     assert sum((got & want).values()) >= 0.995 * len(every) and sum(got.values()) == len(every)
-    nodes = embedding_dedup.graph_nodes(df, "vec_id", "embedding", "label").select("node", "label", "v").dropDuplicates(["node"])
-    assert embedding_dedup.audit(nodes, embedding_dedup.links(nodes)) >= 0.99
+    nodes = embedding_dedup.graph_nodes(df, "vec_id", "embedding", "label").select("node", "label", "v").dropDuplicates(["node"]).withColumn("n", F.lit(1).cast("long"))
+    assert embedding_dedup.audit(nodes, embedding_dedup.linked(nodes)) >= 0.99
+    assert embedding_dedup.audit(nodes.limit(1), embedding_dedup.linked(nodes.limit(1))) is None
     assert embedding_dedup.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def test_embedding_dedup_planted(spark):
+    """Clusters of links, chains and near misses in the given vectors, at production parameters; each link counts once."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((12_000, 32))
+    x[:9000] = x[rng.integers(9000, 12_000, 9000)] + 0.7 * rng.standard_normal((9000, 32))  # loose groups
+    x[1000:1600] = x[1000] + 0.06 * rng.standard_normal((600, 32))  # one large cluster
+    for at in range(2000, 5000, 3):  # triples
+        x[at + 1 : at + 3] = x[at] + 0.1 * rng.standard_normal((2, 32))
+    for at in range(6000, 6100):  # a chain
+        x[at + 1] = x[at] + 0.17 * rng.standard_normal(32)
+    df = spark.createDataFrame([(i, v.tolist(), 0 if i < 10_000 else 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links, n = [], np.zeros(len(x), int)
+    for part in (range(10_000), range(10_000, 12_000)):
+        s = u[part] @ u[part].T
+        a, b = np.nonzero(np.triu(s >= 0.98, 1))
+        links += list(zip((a + part[0]).tolist(), (b + part[0]).tolist(), strict=True))
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    assert len(links) > 100_000 and sum(got[i].n_links for i in got) >= 0.99 * 2 * len(links) and all(got[i].n_links <= n[i] for i in got)
+    g = groups(len(x), links)
+    assert np.mean([got[i].component_id == c for i, c in enumerate(g)]) > 0.995
+
+
+def test_embedding_levels(spark, monkeypatch):
+    """Shards dealt again and cut into chunks find the same links, each once."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 16))
+    x[:2000] = x[rng.integers(2000, 2040, 2000)] + 0.12 * rng.standard_normal((2000, 16))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for name, value in (("CHUNK", 150), ("SHARD_ROWS", 75), ("MOST_CENTRES", 64), ("FIT_ROWS", 64), ("FIT_SHARD", 120)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    n = (u @ u.T >= 0.98).sum(1) - 1
+    assert n.sum() > 10_000 and all(got[i] <= n[i] for i in got) and sum(got.values()) >= 0.99 * n.sum()
+
+
 PAGES = {
     '<html><head><title>t</title><style>p{}</style></head><body><nav><a>m</a></nav><div class="ad">buy</div><article><h1>T &amp; t</h1><p>one\n two<p>three<br>four</article><footer>f</footer>': "T & t\none two\nthree four",
     '<main><p>m</p><form>f</form><div class="cookie-notice">c</div><aside>s</aside></main><p>out</p>': "m",
