@@ -43,7 +43,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates large-star and small-star until the edges are stars around the
     components' smallest ids. Each step is a grouped minimum joined back to the
-    edges; nothing is collected but whether an edge is left that is none.
+    edges; nothing is collected but whether an edge is left that is none. The
+    minima are written before they are joined, so that Spark broadcasts them if
+    they are small and else deals the edges of one large star to several tasks.
     """
     now = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -58,11 +60,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     while not settled(now):
         both = now.union(now.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = (
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")
         )

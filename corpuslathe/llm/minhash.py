@@ -250,11 +250,11 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     if not large.isEmpty():
         for turn in range(ROUNDS):
             placed = written(_placed(large, found))
-            outside = placed.join(_tops(placed, turn), "band").where("c <> tc").where(_near("r", "l", percent))
+            outside = placed.join(written(_tops(placed, turn)), "band").where("c <> tc").where(_near("r", "l", percent))
             pairs = outside.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
             found = _joined(found, _verified(pairs, sets, percent))
         placed = written(_placed(large, found))
-        placed = placed.join(_tops(placed, ROUNDS).select("band", "tc"), "band")
+        placed = placed.join(written(_tops(placed, ROUNDS).select("band", "tc")), "band")
         placed = written(placed.join(sets.select(F.col("fp").alias("_fp"), "shingles"), F.col("r.fp") == F.col("_fp")).select("band", "r", "c", "tc", "shingles"))
         both = F.size(F.array_intersect("o.shingles", "m.shingles"))
         rest = placed.where("c <> tc").alias("o").join(
@@ -263,7 +263,9 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
             & _near("o.r", "m.r", percent) & ((100 + percent) * both >= percent * (F.col("o.r.n") + F.col("m.r.n"))),
         )
         found = _joined(found, rest.select(F.col("o.r.fp").alias("a"), F.col("m.r.fp").alias("b")).distinct())
-    rows = table.select("doc_id", "text_hash", "n_shingles", "fp").join(found.select(F.col("id").alias("fp"), "component"), "fp", "left")
+    # an fp that many rows share is split by Spark, as the other side is a written table
+    to = written(found.select(F.col("id").alias("fp"), "component"))
+    rows = written(table.select("doc_id", "text_hash", "n_shingles", "fp").join(to, "fp", "left"))
     return rows.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "fp").alias("c"))
 
 
@@ -278,9 +280,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all, component_id is null and kept is true. Other columns are not read.
     """
     nodes = _nodes(docs, id_col, text_col, percent)
-    first_id = nodes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("first_id"))
-    return nodes.join(first_id, "c", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("first_id")).alias("component_id")
+    # written before the join: see connected_components
+    first_id = nodes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("m"))
+    first_id = written(first_id.where("m > 1").select("c", "first_id"))
+    return nodes.join(first_id.withColumn("several", F.lit(True)), "c", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("several"), F.col("first_id")).otherwise(F.col("doc_id")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
@@ -294,6 +298,6 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """
     keys = written(_nodes(docs, id_col, text_col, percent).groupBy("doc_id", "text_hash").agg(F.first("c").alias("c"), F.count("*").alias("n")))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    best = keys.where("c is not null").groupBy("c").agg(F.min(order).alias("best"), F.count("*").alias("m")).where("m > 1").select("c", "best")
+    best = written(keys.where("c is not null").groupBy("c").agg(F.min(order).alias("best"), F.count("*").alias("m")).where("m > 1").select("c", "best"))
     stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
     return keys.join(best, "c", "left").select("doc_id", "text_hash", "n", stays.alias("stays"))
