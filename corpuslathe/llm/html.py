@@ -13,23 +13,30 @@
    own nodes, with or without a mark.
 3. Composite importance = GAMMA * presentation + (1 - GAMMA) * content. What tags,
    roles, ids and classes name as navigation, notice, advert, form and the like
-   has importance 0 from the start, so hosts with few pages are served too. A
-   wrapper's name says nothing if the only marked article, with ``MOST`` of the
-   page's text, stands in it.
+   has importance 0 from the start, so hosts with few pages are served too. A name
+   is a whole class or id, or the last word of a compound that says more than what
+   kind of box it is; names that also suit what a page stands in (all but those of
+   adverts and comments, and the tags form, header and fieldset) say nothing on an
+   element with ``MOST`` of the page's text: there the measured importance decides
+   alone. Nor does a name on what the only marked article, with ``MOST`` of the
+   text, stands in.
 4. Each page is read again without its low-importance branches. Where the page
    marks its article, its text is what stands there; the article's own plain
    paragraphs, lists and headings are protected, because copies of one article
    on a host say nothing about noise; so is what the article stands in, and the
    page's body as such.
 
-Statistics are grouped counts of hashes; a host's
-result is its set of low-importance nodes, which its template bounds.
+Statistics are grouped counts of hashes; a host's result is its set of
+low-importance nodes. All sets travel with the tasks while they are at most
+``PLACES_SENT`` places; beyond, a host's set meets its pages in groups of about
+``GROUP_PAGES`` of them, so that a large host is no single task.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -44,19 +51,29 @@ LOW = 0.2
 LEAST_PAGES = 4
 SHARE = 2 / 3
 MOST = 1 / 2
+PLACES_SENT = 1 << 20
+GROUP_PAGES = 512
 
 # Kinds of HTML elements, and names that mark noise.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template object svg math canvas xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style textarea title noscript iframe template object svg canvas annotation annotation-xml xmp noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mtable mtr mtd mstyle mpadded semantics".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr".split()) | INLINE
 NOISE_TAGS = frozenset("nav footer aside form button select option dialog menu head header fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
+SOFT_TAGS = frozenset("form header fieldset".split())
+STRICT_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist disqus replies".split())
 NOISE_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe share sharing social sidebar comment comments disqus replies related recommended recommendations breadcrumb breadcrumbs pagination pager login signup paywall skip".split()
+    "promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe share sharing social sidebar related recommended recommendations breadcrumb breadcrumbs pagination pager login signup paywall skip".split()
 )
 WEAK_NAMES = frozenset("header footer nav navbar navigation menu notice notification alert banner widget toolbar side bottom masthead copyright".split())
+NAV_NAMES = frozenset("footer nav navbar navigation menu toolbar copyright".split())
 MAIN_NAMES = frozenset("article content post entry main body story text".split())
+STATE_WORDS = frozenset("has no with without is not non how js show hide".split())
+FRAME_WORDS = frozenset("wrap wrapper container layout page grid outer".split())
+BOX_WORDS = FRAME_WORDS | MAIN_NAMES | frozenset(
+    "inner box block section area list item items link links button buttons posts articles bar panel group unit slot row col column left right top primary secondary holder form icon icons thread to".split()
+)
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"},
@@ -73,28 +90,64 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _DIGITS = re.compile(r"\d+")
 
 
+@lru_cache(maxsize=65_536)
+def _named(names: str, only_class: bool) -> int:
+    """What classes and ids, one to a line, say: 2 advert or comment, 1 other noise, 0 nothing."""
+    kinds, main = {0}, False
+    for name in names.split("\n")[: 1 if only_class else 2]:
+        for token in name.split():
+            words = [w.lower() for w in _NAME_PARTS.findall(token)]
+            if not words or words[0] in STATE_WORDS:
+                continue
+            told = list(words)
+            while told and told[-1] in BOX_WORDS:
+                told.pop()
+            if not told:
+                main = main or words[-1] in MAIN_NAMES
+                continue
+            frame = FRAME_WORDS & set(words[len(told) :]) and MAIN_NAMES & set(told)
+            last = told[-1]
+            if frame:
+                continue
+            if last in STRICT_NAMES:
+                kinds.add(2)
+            elif last in NOISE_NAMES:
+                kinds.add(1)
+            elif last in WEAK_NAMES and (last in NAV_NAMES or not (MAIN_NAMES - {"main"}) & set(told)) and not only_class:
+                kinds.add(-1)
+    return max(kinds) or int(-1 in kinds and not main)
+
+
 class Node:
-    __slots__ = ("tag", "place", "parent", "noise", "own", "main", "named", "start", "end", "children")
+    """A style node on a page. own: 1 noise by a name or tag that may give way, 2 by
+    the name of an advert or comment, 3 by other tags, roles and styles."""
 
-    def __init__(self, tag: str, place: int, parent: Node | None, own: int, main: bool, named: bool, start: int):
-        self.tag, self.place, self.parent, self.own, self.main, self.named, self.start = tag, place, parent, own, main, named, start
-        self.noise = own > 0 or parent is not None and parent.noise
+    __slots__ = ("tag", "place", "parent", "noise", "own", "mark", "main", "named", "start", "end", "children")
+
+    def __init__(self, tag: str, place: int, parent: Node | None, own: int, mark: bool, named: bool, start: int):
+        self.tag, self.place, self.parent, self.own, self.mark, self.named, self.start = tag, place, parent, own, mark, named, start
         self.end, self.children = start, []
+        self.settle()
+
+    def settle(self) -> None:
+        """Takes over what the parent is."""
+        self.noise = self.own > 0 or self.parent is not None and self.parent.noise
+        self.main = self.mark and not self.own or self.parent is not None and self.parent.main
 
 
 def _judge(tag: str, attributes: dict, inside: bool) -> tuple[str, int, bool]:
-    """Style key, noise (1 if only by its names, 2 otherwise) and main of an element; inside: of a main element."""
+    """Style key, own noise and main mark of an element; inside: of a main element."""
     role = (attributes.get("role") or "").lower()
-    names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
-    parts = {p.lower() for p in _NAME_PARTS.findall(names)} if names != " " else set()
-    main = tag in ("article", "main") or role in ("main", "article") or "articleBody" in (attributes.get("itemprop") or "")
-    noise = tag in NOISE_TAGS and not (tag == "header" and inside) or role in NOISE_ROLES or "hidden" in attributes
-    noise = noise or (attributes.get("aria-hidden") or "").lower() == "true" or bool(_HIDDEN.search(attributes.get("style") or ""))
-    noise = 2 if noise else 0
-    if parts and not noise and tag not in ("html", "body"):
-        noise = int(bool(parts & NOISE_NAMES) or bool(parts & WEAK_NAMES) and not (parts & MAIN_NAMES or main))
+    mark = tag in ("article", "main") or role in ("main", "article") or "articleBody" in (attributes.get("itemprop") or "")
+    noise = tag in NOISE_TAGS and not (tag == "header" and inside) or role in NOISE_ROLES
+    noise = (1 if tag in SOFT_TAGS or role == "form" else 3) if noise else 0
+    if "hidden" in attributes or (attributes.get("aria-hidden") or "").lower() == "true" or _HIDDEN.search(attributes.get("style") or ""):
+        noise = 3
+    names = f"{attributes.get('class') or ''}\n{attributes.get('id') or ''}"
+    if len(names) > 1 and noise < 2 and tag not in ("html", "body"):
+        noise = max(noise, _named(names, mark))
     key = tag if not attributes else f"{tag}.{' '.join(sorted(_DIGITS.sub('#', attributes.get('class') or '').split()))}#{_DIGITS.sub('#', attributes.get('id') or '')}"
-    return key, noise, main and not noise
+    return key, noise, mark
 
 
 class Page:
@@ -109,33 +162,48 @@ class Page:
         self.read(source)
         while self.top:
             self.close(self.top)
+        self.free(2, lambda n: n.own == 1)
         self.marked = any(n.main and not n.noise and n.start < n.end for n in self.nodes)
         if not self.marked:
             self.unwrap()
 
-    def unwrap(self) -> None:
-        """Frees the marked article from the names of what it stands in."""
+    def sizes(self, least: int) -> tuple[list[int], dict[int, bool]]:
+        """Running sum of the blocks' lengths outside of nodes whose own noise is ``least`` or more, and those nodes."""
         hard: dict[int, bool] = {}
         for n in self.nodes:
-            hard[id(n)] = n.own == 2 or n.parent is not None and hard[id(n.parent)]
-        tops = [n for n in self.nodes if n.main and not n.parent.main and n.own == 0 and not hard[id(n)] and n.start < n.end]
-        sizes = [0, *accumulate(0 if hard[id(n)] else len(t) for n, t in self.blocks)]
-        tops = [n for n in tops if sizes[n.end] - sizes[n.start] >= MOST * sizes[-1]]
+            hard[id(n)] = n.own >= least or n.parent is not None and hard[id(n.parent)]
+        return [0, *accumulate(0 if hard[id(n)] else len(t) for n, t in self.blocks)], hard
+
+    def free(self, least: int, of) -> None:
+        """Nodes ``of`` with MOST of the page's text are no noise by name."""
+        if not any(of(n) for n in self.nodes):
+            return
+        until, hard = self.sizes(least)
+        for n in self.nodes:
+            if of(n) and not hard[id(n)] and 0 < until[-1] * MOST <= until[n.end] - until[n.start]:
+                n.own = 0
+        for n in self.nodes:
+            n.settle()
+
+    def unwrap(self) -> None:
+        """Frees the marked article from the names of what it stands in."""
+        until, hard = self.sizes(3)
+        tops = [n for n in self.nodes if n.mark and n.own == 0 and not hard[id(n)] and until[n.end] - until[n.start] >= MOST * until[-1] > 0]
         if tops:
             around = tops[0].parent
             while around:
                 around.own, around = 0, around.parent
             for n in self.nodes:
-                n.noise = n.own > 0 or n.parent is not None and n.parent.noise
+                n.settle()
             self.marked = True
 
-    def open(self, tag: str, key: str, parent: Node | None, own: int, main: bool, named: bool) -> Node:
+    def open(self, tag: str, key: str, parent: Node | None, own: int, mark: bool, named: bool) -> Node:
         at = (parent.place if parent else 0, key)
         if (place := self.places.get(at)) is None:
             if len(self.places) > 200_000:
                 self.places.clear()
             self.places[at] = place = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"), at[0] % 2**63)
-        node = Node(tag, place, parent, own, main, named, len(self.texts))
+        node = Node(tag, place, parent, own, mark, named, len(self.texts))
         if parent:
             parent.children.append(key)
         self.nodes.append(node)
@@ -153,15 +221,29 @@ class Page:
                 return
 
     def flush(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            self.parts = []
-            if text:
-                node = self.top
-                while node.tag in INLINE and node.parent:
+        if not self.parts:
+            return
+        parts, self.parts = self.parts, []
+        text = " ".join("".join([t for t, _ in parts]).split())
+        if text:
+            node = self.whole([n for t, n in parts if t and not t.isspace()])
+            self.blocks.append((node, text))
+            self.texts.append(text)
+            while node.tag in INLINE and node.parent:
+                node.end, node = max(node.end, len(self.texts)), node.parent
+
+    def whole(self, nodes: list[Node]) -> Node:
+        """The innermost element that holds a whole block: its block element or an inline one."""
+        node = nodes[0]
+        for other in nodes[1:]:
+            if other is not node:
+                chain = {id(other)}
+                while other.tag in INLINE and other.parent:
+                    other = other.parent
+                    chain.add(id(other))
+                while id(node) not in chain and node.tag in INLINE and node.parent:
                     node = node.parent
-                self.blocks.append((node, text))
-                self.texts.append(text)
+        return node
 
     def find(self, tags: set | frozenset, stop: set | frozenset = frozenset()) -> Node | None:
         node = self.top
@@ -175,7 +257,12 @@ class Page:
 
     def text(self, raw: str) -> None:
         if raw:
-            self.parts.append(entities.unescape(raw) if "&" in raw else raw)
+            node = self.top
+            while node.tag in INLINE:
+                if node.own == 3:  # hidden words of a block
+                    return
+                node = node.parent
+            self.parts.append((entities.unescape(raw) if "&" in raw else raw, self.top))
 
     def read(self, source: str) -> None:
         at, lower = 0, None
@@ -186,7 +273,7 @@ class Page:
             tag = m[2] or m[5]
             if tag is None:
                 if m[0].startswith("<![CDATA["):
-                    self.parts.append(m[0][9:].removesuffix("]]>"))
+                    self.parts.append((m[0][9:].removesuffix("]]>"), self.top))
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
@@ -204,7 +291,7 @@ class Page:
                 continue
             if tag in ("br", "wbr", "img"):
                 if tag == "br":
-                    self.parts.append(" ")
+                    self.parts.append((" ", self.top))
                 continue
             if tag not in INLINE:
                 self.flush()
@@ -219,10 +306,10 @@ class Page:
             attributes = {a[1].lower(): next((entities.unescape(x) for x in a.groups()[1:] if x is not None), "") for a in _ATTRIBUTE.finditer(raw)} if raw and not raw.isspace() else {}
             parent = self.top
             if tag in ("html", "body") and not attributes.get("role"):
-                key, noise, main = tag, 0, False
+                key, noise, mark = tag, 0, False
             else:
-                key, noise, main = _judge(tag, attributes, parent.main)
-            self.top = self.open(tag, key, parent, noise, parent.main or main, bool(attributes.get("class") or attributes.get("id")))
+                key, noise, mark = _judge(tag, attributes, parent.main)
+            self.top = self.open(tag, key, parent, noise, mark, bool(attributes.get("class") or attributes.get("id")))
         self.text(source[at:])
 
     def styles(self) -> list[tuple[int, int, int, int]]:
@@ -311,7 +398,9 @@ def style_importance(pages: DataFrame, url_col: str = "url", html_col: str = "ht
     )
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, least_pages: int = LEAST_PAGES, places_sent: int = PLACES_SENT,
+) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     A null, empty or noise-only page has text "" and n_chars 0. A null or odd URL
@@ -319,14 +408,36 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     results. Broken markup is read as far as it goes; other columns are not read.
     """
     weak = style_importance(pages, url_col, html_col).where((F.col("pages") >= least_pages) & (F.col("importance") < low))
-    weak = written(weak.groupBy("host").agg(F.collect_set("place").alias("low")))
+    weak = written(weak.select("host", "place"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), F.coalesce(host_of(url_col), F.lit("")).alias("host"))
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
+    schema = f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long"
 
-    def run(batches):
-        places: dict = {}
-        for batch in batches:
-            texts = [Page(s, places).main_text(set(w or ())) if s else "" for s, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def columns(of, places: dict, low: list) -> list[pa.Array]:
+        texts = [Page(s, places).main_text(w) if s else "" for s, w in zip(of.column("html").to_pylist(), low, strict=True)]
+        return [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+
+    if weak.count() <= places_sent:
+        held: dict[str, set] = {}
+        for r in weak.collect():  # at most places_sent
+            held.setdefault(r.host, set()).add(r.place)
+        shared = pages.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches):
+            places: dict = {}
+            for batch in batches:
+                low = [shared.value.get(h, ()) for h in batch.column("host").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns(batch, places, low)], ["page_id", "url", "text", "n_chars"])
+
+        return rows.mapInArrow(run, schema)
+
+    groups = written(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("groups")))
+    part = F.pmod(F.xxhash64("page_id", "url", "html"), F.col("groups")).cast("int").alias("part")
+    left = rows.join(groups, "host").select("page_id", "url", "html", "host", part)
+    right = weak.join(groups, "host").select("host", "place", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
+
+    def meet(own: pa.Table, weak: pa.Table) -> pa.Table:
+        low = set(weak.column("place").to_pylist())
+        return pa.Table.from_arrays([own.column("page_id"), own.column("url"), *columns(own, {}, [low] * own.num_rows)], ["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host"))
-    return rows.join(weak, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
+    return left.groupBy("host", "part").cogroup(right.groupBy("host", "part")).applyInArrow(meet, schema)

@@ -388,6 +388,50 @@ def test_html_copies(spark):
     assert got["wrapped"] == "The only article." and got["teaser"] == "The text of the page."
 
 
+NAMES = {
+    '<div class="content-sidebar-wrap"><main><p>The text of it.</p></main></div>': "The text of it.", '<div class="container has-sidebar"><article><p>x y</p></article></div>': "x y",
+    '<article class="post share-enabled"><p>x</p></article>': "x", '<div id="page" class="ad-free"><p>x</p></div>': "x", '<article id="how-to-login"><p>x</p></article>': "x",
+    '<form id="aspnetForm"><nav>n</nav><main><p>x</p></main><input value="q"></form>': "x", '<form id="all"><p>The text of a page.</p></form><nav>Home and away</nav>': "The text of a page.",
+    '<article><p class="skip-line">a</p><div class="related-work">b</div><p>c</p></article>': "a\nb\nc", "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p></article>": "so x=2 here",
+    '<a class="login">Log in</a><p>a <span style="display:none">b</span>c</p><pre><span class="hljs-comment"># d</span> e</pre>': "a c\n# d e",
+    '<article><p>a</p><div class="comment-body">no</div><div class="ad-content">no</div><div class="sidebar-text">no</div><div class="cookie-notice">no</div></article>': "a",
+    '<div class="text">Short.</div><div class="comments"><p>A comment that is longer than the text.</p></div>': "Short.", '<div id="main-menu">m</div><div class="entry-header">Title</div><div class="entry-footer">f</div><p>x</p>': "Title\nx",
+}
+
+
+def test_html_names(spark):
+    rows = [(i, None, h) for i, h in enumerate(NAMES)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {h: got[i] for i, h in enumerate(NAMES)} == NAMES
+
+
+def test_html_entropy_decides(spark):
+    """A host whose noise has meaningless names and whose text has the names of noise."""
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    texts = [words(30) for _ in range(40)]
+    page = "<body><div class='q1'>Our site, our rules</div><div class='promo-box'><p>{t}</p></div><div class='zz'><p>{v}</p></div><span class='q2'>All rights</span></body>"
+    rows = [(i, "http://odd.example/x", page.format(t=t, v=("Read on", "See also")[i % 2])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for sent in (html.PLACES_SENT, 0):  # sets with the tasks, and sets by groups of pages
+        assert {r.page_id: r.text for r in html.extract(df, places_sent=sent).collect()} == dict(enumerate(texts))
+    assert all("rules" in r.text for r in html.extract(df, low=-1.0).collect())
+    # brute-force importance of every place
+    seen = defaultdict(set)
+    for _, _, h in rows:
+        for beside, place, a, b in html.Page(h, {}).styles():
+            seen[place].add((beside, a, b))
+
+    def entropy(values):
+        n = Counter(values)
+        total = sum(n.values())
+        return -sum(c / total * np.log(c / total) for c in n.values()) / np.log(total) if total > 1 else 1.0
+
+    want = {p: (len(v), html.GAMMA * entropy([a for _, a, _ in v]) + (1 - html.GAMMA) * entropy([b for _, _, b in v])) for p, v in seen.items()}
+    got = {r.place: (r.pages, r.importance) for r in html.style_importance(df).collect()}
+    assert got.keys() == want.keys() and all(got[p][0] == n and abs(got[p][1] - i) < 1e-9 for p, (n, i) in want.items())
+
+
 def test_mixing(spark, odd, none):
     sources = spark.createDataFrame([("a", 8000), ("b", 1000), ("c", 500), ("d", 0)], "source string, tokens long")
     w = {r.source: r for r in mixing.weights(sources, 0.9, None).collect()}
