@@ -10,12 +10,14 @@ once. In a block:
 * bin completion takes the largest piece left and enumerates the undominated
   fillings of what remains of its sequence, least waste first;
 * a branch ends when its waste exceeds what the incumbent leaves: (its sequences
-  - 1) * capacity - total length; reaching the bound ceil(total / capacity) ends
-  the search. ``WIDTH`` fillings are tried for a piece, out of those that ``STEPS``
-  steps find; a search that ends without reaching the bound is repeated with four
-  times as many, until nothing was left out. After ``NODES`` fillings (one of more
-  than ``STEPS`` steps counts as several) the incumbent stands. This bounds time;
-  it drops no piece.
+  - 1) * capacity - total length; reaching the lower bound ends the search. The
+  bound counts, beside ceil(total / capacity), pieces over half a sequence, of
+  which no two fit together, and what the smaller ones need beyond the room there.
+  ``width`` fillings are tried for a piece, out of those that ``steps`` steps find; a
+  search that ends without reaching the bound is repeated with four times as many,
+  until nothing was left out. After ``nodes`` fillings (one of more than ``steps``
+  steps counts as several) the incumbent stands; without that limit (None) the
+  search is exact. This bounds time; it drops no piece.
 """
 
 from __future__ import annotations
@@ -233,17 +235,33 @@ def fillings(left: _Left, room: int, width: int = WIDTH, steps: int = STEPS) ->
     return found[:width], used, cut or len(found) > width
 
 
-def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
-    """Bins of sizes, in as few bins as the search finds."""
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Bins that any packing needs (Martello and Toth's L2). For each small size a:
+    pieces over half a bin take a bin each; those up to capacity - a leave room for
+    pieces from a on; what these need beyond that room takes further bins."""
+    w = np.sort(np.asarray(sizes, np.int64))
+    sums = np.concatenate([[0], np.cumsum(w)])
+    if not len(w):
+        return 0
+    half = int(np.searchsorted(w, capacity // 2, "right"))  # from here on over half a bin
+    a = np.unique(np.concatenate([[0], w[:half]]))
+    first = np.searchsorted(w, a)
+    alone = np.maximum(np.searchsorted(w, capacity - a, "right"), half)
+    need = sums[half] - sums[first] - ((alone - half) * capacity - (sums[alone] - sums[half]))
+    return int((len(w) - half + np.maximum(0, -(-need // capacity))).max())
+
+
+def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int | None = NODES, width: int = WIDTH, steps: int = STEPS) -> list[list[int]]:
+    """Bins of sizes, in as few bins as the search finds; in the fewest if ``nodes`` is None."""
     sizes = sorted(sizes, reverse=True)
     best = best_fit(sizes, capacity)
     total = sum(sizes)
-    bound = -(-total // capacity)
+    bound = lower_bound(sizes, capacity)
     if len(best) <= bound:
         return best
     left, waste, spare = _Left(sizes, capacity), 0, (len(best) - 1) * capacity - total
     path: list[tuple[list[int], int, list]] = []  # a bin, its waste, and its other fillings
-    width, steps, cut = WIDTH, STEPS, False
+    nodes, unit, cut = float("inf") if nodes is None else nodes, steps, False
 
     def close(largest: int, options: list) -> None:
         nonlocal waste
@@ -257,7 +275,7 @@ def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODE
         if waste <= spare and (largest := left.largest(capacity)):
             left.take(largest)
             options, used, some = fillings(left, capacity - largest, width, steps)
-            nodes -= max(1, -(-used // STEPS))
+            nodes -= max(1, -(-used // unit))
             cut = cut or some
             close(largest, options)
             continue
@@ -283,13 +301,13 @@ def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODE
     return best
 
 
-def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+def place(lengths: np.ndarray, capacity: int = CAPACITY, **limits) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) for each length; full ones take a bin each."""
     by_size: dict[int, list[int]] = {}
     for i, n in enumerate(lengths.tolist()):
         by_size.setdefault(n, []).append(i)
     bins = [[n] for n, rows in by_size.items() if n == capacity for _ in rows]
-    bins += bin_completion([n for n in lengths.tolist() if n < capacity], capacity)
+    bins += bin_completion([n for n in lengths.tolist() if n < capacity], capacity, **limits)
     bin_, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     for b, filled in enumerate(bins):
         at = 0
@@ -300,28 +318,29 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
     return bin_, offset
 
 
-def pack(pieces: DataFrame, blocks: int, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with sequence_id and offset, packed in so many blocks."""
+def pack(pieces: DataFrame, blocks: int, capacity: int = CAPACITY, **limits) -> DataFrame:
+    """``pieces`` with sequence_id and offset, packed in so many blocks; ``limits`` go
+    to ``bin_completion``."""
     names = [f.name for f in pieces.schema if f.name != "salt"]
     key = F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(blocks)).alias("block")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "salt") + ", sequence_id long, offset long"
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
-        bin_, offset = place(block["length"].to_numpy(), capacity)
+        bin_, offset = place(block["length"].to_numpy(), capacity, **limits)
         return block[names].assign(sequence_id=(int(key[0]) << 32) + bin_, offset=offset)
 
     return pieces.select("*", key).groupBy("block").applyInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, **limits) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32[, ids],
     sequence_id, offset.
 
     Null texts are empty; repeated rows and ids are packed row by row; a null id
     stays null; an empty table gives no rows. Other columns are not read. The
     input should be a written table, so that a retried task sees the same rows in
-    the same order.
+    the same order. ``limits`` of the search: nodes, width and steps.
     """
     blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-    return pack(token_pieces(docs, id_col, text_col, capacity, path, with_ids), blocks, capacity)
+    return pack(token_pieces(docs, id_col, text_col, capacity, path, with_ids), blocks, capacity, **limits)
