@@ -261,12 +261,14 @@ def _feature_table(x: np.ndarray) -> pa.Array:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Model:
     """A model from ``docs`` and those rows of ``labels`` (ids and 0/1 labels; null
-    labels are left out, the larger of contradicting ones counts)."""
+    labels are left out, the larger of contradicting ones counts, as it does for
+    equal texts, which are one row of their smallest id). Rows without an id or a text
+    teach nothing; without any row every score is 0. Other columns are not read."""
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = own.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     text = F.col(text_col).cast("string").alias("text")
     sample = docs.select(F.col(id_col).alias("_id"), text).join(F.broadcast(chosen), "_id")  # at most FIT_ROWS rows of an id and a label
-    sample = written(sample.where("text is not null").dropDuplicates(["text"]).select("_id", "text", "y"))
+    sample = written(sample.where("text is not null").groupBy("text").agg(F.min("_id").alias("_id"), F.max("y").alias("y")).select("_id", "text", "y"))
     toxic, clean = (float(x or 0) for x in sample.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
 
     def count(batches):
@@ -312,7 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
     """doc_id, score, predicted for every row of ``docs``, or the columns named in
     ``carry`` with score and predicted. Null and blank texts get the score of
-    all-zero features."""
+    all-zero features; repeated rows and ids are scored each; an empty table gives
+    no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TERMS and TREES
 
     def run(batches):
