@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 TURNS = 60
 PARTS = 4096
 BLOCK_TOKENS = 1 << 18
-ENTROPY_SHARE = 0.95
+#: The entropy target lies so far on the way from the natural entropy to the greatest one.
+FLATTEN = 0.5
 MOST_REPEATS = 3.0
 
 
@@ -35,11 +36,14 @@ def _total(x: Column, of) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + of(v))
 
 
-def weights(sources: DataFrame, entropy_share: float | None = ENTROPY_SHARE, most_repeats: float | None = MOST_REPEATS, keep_all: bool = False) -> DataFrame:
+def weights(
+    sources: DataFrame, entropy_share: float | None = None, most_repeats: float | None = MOST_REPEATS, keep_all: bool = False, flatten: float | None = FLATTEN
+) -> DataFrame:
     """(source, tokens, alpha, weight, target) from (source, tokens).
 
     Entropy is to reach ``entropy_share`` of its maximum, the natural one if that
-    is higher. The budget is the corpus's tokens; with ``keep_all`` it is the least
+    is higher; without it, ``flatten`` of the way from the natural entropy to the
+    maximum. With neither, only the repetition limit counts. The budget is the corpus's tokens; with ``keep_all`` it is the least
     that reads every source at least once. Sources without tokens get no weight.
     """
     row = sources.where("tokens > 0").agg(
@@ -71,14 +75,16 @@ def weights(sources: DataFrame, entropy_share: float | None = ENTROPY_SHARE, mos
         zero = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(TURNS)), zero, step, lambda s: s["hi"])
 
-    aim = F.lit(0.0 if entropy_share is None else entropy_share) * F.log(F.size("all").cast("double"))
-    limits = []
+    most, natural, limits = F.log(F.size("all").cast("double")), entropy(F.lit(1.0)), []
     if entropy_share is not None:
-        limits.append(bisected(lambda a: entropy(a) <= F.greatest(aim, entropy(F.lit(1.0)) + 1e-12)))
+        limits.append(bisected(lambda a: entropy(a) <= F.greatest(F.lit(entropy_share) * most, natural + 1e-12)))
+    elif flatten is not None:
+        limits.append(bisected(lambda a: entropy(a) <= natural + F.lit(flatten) * F.greatest(most - natural, F.lit(0.0)) + 1e-12))
     if most_repeats is not None:
         limits.append(bisected(lambda a: repeats(a) <= max(most_repeats, 1.0)))
     alpha = F.greatest(*limits) if len(limits) > 1 else limits[0] if limits else F.lit(1.0)
-    row = row.withColumn("alpha", alpha).withColumn("z", _total(F.col("all"), power(F.col("alpha"))))
+    # nine digits, upwards: the same on every machine, and within the limits
+    row = row.withColumn("alpha", F.least(F.ceil(alpha * 1e9) / 1e9, F.lit(1.0))).withColumn("z", _total(F.col("all"), power(F.col("alpha"))))
     budget = F.col("z") * F.pow("total", "alpha") * F.pow("most", 1 - F.col("alpha")) if keep_all else F.col("total")
     each = row.select("alpha", "z", "total", budget.alias("budget"), F.explode("all").alias("s"))
     weight = F.pow(F.col("s.tokens") / F.col("total"), F.col("alpha")) / F.col("z")
@@ -86,8 +92,8 @@ def weights(sources: DataFrame, entropy_share: float | None = ENTROPY_SHARE, mos
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_share: float | None = ENTROPY_SHARE,
-    most_repeats: float | None = MOST_REPEATS, keep_all: bool = False, block_tokens: int = BLOCK_TOKENS, seed: int = 1, carry: list[str] | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_share: float | None = None, most_repeats: float | None = MOST_REPEATS,
+    keep_all: bool = False, block_tokens: int = BLOCK_TOKENS, seed: int = 1, carry: list[str] | None = None, flatten: float | None = FLATTEN,
 ) -> DataFrame:
     """A row for each document and epoch in which it is read: doc_id, source,
     tokens, epoch, block, position; or the columns named in ``carry`` with epoch,
@@ -106,11 +112,11 @@ def mix(
         tokens_of(text).alias("tokens"), doc_id.alias("name"),
     )
     totals = rows.groupBy("key").agg(F.sum("tokens").alias("tokens"))
-    plan = weights(totals.withColumnRenamed("key", "source"), entropy_share, most_repeats, keep_all).select(
+    plan = weights(totals.withColumnRenamed("key", "source"), entropy_share, most_repeats, keep_all, flatten).select(
         F.col("source").alias("key"), F.col("tokens").alias("total"), "target", "weight"
     )
     # a source's whole epochs; rounding must not open or lose one
-    plan = plan.withColumn("whole", F.floor(F.col("target") / F.col("total") + 1e-9).cast("int"))
+    plan = plan.withColumn("whole", F.floor(F.col("target") / F.col("total") + 1e-6).cast("int"))
     last = F.when(F.col("target") - F.col("whole") * F.col("total") >= 1, F.col("whole")).otherwise(F.col("whole") - 1)
     plan = plan.withColumn("last", F.greatest(last, F.lit(0)))
     read = rows.join(plan, "key", "left" if keep_all else "inner")

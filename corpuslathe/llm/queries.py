@@ -35,7 +35,8 @@ def op4_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.secret_spans(_table(spark, sf_dir, "documents")))
+    """documents has no repositories; a source's languages stand for those of an owner."""
+    return secrets.digest(secrets.secret_spans(_table(spark, sf_dir, "documents"), repo_col=F.concat_ws("/", "source", "lang"), owner_col="source"))
 
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,7 @@ def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no URLs: its sources are the hosts, their languages the paths."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(~toxicity.held_out()))
     return quality.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "evidence", "host_rate", "path_rate", "score", "keep")
@@ -93,18 +95,18 @@ _LIKE = r"""length({0}) >= 16 AND regexp_matches({0}, '[0-9]') AND regexp_matche
   AND len(list_filter(range(1, length({0}) - 4), lambda i: lower({0}[i:i + 5]) = repeat(lower({0}[i:i]), 6))) = 0"""
 _STRING = "coalesce(string_agg(CASE k WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'bare' END || ':' || s || ':' || e, ',' ORDER BY s, k)%s, '')"
 OP5_SQL = rf"""
-WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t FROM documents),
 found AS (
-  SELECT r, source, 0 AS k, 6 AS least, regexp_extract_all(t, '{_ASSIGN}', 0) AS m, regexp_extract_all(t, '{_ASSIGN}', 2) AS v, string_split_regex(t, '{_ASSIGN}') AS g FROM d
-  UNION ALL SELECT r, source, 1, 20, regexp_extract_all(t, '{secrets.ACCESS}', 0) AS m, m, string_split_regex(t, '{secrets.ACCESS}') FROM d
-  UNION ALL SELECT r, source, 2, 24, regexp_extract_all(t, '[0-9a-f]{{24,}}', 0) AS m, m, string_split_regex(t, '[0-9a-f]{{24,}}') FROM d
-  UNION ALL SELECT r, source, 3, 20, regexp_extract_all(t, '{secrets.BARE}', 0) AS m, m, string_split_regex(t, '{secrets.BARE}') FROM d),
+  SELECT r, source, repo, 0 AS k, 6 AS least, regexp_extract_all(t, '{_ASSIGN}', 0) AS m, regexp_extract_all(t, '{_ASSIGN}', 2) AS v, string_split_regex(t, '{_ASSIGN}') AS g FROM d
+  UNION ALL SELECT r, source, repo, 1, 20, regexp_extract_all(t, '{secrets.ACCESS}', 0) AS m, m, string_split_regex(t, '{secrets.ACCESS}') FROM d
+  UNION ALL SELECT r, source, repo, 2, 24, regexp_extract_all(t, '[0-9a-f]{{24,}}', 0) AS m, m, string_split_regex(t, '[0-9a-f]{{24,}}') FROM d
+  UNION ALL SELECT r, source, repo, 3, 16, regexp_extract_all(t, '{secrets.BARE}', 0) AS m, m, string_split_regex(t, '{secrets.BARE}') FROM d),
 each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0),
 spans AS (
-  SELECT r, source, k, v[i] AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s, length(m[i]) AS n, least FROM each),
-hits AS (SELECT r, source, k, v, s, s + n AS e, {_LIKE.format("v")} AS random FROM spans WHERE length(v) >= least),
+  SELECT r, source, repo, k, CASE WHEN k = 3 THEN rtrim(v[i], '.') ELSE v[i] END AS whole, rtrim(v[i], '.') AS v, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s, CASE WHEN k = 3 THEN length(rtrim(v[i], '.')) ELSE length(m[i]) END AS n, least FROM each),
+hits AS (SELECT r, source, repo, k, v, s, s + n AS e, {_LIKE.format("v")} AS random FROM spans WHERE length(whole) >= least),
 base AS (SELECT * FROM hits WHERE k < 3),
-counts AS (SELECT v, CASE WHEN count(DISTINCT source) >= 3 THEN 'widespread' WHEN any_value(random) THEN 'live' ELSE 'weak' END AS verdict FROM base GROUP BY v),
+counts AS (SELECT v, CASE WHEN count(DISTINCT source) >= 3 OR count(DISTINCT source) = 2 AND count(DISTINCT repo) >= 6 THEN 'widespread' WHEN any_value(random) THEN 'live' ELSE 'weak' END AS verdict FROM base GROUP BY v),
 bare AS (SELECT * FROM hits h WHERE k = 3 AND random AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = h.r AND b.s < h.e AND h.s < b.e)),
 told AS (SELECT a.*, verdict FROM (SELECT * FROM base UNION ALL SELECT * FROM bare) a LEFT JOIN counts USING (v) WHERE k < 3 OR verdict = 'live'),
 rows_ AS (
@@ -123,13 +125,13 @@ WITH RECURSIVE d AS (
 totals AS (SELECT key, sum(tokens)::BIGINT AS total FROM d GROUP BY 1 HAVING sum(tokens) > 0),
 one AS (SELECT list(total / t ORDER BY key) AS p, any_value(t) AS t FROM totals, (SELECT sum(total)::DOUBLE AS t FROM totals)),
 search AS (
-  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS lo2, 1.0::DOUBLE AS hi2, p, t, greatest({mixing.ENTROPY_SHARE} * ln(len(p)), {_ENTROPY.format("1.0")} + 1e-12) AS aim FROM one
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS lo2, 1.0::DOUBLE AS hi2, p, t, h1 + {mixing.FLATTEN} * greatest(ln(len(p)) - h1, 0.0) + 1e-12 AS aim FROM (SELECT *, {_ENTROPY.format("1.0")} AS h1 FROM one)
   UNION ALL
   SELECT i + 1, CASE WHEN g THEN lo ELSE m END, CASE WHEN g THEN m ELSE hi END, CASE WHEN g2 THEN lo2 ELSE m2 END, CASE WHEN g2 THEN m2 ELSE hi2 END, p, t, aim
   FROM (SELECT *, {_ENTROPY.format("m")} <= aim AS g, {_REPEATS.format("m2")} <= {mixing.MOST_REPEATS} AS g2 FROM (SELECT *, (lo + hi) / 2 AS m, (lo2 + hi2) / 2 AS m2 FROM search WHERE i < {mixing.TURNS}))),
-alpha AS (SELECT greatest(hi, hi2) AS a, p, t FROM search WHERE i = {mixing.TURNS}),
+alpha AS (SELECT least(ceil(greatest(hi, hi2) * 1e9) / 1e9, 1.0) AS a, p, t FROM search WHERE i = {mixing.TURNS}),
 plan AS (
-  SELECT *, floor(target / total + 1e-9)::INT AS whole FROM (
+  SELECT *, floor(target / total + 1e-6)::INT AS whole FROM (
     SELECT key, total, pow(total / t, a) / list_sum(list_transform(p, lambda x: pow(x, a))) AS weight, weight * t AS target FROM totals, alpha)),
 read AS (
   SELECT *, md5('1:' || epoch || ':' || name) AS ord FROM (

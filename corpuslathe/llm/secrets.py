@@ -2,9 +2,10 @@
 
 1. Candidates of three kinds in every text, as spans in code points, with the
    hash of the credential's value.
-2. Values are counted over the corpus by distinct repositories and owners. One
-   that many owners hold is a copied example ("widespread"); one of few owners
-   that looks random is "live"; the rest is "weak".
+2. Values are counted over the corpus by distinct repositories and owners, without
+   the full stops that end a sentence. One that many owners hold, or two in many
+   repositories, is a copied example ("widespread"); one of few owners that looks
+   random is "live", in however many repositories of its owner; the rest is "weak".
 3. Bare tokens elsewhere whose value is a live credential are added as spans.
 
 Only hashes leave the text's row; grouped counts pre-aggregate before shuffling.
@@ -21,13 +22,14 @@ from .common import written
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-BARE = r"[A-Za-z0-9+/_.=-]{20,}"
+BARE = r"[A-Za-z0-9+/_.=-]{16,}"
 KINDS = ["assign", "access", "hex", "bare"]
-LEAST = {"assign": 6, "access": 20, "hex": 24, "bare": 20}
+LEAST = {"assign": 6, "access": 20, "hex": 24, "bare": 16}
 #: Spans of short runs are dropped anyway, and a run is matched whole, so the least length may stand in the pattern.
 PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}", "bare": BARE}
 MASK = "[SECRET]"
-WIDESPREAD_OWNERS = 3
+#: A value is widespread with so many owners, or with two owners and so many repositories.
+WIDESPREAD_OWNERS, WIDESPREAD_REPOS = 3, 6
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|your|dummy|xxxx|1234567|abcdef01|(.)\1{5}"
 
 SPAN = "struct<start:int,kind:int,end:int,value:int,hash:string,random:boolean>"
@@ -38,16 +40,18 @@ def _hits(text: Column, kind: str) -> Column:
     pattern, least, k = F.lit(PATTERNS[kind]), LEAST[kind], KINDS.index(kind)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     values = F.regexp_extract_all(text, pattern, F.lit(2)) if kind == "assign" else whole
+    bare = kind == "bare"
     found = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), whole.alias("whole"), values.alias("value"))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["whole"])
+        value = F.regexp_replace(x["value"], r"\.+$", "")
         span = F.struct(
-            start.alias("start"), F.lit(k).alias("kind"), end.alias("end"), (end - F.length(x["value"])).alias("value"),
-            F.sha2(x["value"], 256).alias("hash"), looks_random(x["value"]).alias("random"),
+            start.alias("start"), F.lit(k).alias("kind"), (start + F.length(value) if bare else end).alias("end"), (end - F.length(x["value"])).alias("value"),
+            F.sha2(value, 256).alias("hash"), looks_random(value).alias("random"),
         ).cast(SPAN)
-        kept = x["whole"].isNotNull() & (F.length(x["value"]) >= least)
+        kept = x["whole"].isNotNull() & (F.length(value if bare else x["value"]) >= least)
         return F.struct(
             F.coalesce(end, start).alias("at"), F.when(kept, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans")
         )
@@ -63,10 +67,10 @@ def looks_random(value: Column) -> Column:
     return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (letters >= 9) & ~value.rlike(PLACEHOLDER)
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None, owner_col: str | None) -> DataFrame:
+def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str | Column | None, owner_col: str | Column | None) -> DataFrame:
     """A row for each row: row, doc_id, repo, owner, text_hash, base and bare spans."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    where = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+    where = lambda c: (F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c).cast("string")
     base = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), where(repo_col).alias("repo"), where(owner_col).alias("owner"), text.alias("text")
     ).withColumn("base", F.array_sort(F.concat(*(_hits(F.col("text"), k) for k in KINDS[:3]))))
@@ -82,12 +86,12 @@ def ownership(found: DataFrame) -> DataFrame:
     return (
         each.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"), F.first("random").alias("random"))
         .groupBy("hash").agg(F.sum("n").alias("n_hits"), F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners"), F.first("random").alias("random"))
-        .withColumn("verdict", F.when(F.col("n_owners") >= WIDESPREAD_OWNERS, "widespread").when(F.col("random"), "live").otherwise("weak"))
+        .withColumn("verdict", F.when((F.col("n_owners") >= WIDESPREAD_OWNERS) | (F.col("n_owners") == 2) & (F.col("n_repos") >= WIDESPREAD_REPOS), "widespread").when(F.col("random"), "live").otherwise("weak"))
         .drop("random")
     )
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source", owner_col: str | None = "source") -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | Column | None = "source", owner_col: str | Column | None = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, spans (by start, then kind:
     struct of start, kind, end, value, hash, random, verdict, n_repos, n_owners).
 
@@ -100,6 +104,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = written(ownership(found))
     each = found.where(F.size("base") + F.size("bare") > 0).select("row", F.explode(F.concat("base", "bare")).alias("s"))
     told = (
+        # counts are a written table, so Spark splits a widely copied value's rows
         each.join(counts, each.s["hash"] == counts["hash"], "left")
         .where((F.col("s.kind") < 3) | (F.col("verdict") == "live"))
         .groupBy("row")
@@ -131,7 +136,7 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = "source", owner_col: str | None = "source") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | Column | None = "source", owner_col: str | Column | None = "source") -> DataFrame:
     """``docs`` with live credentials replaced by ``MASK`` and, where the table has
     it, n_chars counted anew. Every row stays; rows without a live credential are
     unchanged, and they are not shuffled unless they hold a candidate."""

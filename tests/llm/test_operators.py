@@ -179,6 +179,14 @@ def test_bin_completion_finds_the_optimum():
         got = packing.bin_completion(sizes, 100)
         assert sorted(x for b in got for x in b) == sorted(sizes) and all(sum(b) <= 100 for b in got)
         assert len(got) == least(sorted(sizes, reverse=True), [], len(sizes))
+    missed = 0
+    for k in range(40):
+        sizes = rng.integers(*((15, 50), (20, 55))[k % 2], 14).tolist()
+        want = len(packing.bin_completion(sizes, 100, nodes=None, width=1, steps=8))
+        assert want == least(sorted(sizes, reverse=True), [], len(sizes)) >= packing.lower_bound(sizes, 100) >= -(-sum(sizes) // 100)
+        missed += len(packing.best_fit(sorted(sizes, reverse=True), 100)) > want
+    assert missed > 0  # completion reaches what best fit misses
+    assert packing.lower_bound([1100] * 7 + [1000] * 3, 2048) == 9 and packing.lower_bound([], 10) == 0
     assert len(packing.bin_completion([1] * 3000 + [2047, 1500, 1025, 1025, 900], 2048)) == -(-9497 // 2048)
 
 
@@ -210,6 +218,10 @@ def test_secrets(spark, none):
     masked = {r.doc_id: r for r in secrets.redact(df).collect()}
     assert len(masked) == len({i for i, *_ in rows}) and secrets.redact(df).count() == len(rows)
     assert masked[3].text == '𝒳é api_key: "[SECRET]" and' and masked[3].n_chars == len(masked[3].text) and masked[4].text == "later [SECRET] bare" and masked[10].text == rows[7][1] and masked[1].text is None
+    two, own = "Rr4tY7uI9oP1aS3dF5gH", "Kk2jH4gF6dS8aP0oI1uY"  # two owners in six repositories; one owner in eight
+    rows = [(i, f"secret={two}.", f"o{i % 2}", f"r{i}") for i in range(6)] + [(10 + i, f"secret={own}", "o1", f"r{i}") for i in range(8)] + [(30, f"It was {own}. So", "o2", "r")]
+    got = {r.doc_id: r for r in secrets.digest(secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, o string, r string"), repo_col="r", owner_col=F.col("o"))).collect()}
+    assert all(got[i].n_widespread == 1 for i in range(6)) and all(got[10 + i].n_live == 1 for i in range(8)) and got[30].spans == "bare:7:27"
     assert secrets.secret_spans(none).count() == 0 and secrets.redact(none).count() == 0
 
 
@@ -441,6 +453,9 @@ def test_mixing(spark, odd, none):
     assert abs(w["c"].target / 500 - 2) < 1e-6
     w = {r.source: r for r in mixing.weights(sources, 1.0, 3.0, keep_all=True).collect()}
     assert abs(w["a"].target - 8000) < 1e-3 and abs(w["c"].target / 500 - 3) < 1e-6
+    w = {r.source: r for r in mixing.weights(sources, most_repeats=None).collect()}  # half of the way to even weights
+    p = np.array([8000, 1000, 500]) / 9500
+    assert abs(-sum(r.weight * np.log(r.weight) for r in w.values()) - (np.log(3) - (p * np.log(p)).sum()) / 2) < 1e-6 and 0 < w["a"].alpha < 1
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word"), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.when(F.col("id") % 10 == 0, "small").otherwise("big").alias("source"))
     got = mixing.mix(docs, entropy_share=0.9, most_repeats=3.0, block_tokens=500).collect()
     plan = {r.source: r for r in mixing.weights(docs.groupBy("source").agg(F.sum(mixing.tokens_of(F.col("text"))).alias("tokens")), 0.9, 3.0).collect()}
@@ -466,11 +481,46 @@ def test_quality(spark, sf, odd, none):
     model = quality.fit(docs, labels.where(~toxicity.held_out()))
     got = quality.score(docs, model).join(labels, "doc_id").where(toxicity.held_out()).toPandas()
     assert ((got.keep) == (got.quality == 1)).mean() > 0.9
-    # two hosts with the same evidence: the larger one keeps its own rate, the single document moves to the mean
     scored = quality.score(odd, model).collect()
     assert len(scored) == odd.count() and all(0 <= r.score <= 1 for r in scored)
     assert quality.score(none, model).count() == 0
     assert quality.fit(none, labels) == (None, 0.5)
+    clash = labels.withColumns({c: F.lit("z") for c in ("_id", "y", "text", "x")})
+    assert quality.fit(docs.withColumns({c: F.lit("z") for c in ("_id", "y", "x", "quality")}), clash.where(~toxicity.held_out()))[1] == model[1]
+
+
+def test_quality_posteriors(spark, sf):
+    """Hosts of opposite quality move the same evidence apart; sparse hosts stay near the mean; all by brute force."""
+    base = sf.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{base}/labels.parquet").where("quality is not null")
+    found = spark.read.parquet(f"{base}/documents.parquet").join(labels, "doc_id").select("text", "quality").orderBy("doc_id").limit(1200).collect()
+    good, bad = ([r.text for r in found if r.quality == q][:150] for q in (1, 0))
+    model = quality.fit(spark.read.parquet(f"{base}/documents.parquet"), labels)
+    chance = lambda t: 1 / (1 + np.exp(-model[0].raw(np.array([quality.features(t)]))[0]))
+    same = min((r.text for r in found), key=lambda t: abs(chance(t) - 0.5))
+    rows = [("a", "p", t) for t in good] + [("b", "p", t) for t in bad] + [("a", "p", same), ("b", "p", same), ("a", "q", same), ("c", "p", same), (None, None, same)]
+    got = quality.score(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, text string"), model).toPandas().set_index("doc_id").sort_index()
+    p = np.array([chance(t) for *_, t in rows])
+    hosts, paths = [h or "" for h, *_ in rows], [(h or "", q or "") for h, q, _ in rows]
+    mean, odds = p.mean(), lambda x: np.log(np.clip(x, 1e-6, 1 - 1e-6) / (1 - np.clip(x, 1e-6, 1 - 1e-6)))
+
+    def level(keys, parent):
+        stats = {k: [i for i, x in enumerate(keys) if x == k] for k in dict.fromkeys(keys)}
+        some = [v for v in stats.values() if len(v) > 1]
+        n, variance = sum(map(len, some)), sum(((p[v] - p[v].mean()) ** 2).sum() for v in some) / max(sum(map(len, some)) - len(some), 1)
+        spread = (sum(len(v) * (p[v].mean() - parent(v[0])) ** 2 for v in some) - len(some) * variance) / max(n, 1)
+        return stats, float(np.clip(variance / spread if spread > 0 else quality.MOST_STRENGTH, quality.LEAST_STRENGTH, quality.MOST_STRENGTH))
+
+    stats, k = level(hosts, lambda _: mean)
+    host = np.array([(p[stats[h]].sum() + k * mean) / (len(stats[h]) + k) for h in hosts])
+    stats, k = level(paths, lambda i: host[i])
+    path = np.array([(p[stats[x]].sum() - p[i] + k * host[i]) / (len(stats[x]) - 1 + k) for i, x in enumerate(paths)])
+    score = 1 / (1 + np.exp(-(odds(p) - odds(mean) + odds(path))))
+    for name, want in (("host_rate", host), ("path_rate", path), ("score", score)):
+        assert np.allclose(got[name], want, atol=1e-9), name
+    a, b, _, c, _ = range(300, 305)
+    assert got.keep[a] and not got.keep[b] and got.score[a] > got.score[c] > got.score[b]
+    assert abs(got.host_rate[c] - mean) < abs(got.host_rate[a] - mean) and abs(got.host_rate[c] - mean) < abs(got.host_rate[b] - mean)
 
 
 def test_toxicity(spark, sf, odd, none):
@@ -489,6 +539,57 @@ def test_toxicity(spark, sf, odd, none):
     assert [r.score for r in toxicity.score(odd, empty).collect()] == [0.0] * odd.count()
 
 
+def test_trees_split_like_brute_force():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (200, 3)).astype(float)
+    y = ((x[:, 1] > 3) ^ (rng.random(200) < 0.1)).astype(float)
+    trees = toxicity.Trees(x, y, trees=1, depth=1)
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    best = max(((gain(x[:, f] <= c) + gain(x[:, f] > c), f, c) for f in range(3) for c in range(5)), key=lambda b: b[0])
+    left = x[:, best[1]] <= best[2]
+    want = np.log(p / (1 - p)) - toxicity.RATE * np.where(left, g[left].sum() / (h[left].sum() + 1), g[~left].sum() / (h[~left].sum() + 1))
+    assert best[1] == 1 and np.allclose(trees.raw(x), want)
+
+
+def test_toxic_features_like_brute_force():
+    tokens = toxicity.Tokens({"vile ": 3.0, "rot": 2.0})
+    text = "You vile ROTTEN r0t, you!! said nobody v1le " + "calm " * 30
+    got = dict(zip(toxicity.FEATURES, toxicity.features(text, tokens), strict=True))
+    words = text.split()
+    hits = [1, 2, 3, 7]  # vile, ROTTEN and r0t by the beginning, v1le
+    weights = [3.0, 2.0, 2.0, 3.0]
+    second = [0, 4]
+    assert abs(got["hit_rate"] - len(hits) / len(words)) < 1e-12 and abs(got["weight_rate"] - sum(weights) / len(words)) < 1e-9
+    assert abs(got["near_second"] - sum(min(abs(i - j) for j in second) <= 5 for i in hits) / len(words)) < 1e-12
+    assert abs(got["caps_rate"] - 1 / len(words)) < 1e-12 and abs(got["odd_rate"] - 2 / len(words)) < 1e-12 and abs(got["hit_caps"] - 1 / len(words)) < 1e-12
+    assert abs(got["second_rate"] - 2 / len(words)) < 1e-12 and got["best"] == 3.0 and abs(got["window"] - sum(weights)) < 1e-9
+    assert not toxicity.features(None, tokens).any() and not toxicity.features(" \n", tokens).any()
+
+
+def test_toxicity_ties(spark):
+    """Equal texts are one row whatever their order, and columns may clash."""
+    rows = [(i, f"w{i % 7} vile {'x' * (i % 5)}" if i % 3 == 0 else f"calm w{i % 9} words") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("z") for c in ("_id", "y", "x", "term", "toxic")})
+    labels = spark.createDataFrame([(i, int("vile" in t)) for i, t in rows], "doc_id long, toxic int").withColumns({c: F.lit("z") for c in ("_id", "y", "text")})
+    one, two = toxicity.fit(docs, labels), toxicity.fit(docs.orderBy(F.desc("doc_id")).repartition(5), labels)
+    assert one.weights == two.weights and np.array_equal(one.share, two.share)
+    assert {r.doc_id for r in toxicity.score(docs, one).where("predicted = 1").collect()} == {i for i, t in rows if "vile" in t}
+
+
+def test_isotonic_like_brute_force():
+    rng = np.random.default_rng(6)
+    raw = rng.permutation(40).astype(float)
+    y = (rng.random(40) < raw / 60).astype(float)
+    order = np.argsort(raw)
+    t = y[order]
+    want = np.array([max(min(t[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)])  # the max-min formula
+    at, share = toxicity.isotonic(raw, y)
+    step = np.searchsorted(at, raw[order], "left")
+    assert all((want[i] == want[j]) == (step[i] == step[j]) for i in range(40) for j in range(40)) and (np.diff(share) >= 0).all()
+
+
 def test_isotonic():
     raw = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
     at, share = toxicity.isotonic(raw, np.array([0, 1, 0, 0, 1, 1.0]))
