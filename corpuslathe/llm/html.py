@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread, written
 
 GAMMA = 0.4
 LOW = 0.2
@@ -385,7 +385,7 @@ def style_importance(pages: DataFrame, url_col: str = "url", html_col: str = "ht
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], ["host", "beside", "place", "children", "texts"])
 
     own = pages.select(F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host")).where("html is not null and host is not null")
-    nodes = own.mapInArrow(run, "host string, beside long, place long, children long, texts long").distinct()
+    nodes = spread(own).mapInArrow(run, "host string, beside long, place long, children long, texts long").distinct()
     nodes = nodes.groupBy("host", "place", "children", "texts").agg(F.count("*").alias("n"))
 
     def entropy(of: str) -> DataFrame:
@@ -429,7 +429,7 @@ def extract(
                 low = [shared.value.get(h, ()) for h in batch.column("host").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns(batch, places, low)], ["page_id", "url", "text", "n_chars"])
 
-        return rows.mapInArrow(run, schema)
+        return spread(rows).mapInArrow(run, schema)
 
     groups = written(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("groups")))
     part = F.pmod(F.xxhash64("page_id", "url", "html"), F.col("groups")).cast("int").alias("part")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, spread, written
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
@@ -164,7 +164,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
                 at += len(part)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("text_hash")).mapInArrow(
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("text_hash"))).mapInArrow(
         run, f"doc_id {kind}, text_hash long, n_shingles long, fp long, bands array<long>, s1 long, s2 long"
     )
 
@@ -182,7 +182,7 @@ def _set_table(docs: DataFrame) -> DataFrame:
                     ["fp", "shingles"],
                 )
 
-    return docs.select("text").mapInArrow(run, "fp long, shingles array<long>")
+    return spread(docs.select("text")).mapInArrow(run, "fp long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 CAPACITY = 2048
 END_ID = 0
 BLOCK_ROWS = 4096
@@ -142,7 +144,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt int" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

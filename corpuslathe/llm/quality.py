@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread, written
 from .toxicity import Trees
 
 FIT_ROWS = 10_000
@@ -66,7 +66,7 @@ def _featured(rows: DataFrame, keep: list[str], model=None) -> DataFrame:
                 out = pa.array(1 / (1 + np.exp(-trees.raw(x))) if trees else np.full(len(x), prior))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), out], [*keep, "x" if shared is None else "p"])
 
-    rows = rows.select("text", *keep)
+    rows = spread(rows.select("text", *keep))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     return rows.mapInArrow(run, f"{schema}, " + ("x array<double>" if shared is None else "p double"))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread, written
 
 # The patterns of the kinds, in the order that breaks ties.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -71,7 +71,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str | Colu
     """A row for each row: row, doc_id, repo, owner, text_hash, base and bare spans."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     where = lambda c: (F.lit(None) if c is None else F.col(c) if isinstance(c, str) else c).cast("string")
-    base = docs.select(
+    base = spread(docs).select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), where(repo_col).alias("repo"), where(owner_col).alias("owner"), text.alias("text")
     ).withColumn("base", F.array_sort(F.concat(*(_hits(F.col("text"), k) for k in KINDS[:3]))))
     apart = F.filter(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread, written
 
 FIT_ROWS = 20_000
 TERMS = 20_000
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = own.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     text = F.col(text_col).cast("string").alias("text")
     sample = docs.select(F.col(id_col).alias("_id"), text).join(F.broadcast(chosen), "_id")  # at most FIT_ROWS rows of an id and a label
-    sample = written(sample.where("text is not null").groupBy("text").agg(F.min("_id").alias("_id"), F.max("y").alias("y")).select("_id", "text", "y"))
+    sample = spread(written(sample.where("text is not null").groupBy("text").agg(F.min("_id").alias("_id"), F.max("y").alias("y")).select("_id", "text", "y")))
     toxic, clean = (float(x or 0) for x in sample.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
 
     def count(batches):
@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     names = carry or ["doc_id"]
     columns = [F.col(c) for c in carry] if carry else [F.col(id_col).alias("doc_id")]
-    into = docs.select(F.col(text_col).cast("string").alias("_text"), *columns)
+    into = spread(docs.select(F.col(text_col).cast("string").alias("_text"), *columns))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in into.schema.fields[1:])
     return into.mapInArrow(run, f"{schema}, score double, predicted int")
 
