@@ -83,9 +83,10 @@ def fenced_line_count(text: Column) -> Column:
 
 
 def code_block(text: Column) -> Column:
-    """What stands in the first fence, wherever it is; null without one."""
-    found = F.regexp_extract(text, r"(?s)```[^\n]*\n(.*?)```", 1)
-    return F.when(text.rlike(r"(?s)```[^\n]*\n.*?```"), found)
+    """What stands in the first fence, wherever it is; null without one. A fence that
+    ends the text closes it, so that fences inside the code stay."""
+    outer, inner = r"(?s)```[^\n]*\n(.*)```\s*\z", r"(?s)```[^\n]*\n(.*?)```"
+    return F.when(text.rlike(outer), F.regexp_extract(text, outer, 1)).when(text.rlike(inner), F.regexp_extract(text, inner, 1))
 
 
 def fence_name(language: Column) -> Column:
@@ -151,11 +152,13 @@ def truncated_sentences(text: Column, sentences: int = 3, most_bytes: int = 500)
     ended = F.regexp_extract(text, rf"(?s)^((?:[^.!?]*[.!?]){{{sentences}}})", 1)
     cut = F.when(ended != "", ended).otherwise(text)
     too_long = F.octet_length(F.substr(cut, F.lit(1), F.length(cut) - 1)) >= most_bytes
-    whole = F.length(F.regexp_replace(F.decode(F.substring(F.encode(cut, "UTF-8"), 1, most_bytes), "UTF-8"), "\\x{FFFD}+$", ""))
-    head = F.substr(cut, F.lit(1), whole)
-    head = F.when(F.octet_length(head) < most_bytes, F.substr(cut, F.lit(1), whole + 1)).otherwise(head)
+    data = F.encode(cut, "UTF-8")
+    # a character that begins within the bytes is taken whole: up to three bytes that continue it follow
+    more = F.length(F.regexp_extract(F.hex(F.substring(data, most_bytes + 1, 3)), "^((?:[89AB].)*)", 1)) / 2
+    head = F.substr(data, F.lit(1), (most_bytes + more).cast("int")).cast("string")
     at_blank = F.when(head.contains(" "), F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(head)
-    return F.trim(F.when(too_long, F.concat(at_blank, F.lit("..."))).otherwise(cut))
+    said = F.when(too_long, F.concat(at_blank, F.lit("..."))).otherwise(cut)
+    return F.regexp_replace(said, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
 
 
 def json_string(text: Column) -> Column:

@@ -36,9 +36,8 @@ def token_count(text: Column, name: str = DEFAULT_ENCODING) -> Column:
 
 
 def sample_text(conversation: Column) -> Column:
-    """All that a sample's turns say, with calls, one part to a line."""
-    calls = lambda t: F.coalesce(F.transform(t["tool_calls"], lambda c: F.concat_ws("\n", c["function_name"], c["arguments"])), F.array().cast("array<string>"))
-    return F.array_join(F.flatten(F.transform(conversation, lambda t: F.concat(F.array(t["content"]), calls(t)))), "\n")
+    """All that a sample's turns say, a turn to a line; calls are no part of it."""
+    return F.array_join(F.transform(conversation, lambda t: t["content"]), "\n")
 
 
 def sample_token_count(conversation: Column, name: str = DEFAULT_ENCODING) -> Column:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 PERMUTATIONS, BANDS, SHINGLE = 128, 16, 5
 THRESHOLD = 0.85
+#: Runs of characters whose hashes a task keeps, and how many are signed at once.
+RUNS_HELD, RUNS_AT_ONCE = 1_000_000, 200_000
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         base = spark.sparkContext.getCheckpointDir()
@@ -34,6 +36,13 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer; larger inputs
+    stay as they are, so nothing is shuffled where it matters."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def seeds() -> tuple[np.ndarray, np.ndarray]:
     import xxhash
 
@@ -41,21 +50,41 @@ def seeds() -> tuple[np.ndarray, np.ndarray]:
     return hashed(0), hashed(1000)
 
 
-def shingle_hashes(text: str) -> np.ndarray:
-    """Distinct hashes of all runs of 5 characters; a shorter text is one run."""
-    import xxhash
+class _Runs(dict):
+    """Hashes of runs; forgets all when it is full."""
+
+    def __missing__(self, run: str) -> int:
+        import xxhash
 
+        if len(self) >= RUNS_HELD:
+            self.clear()
+        self[run] = h = xxhash.xxh3_64_intdigest(run.encode())
+        return h
+
+
+def shingle_hashes(text: str, held: dict | None = None) -> np.ndarray:
+    """Distinct hashes of all runs of 5 characters; a shorter text is one run."""
     if not text:
         return np.empty(0, np.uint64)
-    runs = {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
-    return np.fromiter((xxhash.xxh3_64_intdigest(r.encode()) for r in runs), np.uint64, len(runs))
+    held = _Runs() if held is None else held
+    runs = set(map("".join, zip(*(text[i:] for i in range(SHINGLE))))) if len(text) > SHINGLE else {text}  # noqa: B905
+    return np.fromiter(map(held.__getitem__, runs), np.uint64, len(runs))
+
+
+def signed(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A signature for each set; of an empty one all values are the greatest."""
+    out = np.full((len(sets), PERMUTATIONS), np.iinfo(np.uint64).max, np.uint64)
+    full = [i for i, s in enumerate(sets) if len(s)]
+    if full:
+        flat = np.concatenate([sets[i] for i in full])
+        starts = np.cumsum([0, *(len(sets[i]) for i in full[:-1])])
+        for k in range(PERMUTATIONS):
+            out[full, k] = np.minimum.reduceat(flat * a[k] + b[k], starts)
+    return out
 
 
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        out = np.minimum(out, (hashes[at : at + 4096, None] * a + b).min(0))
-    return out
+    return signed([hashes], a, b)[0]
 
 
 def signatures(texts: DataFrame, ord_col: str = "ord", text_col: str = "text") -> DataFrame:
@@ -64,16 +93,22 @@ def signatures(texts: DataFrame, ord_col: str = "ord", text_col: str = "text") -
     def run(batches):
         import xxhash
 
-        a, b = seeds()
+        (a, b), held = seeds(), _Runs()
         for batch in batches:
-            s = [signature(shingle_hashes(t or ""), a, b) for t in batch.column(1).to_pylist()]
+            s, sets, size = [], [], 0
+            for t in batch.column(1).to_pylist():
+                sets.append(shingle_hashes(t or "", held))
+                size += len(sets[-1])
+                if size >= RUNS_AT_ONCE:
+                    s, sets, size = [*s, *signed(sets, a, b)], [], 0
+            s = [*s, *signed(sets, a, b)]
             bands = [[xxhash.xxh3_64_intdigest(x[i : i + 8].astype("<u8").tobytes()) for i in range(0, PERMUTATIONS, PERMUTATIONS // BANDS)] for x in s]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array([np.array(x, np.uint64).view(np.int64) for x in bands], pa.list_(pa.int64()))],
                 ["ord", "signature", "bands"],
             )
 
-    return texts.select(F.col(ord_col).cast("long").alias("ord"), F.col(text_col).alias("text")).mapInArrow(run, "ord long, signature array<long>, bands array<long>")
+    return spread(texts.select(F.col(ord_col).cast("long").alias("ord"), F.col(text_col).alias("text"))).mapInArrow(run, "ord long, signature array<long>, bands array<long>")
 
 
 def firsts(signed: DataFrame) -> DataFrame:

@@ -166,17 +166,39 @@ def code_qa(ctx: Tables) -> DataFrame:
 
     longer = rows.where((F.col("n_lines") > 15) & kind.isin("function", "method", "class", "struct"))
     names = F.array_join(F.transform(F.filter("parameters", lambda p: (kind == "function") | _named(p)), lambda p: p["name"]), ", ")
-    use = (
-        F.when(kind == "function", T.template("let result = {}({});\n", "name", names))
-        .when(kind == "method", _or_empty(T.template("let instance = {}::new();\ninstance.{}({});\n", "parent", "name", names)))
-        .otherwise(T.template("let instance = {}::new();\n", "name"))
-    )
+    use = usage(F.col("language"), kind, names)
     asked = T.template("How would you use the `{}` {} from `{}`? Show a practical example.\n\n```{}\n{}\n```", "name", "kind", "path", "fence", F.coalesce("signature", "source_text"))
     shown = T.template("Here's how you might use `{}` from `{}`:\n\n```{}\n{}```", "name", "path", "fence", use)
     expert = T.template("You are an expert {} developer. Provide clear, practical code examples.", "language")
     return explain.unionByName(_samples(longer, ctx, 0, "CodeQA", "usage2", [turn("system", expert), turn("user", asked), turn("assistant", shown)], tokens, tier))
 
 
+#: How a language calls a function, makes an object and calls a method of it; Rust's are the fixed texts.
+CALLS = {
+    "Rust": ("let result = {}({});\n", "let instance = {}::new();\n", "instance.{}({});\n"), "Python": ("result = {}({})\n", "instance = {}()\n", "instance.{}({})\n"),
+    "TypeScript": ("const result = {}({});\n", "const instance = new {}();\n", "instance.{}({});\n"), "JavaScript": ("const result = {}({});\n", "const instance = new {}();\n", "instance.{}({});\n"),
+    "Go": ("result := {}({})\n", "instance := {}{}\n", "instance.{}({})\n"), "Java": ("var result = {}({});\n", "var instance = new {}();\n", "instance.{}({});\n"),
+    "C": ("{}({});\n", "struct {} instance;\n", "{}({});\n"), "C++": ("auto result = {}({});\n", "{} instance;\n", "instance.{}({});\n"),
+}
+
+
+def usage(language: Column, kind: Column, names: Column) -> Column:
+    """A call of the symbol in the syntax of its language; other languages are shown as Rust is."""
+
+    def of(function: str, make: str, method: str) -> Column:
+        made = lambda c: T.template(make, c, F.lit("{}")) if make.count("{}") == 2 else T.template(make, c)
+        return (
+            F.when(kind == "function", T.template(function, "name", names))
+            .when(kind == "method", _or_empty(F.concat(made("parent"), T.template(method, "name", names))))
+            .otherwise(made("name"))
+        )
+
+    out = of(*CALLS["Rust"])
+    for name, texts in CALLS.items():
+        out = F.when(language == name, of(*texts)).otherwise(out)
+    return out
+
+
 def doc_comment() -> Column:
     """A documentation comment in the style of the symbol's language."""
     language, params = F.col("language"), F.col("parameters")
@@ -184,7 +206,9 @@ def doc_comment() -> Column:
     said = F.coalesce("doc_comment", T.template("`{}` {}", "name", action))
     of = lambda text, default, which=params: F.array_join(F.transform(which, lambda p: T.template(text, p["name"], F.coalesce(p["type_annotation"], F.lit(default)))), "")
     any_ = lambda text: F.when(F.size(params) > 0, text).otherwise("")
-    rust = F.concat(T.template("/// {}\n", said), any_(F.concat(F.lit("///\n/// # Arguments\n///\n"), of("/// * `{}` - {} parameter\n", "unspecified type", F.filter(params, _named)))), _or_empty(T.template("///\n/// # Returns\n///\n/// {}\n", "return_type")))
+    own = F.filter(params, _named)
+    listed = F.when(F.size(own) > 0, F.concat(F.lit("///\n/// # Arguments\n///\n"), of("/// * `{}` - {} parameter\n", "unspecified type", own))).otherwise("")
+    rust = F.concat(T.template("/// {}\n", said), listed, _or_empty(T.template("///\n/// # Returns\n///\n/// {}\n", "return_type")))
     python = F.concat(T.template('    """{}\n\n', said), any_(F.concat(F.lit("    Args:\n"), of("        {} ({}): Description.\n", "Any"))), _or_empty(T.template("\n    Returns:\n        {}\n", "return_type")), F.lit('    """'))
     tag = F.array_join(F.transform(params, lambda p: F.concat(F.lit(" * @param {"), F.coalesce(p["type_annotation"], F.lit("*")), F.lit("} "), p["name"], F.lit(" - Description\n"))), "")
     js = F.concat(T.template("/**\n * {}\n", said), tag, _or_empty(F.concat(F.lit(" * @returns {"), F.col("return_type"), F.lit("}\n"))), F.lit(" */"))
@@ -215,7 +239,9 @@ def code_completion(ctx: Tables) -> DataFrame:
     body = F.col("body_text")
     rows = ctx.symbols.where(F.col("kind").isin("function", "method") & body.isNotNull() & (T.line_count(body) >= 3) & F.col("source_text").contains(body))
     rows = rows.join(ctx.files.select("path", "content"), "path")
-    before = F.octet_length(F.substr("source_text", F.lit(1), F.instr("source_text", body) - 1))
+    # the body ends the source, so its last match is its place; the signature may hold the same text
+    last = F.length("source_text") - F.instr(F.reverse("source_text"), F.reverse(body)) - F.length(body) + 1
+    before = F.octet_length(F.substr("source_text", F.lit(1), last))
     prefix = T.last_lines(_bytes(F.col("content"), F.lit(0), F.col("byte_start") + before), 50)
     suffix = T.first_lines(_bytes(F.col("content"), F.col("byte_end"), F.octet_length("content")), 20)
     rows = rows.withColumns({"prefix": prefix, "suffix": suffix})
@@ -267,7 +293,9 @@ def tool_calling(ctx: Tables) -> DataFrame:
     ]
     second = _samples(found, ctx, 3, "ToolCalling", "references2", turns, F.lit(300), "Moderate", tools=tools)
 
+    # once for each directory, by its first file with symbols
     own = ctx.analyses.where(F.size("symbols") > 0).select("path", "file_pos", "language", T.parent_dir(F.col("path")).alias("dir"))
+    own = own.groupBy("dir").agg(F.min(F.struct("file_pos", "path", "language")).alias("f")).select("f.path", "f.file_pos", "f.language", "dir")
     own = own.join(relations.siblings(ctx.analyses.select("path", "file_pos")), "dir").where(F.size("siblings") >= 2)
     c = call("list_directory", _arguments(path=F.col("dir")), key)
     summary = T.template("The `{}` directory contains {} file(s):\n\n{}", "dir", F.size("siblings"), F.array_join(F.transform("siblings", lambda s: F.concat(F.lit("- `"), s, F.lit("`"))), "\n"))
