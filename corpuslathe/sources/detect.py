@@ -67,6 +67,7 @@ def project_type(names: Column) -> Column:
     """Type of a folder that holds files of these names; null if none marks it."""
     out = F.lit(None).cast("string")
     for name, kind in reversed(MARKERS):
-        found = F.exists(names, lambda n, name=name: F.endswith(n, F.lit(name))) if name in (".sln", ".csproj") else F.array_contains(names, name)
+        ends = F.transform(names, lambda n: F.regexp_extract(n, r"(\.[^.]*)$", 1))
+        found = F.array_contains(ends, name) if name in (".sln", ".csproj") else F.array_contains(names, name)
         out = F.when(found, kind).otherwise(out)
     return out

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from corpuslathe import queries
 from corpuslathe.functions import text as T
-from corpuslathe.operators import quality
+from corpuslathe.functions.tokens import sample_text
+from corpuslathe.operators import dedup, quality
 from corpuslathe.plans.config import Config, Quality
 from corpuslathe.sources import detect, scan
 from corpuslathe.streaming import progress
@@ -48,6 +49,42 @@ def test_yaml_of_whole_texts(spark, sf):
     assert got == {i: t.replace('"', '\\"').replace("\n", " ").replace("\r", "").replace(":", " -") for i, t in texts.items()}
 
 
+def sentences(text, most=3, size=500):
+    out, n = "", 0
+    for c in text:
+        if len(out.encode()) >= size:
+            return (out[: out.rfind(" ")] if " " in out else out).strip() + "..." if (out[: out.rfind(" ")] if " " in out else out).strip() else "..."
+        out += c
+        n += c in ".!?"
+        if c in ".!?" and n >= most:
+            break
+    return out.strip()
+
+
+def test_truncation_at_whole_characters(spark):
+    """Characters of one to four bytes around the limit, with and without blanks."""
+    texts = [c * k + " " + c * 700 for c in "aé日𝒳" for k in (120, 124, 125, 166, 167, 249, 250, 498, 499, 500, 501)]
+    texts += ["x" * (500 - i) + c + " more words" for c in "é日𝒳\ufffd" for i in range(5)] + ["One. Two! Three? Four.", "", "  ", "a" * 500, "a" * 501, "One. " + "é" * 400 + ". Three. Four"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.truncated_sentences(F.col("t")).alias("x"))
+    got = {r.i: r.x for r in df.collect()}
+    assert {i: got[i] for i in got} == {i: sentences(t) for i, t in enumerate(texts)}
+
+
+def test_dedup_of_the_survey(spark, sf):
+    """The survey's own count at this size, and the text that is compared."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    assert docs.count() - dedup.deduplicated(docs.select(F.col("doc_id").alias("ord"), "text"), F.col("text")).count() == 115
+    turns = F.array(*(F.struct(F.lit("user").alias("role"), F.lit(t).alias("content"), F.array(F.struct(F.lit("f").alias("function_name"))).alias("tool_calls")) for t in ("a", "b")))
+    assert spark.range(1).select(sample_text(turns).alias("x")).first().x == "a\nb"
+
+
+def test_repairs(spark):
+    assert one(spark, T.code_block, "Fill\n```py\na\n```inner```\nb\n```") == "a\n```inner```\nb\n"
+    assert one(spark, T.code_block, "```py\na\n``` and text") == "a\n" and one(spark, T.code_block, "none") is None
+    kinds = spark.createDataFrame([(["demo.sln", "x"],), (["app.csproj"],), (["a.txt"],)], "n array<string>").select(detect.project_type(F.col("n")).alias("k")).collect()
+    assert [r.k for r in kinds] == ["dotnet", "dotnet", None]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
