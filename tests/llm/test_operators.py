@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with the odd cases: nulls,
 empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import functools
 import hashlib
 import itertools
 import re
@@ -111,10 +112,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def ids_of(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(packing.tokenizer_path()).encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
+def ids_of(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def test_packing_round_trip(odd, none):
@@ -199,6 +205,20 @@ def test_encoder_equals_tokenizer(text):
     assert np.frombuffer(_encoder(text), "<u4").tolist() == ids_of(text)[:-1]
 
 
+def test_encoder_on_whole_texts(spark, sf):
+    """Both ways through the encoder give the ids of tokenizers, whatever the text."""
+    encode = packing.Encoder(packing.tokenizer_path())
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").limit(300).collect()]
+    texts += ["x" * 5000, "ab" * 3000, " " * 900 + "a", "\n" * 500, "é" * 600 + " a  b", "it's I'LL we've 1234 ½²³ ªº\xa0\x85\xad x\u200by", "a\u0301 ﬁ Ǆ \x00\x1f\x7f", "日本 text", "<|endoftext|> a"]
+    assert all(np.frombuffer(encode(t), "<u4").tolist() == ids_of(t)[:-1] for t in texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=60))
+def test_fast_encoder_equals_tokenizer(text):
+    test_encoder_equals_tokenizer.hypothesis.inner_test(text)
+
+
 def base_spans(text):
     rules = [(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24)]
     found = [(m.start(), k, m.end()) for k, (p, g, n) in enumerate(rules) for m in re.finditer(p, text or "") if len(m[g]) >= n]
