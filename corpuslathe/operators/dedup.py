@@ -8,41 +8,19 @@ per component: of a chain a-b-c without a-c, both a and c stay.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import spread, written
+
 PERMUTATIONS, BANDS, SHINGLE = 128, 16, 5
 THRESHOLD = 0.85
 #: Runs of characters whose hashes a task keeps, and how many are signed at once.
 RUNS_HELD, RUNS_AT_ONCE = 1_000_000, 200_000
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that executors share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/dedup-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, if it has fewer; larger inputs
-    stay as they are, so nothing is shuffled where it matters."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def seeds() -> tuple[np.ndarray, np.ndarray]:
     import xxhash
 
@@ -135,13 +113,13 @@ def removed(edges: DataFrame) -> DataFrame:
     kept; a node with a kept earlier neighbour is removed. Every round settles at
     least the first open node of each component, most settle at once.
     """
-    edges = _written(edges.select("i", "j").distinct())
+    edges = written(edges.select("i", "j").distinct())
     nodes = edges.select(F.col("i").alias("n")).union(edges.select("j")).distinct()
-    state = _written(nodes.withColumn("kept", F.lit(None).cast("boolean")))
+    state = written(nodes.withColumn("kept", F.lit(None).cast("boolean")))
     while True:
         to = edges.join(state.select(F.col("n").alias("i"), "kept"), "i").groupBy("j").agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("open"))
         verdict = F.when(F.col("hit"), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = _written(state.join(to.withColumnRenamed("j", "n"), "n", "left").select("n", F.coalesce("kept", verdict).alias("kept")))
+        state = written(state.join(to.withColumnRenamed("j", "n"), "n", "left").select("n", F.coalesce("kept", verdict).alias("kept")))
         if state.where("kept is null").isEmpty():
             return state.where("not kept").select(F.col("n").alias("ord"))
 
@@ -160,15 +138,15 @@ def removed_by_rounds(first: DataFrame, threshold: float = THRESHOLD) -> DataFra
     open_, gone = rows, None
     while True:
         low = open_.groupBy("band", "h").agg(F.min("ord").alias("low"), F.count("*").alias("n")).where("n > 1")
-        open_ = _written(open_.select("ord", "band", "h").join(low, ["band", "h"]))
+        open_ = written(open_.select("ord", "band", "h").join(low, ["band", "h"]))
         if open_.isEmpty():
             break
-        kept = _written(open_.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("low")).alias("kept")).where("kept").select("ord"))
+        kept = written(open_.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("low")).alias("kept")).where("kept").select("ord"))
         lead = open_.join(kept, "ord").select(F.col("ord").alias("i"), "band", "h")
         pairs = lead.join(open_.select(F.col("ord").alias("j"), "band", "h"), ["band", "h"]).where("i < j").select("i", "j").distinct()
         same = F.aggregate(F.zip_with("s", "t", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, v: n + v)
         near = pairs.join(signed.toDF("i", "s"), "i").join(signed.toDF("j", "t"), "j").where(same / F.lit(float(PERMUTATIONS)) >= threshold)
-        now = _written(near.select(F.col("j").alias("ord")).distinct())
+        now = written(near.select(F.col("j").alias("ord")).distinct())
         gone = now if gone is None else gone.union(now)
         open_ = open_.join(kept.union(now), "ord", "left_anti")
     return gone if gone is not None else signed.select("ord").limit(0)
@@ -176,7 +154,7 @@ def removed_by_rounds(first: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 def deduplicated(samples: DataFrame, text, ord_col: str = "ord", threshold: float = THRESHOLD) -> DataFrame:
     """``samples`` without those that the rule removes; ``text`` is a column."""
-    signed = _written(signatures(samples.select(F.col(ord_col).alias("ord"), text.alias("text"))))
-    first = _written(firsts(signed))
+    signed = written(signatures(samples.select(F.col(ord_col).alias("ord"), text.alias("text"))))
+    first = written(firsts(signed))
     gone = removed_by_rounds(first, threshold).union(signed.join(first, signed.ord == first.i, "left_anti").select("ord"))
     return samples.join(gone.withColumnRenamed("ord", ord_col), ord_col, "left_anti")

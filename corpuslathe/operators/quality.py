@@ -27,6 +27,19 @@ def is_boilerplate(source: Column) -> Column:
     return (n == 0) | ((n <= 3) & F.lower(source).rlike(r"get|set|return self\.")) | ((n > 5) & (comments / n > 0.7))
 
 
+def sources_passed(files: DataFrame, config: Quality) -> DataFrame:
+    """Files (path, content, line_count) that samples may be made of. Generated files,
+    boilerplate and long files go if the settings say so; files without text stay."""
+    kept = files
+    if config.skip_generated:
+        kept = kept.where(~F.coalesce(is_generated(F.col("path"), F.col("content")), F.lit(False)))
+    if config.skip_boilerplate:
+        kept = kept.where(~F.coalesce(is_boilerplate(F.col("content")), F.lit(False)))
+    if config.max_line_count is not None:
+        kept = kept.where(F.col("line_count") <= config.max_line_count)
+    return kept
+
+
 def turn_reason(turn: Column, config: Quality) -> Column:
     """Why an assistant turn is rejected, or null."""
     content = turn["content"]

@@ -21,11 +21,14 @@ class Result:
     kept: DataFrame
 
 
-def project_tables(spark: SparkSession, root: str, project: str, work: str, description: str = "") -> Tables:
-    """A project's files and analyses, each written once below ``work``."""
-    scan.project_files(spark, root).write.mode("overwrite").parquet(f"{work}/files")
+def project_tables(spark: SparkSession, root: str, project: str, work: str, description: str = "", config: Config | None = None) -> Tables:
+    """A project's files and analyses, each written once below ``work``. Files that
+    the quality settings leave out are listed but not analysed."""
+    config = config or Config()
+    own = config.ignore
+    scan.project_files(spark, root, own.skip_sensitive, own.use_gitignore, own.max_file_bytes, own.user_patterns).write.mode("overwrite").parquet(f"{work}/files")
     files = spark.read.parquet(f"{work}/files")
-    symbols.analysed(files).write.mode("overwrite").parquet(f"{work}/analyses")
+    symbols.analysed(quality.sources_passed(files, config.quality)).write.mode("overwrite").parquet(f"{work}/analyses")
     return Tables(project, description, files, spark.read.parquet(f"{work}/analyses"))
 
 

@@ -45,11 +45,11 @@ class Session:
         return scan.discover(self.spark, root)
 
     def scan(self, root: str) -> Project:
-        """Scans a project, reads its description and remembers it. The id follows
-        from the path."""
+        """Scans a project by the present settings, reads its description and remembers
+        it. The id follows from the path."""
         key = hashlib.sha256(root.encode()).hexdigest()[:16]
         name = root.rstrip("/").rpartition("/")[2]
-        tables = pipeline.project_tables(self.spark, root, name, f"{self.work}/{key}")
+        tables = pipeline.project_tables(self.spark, root, name, f"{self.work}/{key}", config=self.config)
         found = scan.discover(self.spark, root).where(F.col("path") == root).first()
         tables.description = self.readme_description(tables.files)
         totals = statistics.language_totals(tables.files).where("is_total").first()

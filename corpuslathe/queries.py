@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.tables import written
 from .functions.tokens import content_hash, sample_text
 from .operators import dedup, quality, relations, statistics, symbols
 from .plans.config import Quality
@@ -179,8 +180,8 @@ def deduplicated_documents(spark, sf_dir):
 @query()
 def minhash_links(spark, sf_dir):
     """Linked pairs of documents and their estimated similarity."""
-    signed = dedup._written(dedup.signatures(table(spark, sf_dir, "documents"), "doc_id"))
-    return dedup.links(dedup._written(dedup.firsts(signed)))
+    signed = written(dedup.signatures(table(spark, sf_dir, "documents"), "doc_id"))
+    return dedup.links(written(dedup.firsts(signed)))
 
 
 def _json(x: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import statistics
-from .formats import TOOL_SUPPORT, formatted
+from .formats import BLURBS, FEATURES, TOOL_SUPPORT, formatted
 
 # Licences that a card may name.
 LICENCES = ("mit", "apache-2.0", "gpl-3.0", "bsd-3-clause", "cc-by-4.0", "cc-by-sa-4.0", "cc0-1.0", "other")
@@ -39,6 +39,15 @@ def manifest(spark: SparkSession, path: str, project: str, n_samples: int, style
     return text
 
 
+def validated(spark: SparkSession, outputs: list[str]) -> list[str]:
+    """``outputs``, if each is a folder that holds JSON lines and nothing else."""
+    for folder in outputs:
+        lines = spark.read.text(folder)  # raises if there is no such folder
+        if not lines.where(F.get_json_object("value", "$").isNull()).isEmpty():
+            raise ValueError(f"{folder} holds lines that are no JSON")
+    return outputs
+
+
 def size_bucket(n: int) -> str:
     for bound, name in ((1_000, "n<1K"), (10_000, "1K<n<10K"), (100_000, "10K<n<100K"), (1_000_000, "100K<n<1M")):
         if n < bound:
@@ -50,6 +59,16 @@ def yaml_escaped(text: str) -> str:
     return text.replace('"', '\\"').replace("\n", " ").replace("\r", "").replace(":", " -")
 
 
+def features(style: str) -> list[str]:
+    """A format's columns as YAML lines."""
+    out = []
+    for name, fields in FEATURES[style].items():
+        out += [f"  - name: {name}", "    list:" if fields else "    dtype: string"]
+        for x in fields:
+            out += [f"    - name: {x}", "      dtype: string"]
+    return out
+
+
 def card(project: str, description: str, licence: str, styles: tuple[str, ...], counts: list[Row], tokens: Row, now: datetime) -> str:
     """Dataset card from (dimension, key, n) rows and the token statistics."""
     if licence not in LICENCES:
@@ -57,12 +76,17 @@ def card(project: str, description: str, licence: str, styles: tuple[str, ...],
     by = lambda d: sorted(((r.key, r.n) for r in counts if r.dimension == d), key=lambda x: (-x[1], x[0]))
     table = lambda head, rows: "\n".join([f"| {head} | Samples |", "|---|---|", *(f"| {k} | {n} |" for k, n in rows)])
     total = sum(n for _, n in by("type"))
-    front = ["---", f"license: {licence}", "task_categories:", "- text-generation", f'pretty_name: "{yaml_escaped(project)}"', "size_categories:", f"- {size_bucket(total)}", "configs:"]
+    front = [
+        "---", f"license: {licence}", "language:", "- en", f'pretty_name: "{yaml_escaped(project)} Training Data"', "size_categories:", f"- {size_bucket(total)}", "tags:", "- code", "- synthetic", "- fine-tuning",
+        "task_categories:", "- text-generation", "configs:",
+    ]
     for style in styles:
         front += [f"- config_name: {style.lower()}", "  data_files:", "  - split: train", f"    path: data/{style.lower()}/*"]
+    # the columns are those of the first format
+    front += ["dataset_info:", "  features:", *features((styles or ("OpenAI",))[0]), "  splits:", "  - name: train", f"    num_examples: {total}"]
     body = [
         "---", "", f"# {project}", "", description, "", f"Generated {now:%Y-%m-%d}. {total} samples.", "", "## Formats", "",
-        *(f"- `{s.lower()}`" + ("" if TOOL_SUPPORT[s] else " (without tools)") for s in styles), "", "## Samples", "", table("Type", by("type")), "", table("Language", by("language")), "",
+        *(x for s in styles for x in (BLURBS[s] + ("" if TOOL_SUPPORT[s] else " Without tools."), "")), "## Samples", "", table("Type", by("type")), "", table("Language", by("language")), "",
         f"Tokens: {tokens['sum']} in all, {tokens['min']} to {tokens['max']}, mean {tokens['mean']}, median {tokens['median']}, p90 {tokens['p90']}, p99 {tokens['p99']}.", "",
     ]
     return "\n".join([*front, *body])
@@ -72,7 +96,7 @@ def staged(spark: SparkSession, samples: DataFrame, path: str, project: str, des
     """Everything that a hub needs, as files below ``path``."""
     if not re.fullmatch(r"[A-Za-z0-9_][A-Za-z0-9._-]{0,95}", project):
         raise ValueError(f"{project!r} is no name for a repository")
-    outputs = export(samples, path, styles)
+    outputs = validated(spark, export(samples, path, styles))
     counts = statistics.counts(samples).collect()  # one row for each type, language and tier
     tokens = statistics.order_statistics(samples.select(F.col("metadata.estimated_tokens").alias("n")), "n").first()
     _put(spark, f"{path}/card", card(project, description, licence, styles, counts, tokens, now))

@@ -200,6 +200,20 @@ CATALOGUE = [
     ("ShareGPT", "ShareGPT", "Legacy conversations format for LlamaFactory/Unsloth.", ["LlamaFactory", "Unsloth"]),
     ("Alpaca", "Alpaca", "Simple instruction/input/output triplets.", ["Any instruction-tuned model"]),
 ]
+# What a dataset card says of each format, and its columns (with the
+# fields of their items, if they are lists).
+BLURBS = {
+    "OpenAI": "**OpenAI Chat** — `messages` array with `role`/`content` objects.",
+    "ChatML": "**ChatML/Hermes** — `<|im_start|>`/`<|im_end|>` delimited text.",
+    "Llama4": "**Llama 4** — Header token delimited conversation format.",
+    "Mistral": "**Mistral** — `[INST]`/`[/INST]` control token format.",
+    "ShareGPT": "**ShareGPT** — `conversations` array with `from`/`value` objects.",
+    "Alpaca": "**Alpaca** — `instruction`/`input`/`output` triplets.",
+}
+FEATURES = {
+    "OpenAI": {"messages": ["role", "content"]}, "ShareGPT": {"conversations": ["from", "value"]}, "Alpaca": {"instruction": [], "input": [], "output": []},
+    "ChatML": {"text": []}, "Llama4": {"text": []}, "Mistral": {"text": []},
+}
 
 
 def catalogue(spark) -> DataFrame:

@@ -1,32 +1,37 @@
 """Projects and their files.
 
-Folders are listed in parallel: the first levels on the driver (names only), each
-sub-tree in a task that prunes ignored folders as it goes and tests sizes before it
-reads. Spark's own recursive file source is not used, as it leaves out names that
-begin with an underscore.
+Folders are listed level by level: each level is a table of folders, dealt to all
+tasks, so no sub-tree waits for one of them. Ignored folders aren't entered. The
+paths found are dealt to tasks again, by chance as all files are small, and each file
+is read once. Spark's own recursive file source is not used, as it leaves out names
+that begin with an underscore.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import spread, written
 from ..functions.tokens import content_hash
 from . import detect
 
 MAX_BYTES = 1_000_000
+#: Files that a task reads, 64 at a time.
+FILES_PER_TASK = 2_000
 README_NAMES = ("README.md", "readme.md", "README", "Readme.md", "README.txt", "README.rst", "readme.txt", "README.markdown")
 
 
-def _git_ignore(folder: str) -> list[tuple[re.Pattern, bool, bool]]:
+def _git_ignore(file: str) -> list[tuple[re.Pattern, bool, bool]]:
     """Rules (pattern on the path below the folder, negated, folders only)."""
     try:
-        with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+        with open(file, encoding="utf-8", errors="replace") as f:
             rows = [x.rstrip("\n").rstrip() for x in f]
     except OSError:
         return []
@@ -42,44 +47,80 @@ def _git_ignore(folder: str) -> list[tuple[re.Pattern, bool, bool]]:
     return rules
 
 
-def walk(root: str, start: str, skip: re.Pattern, use_gitignore: bool = True, max_bytes: int = MAX_BYTES):
-    """Paths below root of the files under ``start``; hidden names, links and what
-    the rules name are left out. Entries that can't be read are passed over."""
-    rules: list[tuple[str, list]] = []
-    parts = [p for p in start.split("/") if p]
-    for depth in range(len(parts)) if use_gitignore else ():
-        folder = "/".join(parts[:depth])
-        rules.append((folder, _git_ignore(os.path.join(root, folder))))
-
-    def left_out(path: str, is_dir: bool, rules: list) -> bool:
+def listed(root: str, folder: str, skip: re.Pattern, use_gitignore: bool = True, max_bytes: int = MAX_BYTES, held: dict | None = None):
+    """(path, is_dir) of what a folder below root holds; hidden names, links, large
+    files and what the rules name are left out. Rules are those of ``.gitignore`` files
+    from the root down and the repository's exclude file; a user's own aren't read, as
+    they differ between machines. Entries that can't be read are passed over. ``held``
+    keeps rules between calls."""
+    held = {} if held is None else held
+    parts = [p for p in folder.split("/") if p]
+    above = ["/".join(parts[:n]) for n in range(len(parts) + 1)] if use_gitignore else []
+    for base in above:
+        if base not in held:
+            held[base] = _git_ignore(os.path.join(root, base, ".gitignore"))
+            if not base:
+                held[base] = _git_ignore(os.path.join(root, ".git/info/exclude")) + held[base]
+
+    def left_out(path: str, is_dir: bool) -> bool:
         gone = False
-        for base, own in rules:
+        for base in above:
             below = path[len(base) + 1 :] if base else path
-            for pattern, negated, only in own:
+            for pattern, negated, only in held[base]:
                 if (is_dir or not only) and pattern.match(below):
                     gone = not negated
         return gone
 
-    def go(folder: str, rules: list):
-        if use_gitignore:
-            rules = [*rules, (folder, _git_ignore(os.path.join(root, folder)))]
-        try:
-            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
-        except OSError:
-            return
+    try:
+        entries = os.scandir(os.path.join(root, folder))
+    except OSError:
+        return
+    with entries:
         for e in entries:
             path = f"{folder}/{e.name}" if folder else e.name
             try:
-                if e.name.startswith(".") or skip.match(e.name) or e.is_symlink() or left_out(path, e.is_dir(), rules):
+                is_dir = e.is_dir()
+                if e.name.startswith(".") or skip.match(e.name) or e.is_symlink() or left_out(path, is_dir):
                     continue
-                if e.is_dir():
-                    yield from go(path, rules)
-                elif e.is_file() and e.stat().st_size <= max_bytes:
-                    yield path
+                if is_dir or (e.is_file() and e.stat().st_size <= max_bytes):
+                    yield path, is_dir
             except OSError:
                 continue
 
-    yield from go(start, rules)
+
+def _frames(rows, columns: list[str], at_once: int):
+    """Data frames of at most ``at_once`` rows."""
+    while part := list(islice(rows, at_once)):
+        yield pd.DataFrame(part, columns=columns)
+
+
+def project_paths(spark: SparkSession, root: str, skip: re.Pattern, use_gitignore: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path) of a project's files: a job for each level of its folders."""
+
+    def level(batches):
+        held: dict = {}
+        for pdf in batches:
+            rows = (r for folder in pdf.path for r in listed(root, folder, skip, use_gitignore, max_bytes, held))
+            yield from _frames(rows, ["path", "is_dir"], 10_000)
+            held.clear()
+
+    folders, found = spark.createDataFrame([("",)], "path string"), None
+    while True:
+        own = written(spread(folders).mapInPandas(level, "path string, is_dir boolean"))
+        files, folders = own.where("not is_dir").select("path"), own.where("is_dir").select("path")
+        found = files if found is None else found.union(files)
+        if folders.isEmpty():
+            return found
+
+
+def numbered(paths: DataFrame, name: str = "file_pos") -> DataFrame:
+    """``paths`` (path) with their place in byte order, from 0. Ranges of paths are
+    numbered apart; only their counts, a row for each range, meet in one place."""
+    ranges = written(paths.repartitionByRange("path").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranges.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("path")) - 1
+    return ranges.withColumn(name, place).join(F.broadcast(first), "_part").select("path", (F.col("_first") + F.col(name)).cast("long").alias(name))
 
 
 def project_files(spark: SparkSession, root: str, sensitive: bool = True, use_gitignore: bool = True, max_bytes: int = MAX_BYTES, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -87,44 +128,35 @@ def project_files(spark: SparkSession, root: str, sensitive: bool = True, use_gi
     content) of a project's files; content is null where it is no UTF-8 text.
 
     ``root`` has to be visible to all executors. file_pos counts paths in byte order.
+    ``extra`` are globs of names to leave out. An empty folder has no rows.
     """
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    globs = [*detect.IGNORED, *(detect.SENSITIVE if sensitive else ()), *extra]
-    skip = detect.ignored_pattern(globs)
-    rules = [("", _git_ignore(root))] if use_gitignore else []
-    hidden = lambda e: e.name.startswith(".") or skip.match(e.name) or e.is_symlink() or any(p.match(e.name) and not neg for _, r in rules for p, neg, only in r if e.is_dir() or not only)
-    top = [e for e in os.scandir(root) if not hidden(e)]
-    starts = [(e.name, e.is_dir()) for e in top]
+    skip = detect.ignored_pattern([*detect.IGNORED, *(detect.SENSITIVE if sensitive else ()), *extra])
+
+    def contents(paths):
+        for path in paths:
+            try:
+                with open(os.path.join(root, path), "rb") as f:
+                    raw = f.read(max_bytes + 1)
+            except OSError:
+                continue
+            if len(raw) <= max_bytes:  # it may have grown since it was listed
+                yield path, raw
 
     def read(batches):
         for pdf in batches:
-            rows = []
-            for name, is_dir in zip(pdf.name, pdf.is_dir, strict=True):
-                for path in walk(root, name, skip, use_gitignore, max_bytes) if is_dir else [name]:
-                    full = os.path.join(root, path)
-                    try:
-                        if os.path.getsize(full) > max_bytes:
-                            continue
-                        with open(full, "rb") as f:
-                            rows.append((path, f.read()))
-                    except OSError:
-                        continue
-                    if len(rows) >= 64:
-                        yield pd.DataFrame(rows, columns=["path", "raw"])
-                        rows = []
-            yield pd.DataFrame(rows, columns=["path", "raw"])
-
-    listed = spark.createDataFrame(starts, "name string, is_dir boolean").repartition(max(1, len(starts)))
-    raw = listed.mapInPandas(read, "path string, raw binary")
+            yield from _frames(contents(pdf.path), ["path", "raw"], 64)
+
+    paths = project_paths(spark, root, skip, use_gitignore, max_bytes)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-paths.count() // FILES_PER_TASK))
+    raw = paths.repartition(tasks).mapInPandas(read, "path string, raw binary")
     text = F.when(F.is_valid_utf8(F.col("raw").cast("string")), F.col("raw").cast("string"))
     files = raw.select(
         "path", F.length("raw").cast("long").alias("size_bytes"), detect.is_binary(F.col("raw")).alias("is_binary"), content_hash(F.col("raw")).alias("content_hash"), text.alias("content")
     ).where("not is_binary")
-    files = files.withColumns({"language": detect.language(F.col("path"), F.col("content")), "line_count": T.line_count(F.coalesce("content", F.lit("")))})
-    # one project's paths are numbered in one place; contents are not
-    order = files.select("path").withColumn("file_pos", F.row_number().over(Window.orderBy("path")) - 1)
-    return files.join(order, "path").select("path", "file_pos", "language", "size_bytes", "line_count", "is_binary", "content_hash", "content")
+    files = written(files.withColumns({"language": detect.language(F.col("path"), F.col("content")), "line_count": T.line_count(F.coalesce("content", F.lit("")))}))
+    return files.join(numbered(files.select("path")), "path").select("path", "file_pos", "language", "size_bytes", "line_count", "is_binary", "content_hash", "content")
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:

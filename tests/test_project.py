@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslathe.operators import dedup, quality, relations, statistics, symbols
 from corpuslathe.plans import pipeline
-from corpuslathe.plans.config import FORMATS, SAMPLE_TYPES, Config
+from corpuslathe.plans.config import FORMATS, SAMPLE_TYPES, Config, Ignore, Quality
 from corpuslathe.sinks import export, formats
 from corpuslathe.sources import scan
 
@@ -125,6 +125,67 @@ def test_scan(ctx):
     assert rows["pkg/__init__.py"].line_count == 0 and rows["src/run.go"].line_count == 15
 
 
+def test_scan_settings(spark, tmp_path):
+    root = tmp_path / "tree"
+    deep = "/".join(f"d{i}" for i in range(6))
+    files = {
+        f"{deep}/x.py": "x = 1\n" * 4, f"{deep}/y.log": "y", f"{deep}/keep.log": "k", ".gitignore": "*.log\n", f"{deep}/.gitignore": "!keep.log\n", ".git/info/exclude": "own/\n", "own/a.py": "a = 1\n",
+        "gen.py": "# Code generated by x. DO NOT EDIT.\na = 1\n", "long.py": "def f():\n    return 1\n" * 30, "notes.skip": "n", "private.key": "k", "é.py": "e = 1\n" * 4,
+        **{f"many/{i:03}.txt": "t" for i in range(150)},
+    }
+    for path, text in files.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+
+    def scanned(**settings):
+        rows = scan.project_files(spark, str(root), **settings).orderBy("file_pos").collect()
+        assert [r.file_pos for r in rows] == list(range(len(rows)))
+        assert [r.path for r in rows] == sorted((r.path for r in rows), key=str.encode)
+        assert all(files[r.path] == r.content for r in rows)
+        return {r.path for r in rows}
+
+    every = {p for p in files if not p.startswith(".") and not p.endswith("/.gitignore")}
+    assert scanned() == every - {f"{deep}/y.log", "own/a.py", "private.key"}
+    assert scanned(use_gitignore=False, extra=("*.skip", "many")) == {p for p in every if p not in ("notes.skip", "private.key") and not p.startswith("many/")}
+    assert scanned(sensitive=False, max_bytes=1) == {p for p in every if len(files[p]) == 1 and not p.endswith("y.log")}
+    (tmp_path / "none").mkdir()
+    assert scan.project_files(spark, str(tmp_path / "none")).isEmpty()
+    with pytest.raises(NotADirectoryError):
+        scan.project_files(spark, str(root / "gen.py"))
+
+    config = Config(ignore=Ignore(user_patterns=("many",)), quality=Quality(skip_generated=True, max_line_count=50))
+    ctx = pipeline.project_tables(spark, str(root), "p", str(tmp_path / "work"), config=config)
+    assert {r.path for r in ctx.analyses.collect()} == {f"{deep}/x.py", "é.py"} and {"gen.py", "long.py"} <= {r.path for r in ctx.files.collect()}
+
+
+def test_sources_passed(spark):
+    rows = [("a.lock", "x\ny\nz\nw\n", 4), ("api.generated.ts", "x\n" * 9, 9), ("c.py", "# c\n" * 9, 9), ("d.py", "d = 1\n" * 9, 9), ("e.py", None, 0)]
+    files = spark.createDataFrame(rows, "path string, content string, line_count int")
+    names = lambda **settings: {r.path for r in quality.sources_passed(files, Quality(**settings)).collect()}
+    assert len(names()) == 5 and names(skip_generated=True) == {"c.py", "d.py", "e.py"}
+    assert names(skip_boilerplate=True) == {"a.lock", "api.generated.ts", "d.py", "e.py"} and names(max_line_count=5) == {"a.lock", "e.py"}
+    for wrong in (lambda: Quality(max_line_count=1), lambda: Ignore(max_file_bytes=0)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_card_and_outputs(spark, tmp_path):
+    from datetime import datetime
+
+    for style, columns in formats.FEATURES.items():
+        text = export.card("a: b", "About", "mit", (style,), [], dict.fromkeys(("sum", "min", "max", "mean", "median", "p90", "p99"), 0), datetime(2026, 1, 1))
+        front = text.split("---")[1]
+        assert all(f"  - name: {c}\n" in front for c in columns) and "    num_examples: 0" in front and 'pretty_name: "a - b Training Data"' in front
+        assert formats.BLURBS[style] in text
+    spark.createDataFrame([('{"a": 1}',), ("{}",)], "value string").write.text(str(tmp_path / "good"))
+    spark.createDataFrame([('{"a": 1}',), ("no",)], "value string").write.text(str(tmp_path / "bad"))
+    assert export.validated(spark, [str(tmp_path / "good")]) == [str(tmp_path / "good")]
+    with pytest.raises(ValueError):
+        export.validated(spark, [str(tmp_path / "bad")])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        export.validated(spark, [str(tmp_path / "absent")])
+
+
 def test_discover_and_description(spark, tree, ctx):
     (found,) = scan.discover(spark, str(tree)).collect()
     assert found.project_type == "python" and found.has_readme
