@@ -10,12 +10,15 @@ codewords, joined in pairs to tables of 256 entries, are summed by the codes of
 block of vectors. All vectors whose approximate score comes within ``MARGIN``
 errors of the k-th best are reranked exactly, however many they are.
 
-Equal vectors are one entry with their smallest ids. Queries and vectors meet in
-blocks of bounded size; a task keeps k results of each query that it has seen.
+Equal vectors are one entry with the first of their rows. Queries and vectors meet in
+blocks of bounded size; a task keeps the tables of ``HELD`` blocks of queries, with k
+results a query, and hands over the rest.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,14 +34,16 @@ BLOCK_QUERIES = 256
 #: Reranks reach down so many standard errors of the approximate scores.
 MARGIN = 3.0
 SALTS = 64
+HELD = 8
+LAST = 2**63 - 1
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) with v as doubles; without null ids, and vectors that are null,
-    empty, zero or hold null or non-finite components."""
+    """(vec_id, v) with v as doubles; without vectors that are null, empty, zero or hold
+    null or non-finite components."""
     v = F.col(vector_col).cast("array<double>").alias("v")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return vectors.select(F.col(id_col).alias("vec_id"), v).where(F.col("vec_id").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
+    return vectors.select(F.col(id_col).alias("vec_id"), v).where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
 
 
 class Quantiser:
@@ -124,25 +129,26 @@ def scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best exact results of each query of a block, over the blocks seen."""
+    """The k best exact results of each query of a block, over the blocks seen; ties go
+    to the smaller first id, then to the smaller number."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, quantiser: Quantiser, k: int):
         self.ids, self.queries, self.k = ids, queries, k
         self.tables = quantiser.tables(queries)
         self.slack = MARGIN * quantiser.error * np.linalg.norm(queries, axis=1) / quantiser.scale
-        self.rows = np.empty((0, 2), np.int64)
+        self.rows = np.empty((0, 3), np.int64)
         self.scores = np.empty(0)
         self.least = np.full(len(ids), -np.inf)
 
-    def meet(self, ids: np.ndarray, packed: np.ndarray, vectors: np.ndarray) -> None:
+    def meet(self, ids: np.ndarray, firsts: np.ndarray, packed: np.ndarray, vectors: np.ndarray) -> None:
         near = scan(self.tables, packed)
         k = min(self.k, len(ids))
         low = np.maximum(np.partition(near, len(ids) - k, 1)[:, len(ids) - k], self.least) - self.slack
         q, r = np.nonzero(near >= low[:, None])
         scores = np.concatenate([np.einsum("ij,ij->i", self.queries[q[i : i + 65536]], vectors[r[i : i + 65536]]) for i in range(0, max(len(q), 1), 65536)])
-        rows = np.concatenate([self.rows, np.stack([q, ids[r]], 1)])
+        rows = np.concatenate([self.rows, np.stack([q, ids[r], firsts[r]], 1)])
         scores = np.concatenate([self.scores, scores])
-        order = np.lexsort((rows[:, 1], -scores, rows[:, 0]))
+        order = np.lexsort((rows[:, 1], rows[:, 2], -scores, rows[:, 0]))
         rows, scores = rows[order], scores[order]
         place = np.arange(len(rows)) - np.searchsorted(rows[:, 0], rows[:, 0])
         keep = place < self.k
@@ -152,18 +158,19 @@ class _Best:
 
 
 def _blocks(rows: DataFrame, size: int, quantiser) -> DataFrame:
-    """Blocks of rows (rep, v) as bytes: ids, vectors and, with a quantiser, codes."""
+    """Blocks of rows (rep, first, v) as bytes: numbers, first ids, vectors and, with a
+    quantiser, codes."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                x = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                ids, firsts = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+                x = np.stack(part.column(2).to_numpy(zero_copy_only=False)).astype(np.float64)
                 codes = quantiser.value.packed(quantiser.value.codes(x)).tobytes() if quantiser else b""
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in (ids.tobytes(), x.tobytes(), codes)], ["ids", "vectors", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in (ids.tobytes(), firsts.tobytes(), x.tobytes(), codes)], ["ids", "firsts", "vectors", "codes"])
 
-    return rows.mapInArrow(run, "ids binary, vectors binary, codes binary")
+    return rows.select("rep", "first", "v").mapInArrow(run, "ids binary, firsts binary, vectors binary, codes binary")
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -171,70 +178,83 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     divisible by ``every`` against all other rows, by largest inner product of the
     original vectors in double precision; ties go to the smaller id.
 
-    Rows with a null id, and vectors that are null, zero, hold null or non-finite
-    components or are not as long as most, take no part. Rows that repeat an id
-    are one candidate, with the least of their vectors. Fewer than k candidates are all returned; an empty
-    table gives no rows. Other columns are not read.
+    Vectors that are null, zero or hold null or non-finite components take no part.
+    Every other row is a candidate of its own: rows that repeat an id too, as queries
+    as well, and rows without id, which come last among ties. Vectors meet those of
+    their own length, a search for each length. Fewer than k candidates are all
+    returned; an empty table gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()  # at most fit_rows
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], schema)
-    sizes = [len(r.v) for r in sample]
-    dim = max(sorted(set(sizes)), key=sizes.count)
-    x = np.array([r.v for r in sample if len(r.v) == dim])
+    rows = written(usable(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in rows.select(F.size("v").alias("dim")).distinct().collect():  # a row for each length
+        found = found.union(_searched(rows.where(F.size("v") == r.dim), r.dim, k, every, fit_rows))
+    return found
+
+
+def _searched(rows: DataFrame, dim: int, k: int, every: int, fit_rows: int) -> DataFrame:
+    """``search`` over rows (vec_id, v, row) of one length."""
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64("vec_id"), "row").limit(fit_rows).select("v").collect()  # at most fit_rows
+    x = np.array([r.v for r in sample])
     fitted = Quantiser(np.unique(x, axis=0))
     fitted.scale = float(np.sqrt((x**2).sum(1).mean()))
     quantiser = spark.sparkContext.broadcast(fitted)
 
-    each = rows = rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
-    for by in (["v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))], ["v"]):  # the k + 1 smallest ids of equal vectors, a common vector in parts first
-        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    entries = written(rows.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.element_at("ids", 1)))
+    each, in_order = rows, [F.col("vec_id").asc_nulls_last(), "row"]
+    for by in (["v", F.pmod(F.xxhash64("row"), F.lit(SALTS))], ["v"]):  # the first k + 1 of equal vectors, a common vector in parts first
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*in_order))).where(F.col("n") <= k + 1).drop("n")
+    first = F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST))
+    entries = written(rows.groupBy("v").agg(F.collect_list(F.struct("vec_id", "row")).alias("ids"), F.min("row").alias("rep"), F.min(first).alias("first")))
     asked = each.where(F.col("vec_id") % every == 0)
-    asked = written(asked.join(entries.select("v", "rep"), "v").select("vec_id", "rep"))
-    queries = entries.select("rep", "v").join(asked.select("rep").distinct(), "rep", "left_semi")
+    asked = written(asked.join(entries.select("v", "rep"), "v").select("vec_id", "row", "rep"))
+    queries = entries.join(asked.select("rep").distinct(), "rep", "left_semi")
 
     # full blocks: as many partitions as there are blocks
     parts = lambda df, size: df.repartition(max(1, -(-df.count() // size)))
-    left = written(_blocks(parts(entries.select("rep", "v"), BLOCK_ROWS), BLOCK_ROWS, quantiser))
-    right = written(_blocks(parts(queries, BLOCK_QUERIES), BLOCK_QUERIES, None))
+    left = written(_blocks(parts(queries, BLOCK_QUERIES), BLOCK_QUERIES, None))
+    right = written(_blocks(parts(entries, BLOCK_ROWS), BLOCK_ROWS, quantiser))
     # the stated queries against all rows: blocks meet blocks, not rows rows
-    met = left.crossJoin(right.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.xxhash64("ids").alias("q")))
+    met = left.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.xxhash64("ids").alias("q")).crossJoin(right)
 
     def run(batches):
-        best: dict[int, _Best] = {}
+        best: OrderedDict[int, _Best] = OrderedDict()
+
+        def out(b: _Best) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(b.ids[b.rows[:, 0]]), pa.array(b.rows[:, 1]), pa.array(b.rows[:, 2]), pa.array(b.scores)], ["q", "rep", "first", "score"])
+
         for batch in batches:
-            for ids, v, codes, q_ids, q_v, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for q_ids, q_v, q, ids, firsts, v, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if q not in best:
                     own = np.frombuffer(q_ids, np.int64)
                     best[q] = _Best(own, np.frombuffer(q_v).reshape(len(own), dim), quantiser.value, k + 1)
-                ids = np.frombuffer(ids, np.int64)
-                best[q].meet(ids, np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(v).reshape(len(ids), dim))
+                    if len(best) > HELD:
+                        yield out(best.popitem(last=False)[1])
+                best.move_to_end(q)
+                ids, firsts = np.frombuffer(ids, np.int64), np.frombuffer(firsts, np.int64)
+                best[q].meet(ids, firsts, np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(v).reshape(len(ids), dim))
         for b in best.values():
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids[b.rows[:, 0]]), pa.array(b.rows[:, 1]), pa.array(b.scores)], ["q", "rep", "score"])
+            yield out(b)
 
-    found = met.select("ids", "vectors", "codes", "q_ids", "q_vectors", "q").mapInArrow(run, "q long, rep long, score double")
-    top = lambda of: Window.partitionBy(of).orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1).drop("n")
-    near = found.join(entries.select("rep", "ids"), "rep").select("q", F.explode("ids").alias("vec_id"), "score")
+    found = met.select("q_ids", "q_vectors", "q", "ids", "firsts", "vectors", "codes").mapInArrow(run, "q long, rep long, first long, score double")
+    top = lambda of: Window.partitionBy(of).orderBy(F.desc("score"), *in_order)
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first", "rep"))).where(F.col("n") <= k + 1).drop("n", "first")
+    near = found.join(entries.select("rep", "ids"), "rep").select("q", F.inline("ids"), "score")
     near = near.withColumn("n", F.row_number().over(top("q"))).where(F.col("n") <= k + 1)
-    answers = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q")).join(near, "q").where("query_id <> vec_id")
-    return answers.withColumn("rank", F.row_number().over(top("query_id"))).where(F.col("rank") <= k).select(
-        F.col("query_id").cast("long").alias("query_id"), "rank", F.col("vec_id").cast("long").alias("vec_id"), "score"
-    )
+    asked = asked.select(F.col("vec_id").cast("long").alias("query_id"), F.col("row").alias("query_row"), F.col("rep").alias("q"))
+    answers = asked.join(near, "q").where("query_row <> row")
+    return answers.withColumn("rank", F.row_number().over(top("query_row"))).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").cast("long").alias("vec_id"), "score")
 
 
-def recall(found: DataFrame, vectors: DataFrame, queries: int = 50, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+def recall(found: DataFrame, vectors: DataFrame, queries: int = 50, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> float | None:
     """Share of the k truly nearest that ``found`` has, for at most so many queries,
-    by brute force over all rows."""
+    by brute force over all rows; None if nothing is near. Ids are taken to be different."""
     ids = [r[0] for r in found.select("query_id").distinct().orderBy(F.xxhash64("query_id")).limit(queries).collect()]
-    rows = usable(vectors, id_col, vector_col).distinct()
+    rows = usable(vectors, id_col, vector_col).where("vec_id is not null").distinct()
     asked = F.broadcast(rows.where(F.col("vec_id").isin(ids)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("w")))
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = rows.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot.alias("score"))
+    pairs = rows.join(asked, (F.col("vec_id") != F.col("query_id")) & (F.size("v") == F.size("w"))).select("query_id", "vec_id", dot.alias("score"))
     true = pairs.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k)
     hits = true.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi")
-    return hits.count() / max(true.count(), 1)
+    n = true.count()
+    return hits.count() / n if n else None

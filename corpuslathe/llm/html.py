@@ -15,11 +15,12 @@
    roles, ids and classes name as navigation, notice, advert, form and the like
    has importance 0 from the start, so hosts with few pages are served too. A name
    is a whole class or id, or the last word of a compound that says more than what
-   kind of box it is; names that also suit what a page stands in (all but those of
-   adverts and comments, and the tags form, header and fieldset) say nothing on an
-   element with ``MOST`` of the page's text: there the measured importance decides
-   alone. Nor does a name on what the only marked article, with ``MOST`` of the
-   text, stands in.
+   kind of box it is. However long it is, it stays noise beside any other text. Only
+   where a page would be left empty, measured importance decides: named elements (not
+   adverts and comments) come back if they have ``HIGH`` importance beside
+   ``LEAST_PAGES`` distinct articles; so does a nameless form around all there is.
+   A name that suits a frame (or any, if nothing else is left) says nothing about
+   what the only marked article, with ``MOST`` of the text, stands in.
 4. Each page is read again without its low-importance branches. Where the page
    marks its article, its text is what stands there; the article's own plain
    paragraphs, lists and headings are protected, because copies of one article
@@ -48,6 +49,7 @@ from .common import spread, written
 
 GAMMA = 0.4
 LOW = 0.2
+HIGH = 0.5
 LEAST_PAGES = 4
 SHARE = 2 / 3
 MOST = 1 / 2
@@ -92,7 +94,8 @@ _DIGITS = re.compile(r"\d+")
 
 @lru_cache(maxsize=65_536)
 def _named(names: str, only_class: bool) -> int:
-    """What classes and ids, one to a line, say: 2 advert or comment, 1 other noise, 0 nothing."""
+    """What classes and ids, one to a line, say: 3 advert or comment, 2 other noise, 1 noise
+    or a frame, 0 nothing."""
     kinds, main = {0}, False
     for name in names.split("\n")[: 1 if only_class else 2]:
         for token in name.split():
@@ -110,17 +113,18 @@ def _named(names: str, only_class: bool) -> int:
             if frame:
                 continue
             if last in STRICT_NAMES:
-                kinds.add(2)
+                kinds.add(3)
             elif last in NOISE_NAMES:
-                kinds.add(1)
+                kinds.add(2)
             elif last in WEAK_NAMES and (last in NAV_NAMES or not (MAIN_NAMES - {"main"}) & set(told)) and not only_class:
                 kinds.add(-1)
     return max(kinds) or int(-1 in kinds and not main)
 
 
 class Node:
-    """A style node on a page. own: 1 noise by a name or tag that may give way, 2 by
-    the name of an advert or comment, 3 by other tags, roles and styles."""
+    """A style node on a page. own: 1 noise by a name or tag that suits frames too, 2 by
+    another name, 3 by the name of an advert or comment, 4 by other tags, roles and
+    styles."""
 
     __slots__ = ("tag", "place", "parent", "noise", "own", "mark", "main", "named", "start", "end", "children")
 
@@ -140,11 +144,11 @@ def _judge(tag: str, attributes: dict, inside: bool) -> tuple[str, int, bool]:
     role = (attributes.get("role") or "").lower()
     mark = tag in ("article", "main") or role in ("main", "article") or "articleBody" in (attributes.get("itemprop") or "")
     noise = tag in NOISE_TAGS and not (tag == "header" and inside) or role in NOISE_ROLES
-    noise = (1 if tag in SOFT_TAGS or role == "form" else 3) if noise else 0
+    noise = (1 if tag in SOFT_TAGS or role == "form" else 4) if noise else 0
     if "hidden" in attributes or (attributes.get("aria-hidden") or "").lower() == "true" or _HIDDEN.search(attributes.get("style") or ""):
-        noise = 3
+        noise = 4
     names = f"{attributes.get('class') or ''}\n{attributes.get('id') or ''}"
-    if len(names) > 1 and noise < 2 and tag not in ("html", "body"):
+    if len(names) > 1 and noise < 4 and tag not in ("html", "body"):
         noise = max(noise, _named(names, mark))
     key = tag if not attributes else f"{tag}.{' '.join(sorted(_DIGITS.sub('#', attributes.get('class') or '').split()))}#{_DIGITS.sub('#', attributes.get('id') or '')}"
     return key, noise, mark
@@ -162,7 +166,6 @@ class Page:
         self.read(source)
         while self.top:
             self.close(self.top)
-        self.free(2, lambda n: n.own == 1)
         self.marked = any(n.main and not n.noise and n.start < n.end for n in self.nodes)
         if not self.marked:
             self.unwrap()
@@ -174,20 +177,15 @@ class Page:
             hard[id(n)] = n.own >= least or n.parent is not None and hard[id(n.parent)]
         return [0, *accumulate(0 if hard[id(n)] else len(t) for n, t in self.blocks)], hard
 
-    def free(self, least: int, of) -> None:
-        """Nodes ``of`` with MOST of the page's text are no noise by name."""
-        if not any(of(n) for n in self.nodes):
-            return
-        until, hard = self.sizes(least)
-        for n in self.nodes:
-            if of(n) and not hard[id(n)] and 0 < until[-1] * MOST <= until[n.end] - until[n.start]:
-                n.own = 0
-        for n in self.nodes:
-            n.settle()
+    def large(self) -> set[int]:
+        """Named nodes with MOST of the page's text. They may be the article, so distinct
+        articles are told by them; only what is then measured brings them back."""
+        until, hard = self.sizes(3)
+        return {id(n) for n in self.nodes if 0 < n.own < 3 and not hard[id(n)] and 0 < until[-1] * MOST <= until[n.end] - until[n.start]}
 
     def unwrap(self) -> None:
         """Frees the marked article from the names of what it stands in."""
-        until, hard = self.sizes(3)
+        until, hard = self.sizes(2 if any(not n.noise for n, _ in self.blocks) else 3)
         tops = [n for n in self.nodes if n.mark and n.own == 0 and not hard[id(n)] and until[n.end] - until[n.start] >= MOST * until[-1] > 0]
         if tops:
             around = tops[0].parent
@@ -259,7 +257,7 @@ class Page:
         if raw:
             node = self.top
             while node.tag in INLINE:
-                if node.own == 3:  # hidden words of a block
+                if node.own == 4:  # hidden words of a block
                     return
                 node = node.parent
             self.parts.append((entities.unescape(raw) if "&" in raw else raw, self.top))
@@ -312,17 +310,20 @@ class Page:
             self.top = self.open(tag, key, parent, noise, mark, bool(attributes.get("class") or attributes.get("id")))
         self.text(source[at:])
 
-    def styles(self) -> list[tuple[int, int, int, int]]:
-        """(beside, place, presentation, content) of each style node, as hashes;
-        beside: the longest block of the article outside of it, 0 for what is the
-        article itself."""
+    def styles(self) -> list[tuple[int, int, int, int, bool]]:
+        """(beside, place, presentation, content, named) of each style node, three of
+        them as hashes; beside: the longest block of the article outside of it, 0 for what
+        is the article itself; named: whether only a name makes it noise."""
         found: dict[int, list] = {}
-        sizes = [len(t) if not n.noise and (n.main or not self.marked) else 0 for n, t in self.blocks]
+        large, noise = self.large(), {}
+        for n in self.nodes:
+            noise[id(n)] = n.own > 0 and id(n) not in large or n.parent is not None and noise[id(n.parent)]
+        sizes = [len(t) if not noise[id(n)] and (n.main or not self.marked) else 0 for n, t in self.blocks]
         until = [0, *accumulate(sizes)]
         order = sorted((i for i, n in enumerate(sizes) if n), key=lambda i: (-sizes[i], i))
         for n in self.nodes:
             if (got := found.get(n.place)) is None:
-                got = found[n.place] = [xxhash.xxh3_64(), xxhash.xxh3_64(), 0, []]
+                got = found[n.place] = [xxhash.xxh3_64(), xxhash.xxh3_64(), 0, [], 0 < n.own < 3]
             got[2] += until[n.end] - until[n.start]
             got[3].append((n.start, n.end))
             last = None
@@ -345,22 +346,30 @@ class Page:
                 hashes[at] = xxhash.xxh3_64_intdigest(self.texts[at].encode("utf-8", "surrogatepass")) - 2**63
             return hashes[at]
 
-        return [(beside(size, spans), p - 2**63, a.intdigest() - 2**63, b.intdigest() - 2**63) for p, (a, b, size, spans) in found.items()]
+        return [(beside(size, spans), p - 2**63, a.intdigest() - 2**63, b.intdigest() - 2**63, named) for p, (a, b, size, spans, named) in found.items()]
 
-    def main_text(self, low: set[int]) -> str:
-        """Blocks left without noise and the host's low-importance places."""
-        gone: dict[int, bool] = {}
+    def main_text(self, low: set[int], high: set[int] | tuple = ()) -> str:
+        """Blocks left without noise and the host's low-importance places; if there are
+        none, with the named places of high importance, or else with plain forms."""
         around: set[int] = set()  # what an article stands in
         for n in self.nodes:
             if n.main and not n.parent.main:
                 while n.parent and id(n.parent) not in around:
                     n = n.parent
                     around.add(id(n))
-        for n in self.nodes:
-            shielded = n.main and (n.tag in PLAIN and not n.named or not n.parent.main) or id(n) in around or n.tag in ("#page", "html", "body")
-            own = n.noise or n.place - 2**63 in low and not shielded
-            gone[id(n)] = own or n.parent is not None and gone[id(n.parent)]
-        return "\n".join(t for n, t in self.blocks if not gone[id(n)] and (n.main or not self.marked))
+
+        def left(back) -> list[str]:
+            gone: dict[int, bool] = {}
+            for n in self.nodes:
+                shielded = n.main and (n.tag in PLAIN and not n.named or not n.parent.main) or id(n) in around or n.tag in ("#page", "html", "body")
+                own = n.own > 0 and not back(n) or n.place - 2**63 in low and not shielded
+                gone[id(n)] = own or n.parent is not None and gone[id(n.parent)]
+            return [t for n, t in self.blocks if not gone[id(n)] and (n.main or not self.marked)]
+
+        found = left(lambda n: False)
+        if not found and self.blocks:
+            found = left(lambda n: n.own < 3 and n.place - 2**63 in high) or left(lambda n: n.own == 1 and n.tag == "form")
+        return "\n".join(found)
 
 
 def host_of(url: str):
@@ -369,7 +378,7 @@ def host_of(url: str):
 
 
 def style_importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, place, pages, presentation, content, importance) of every style node.
+    """(host, place, pages, presentation, content, importance, named) of every style node.
 
     Pages without a host or html are left out. ``pages`` counts distinct articles
     beside the node; copies of a page on a host count once.
@@ -381,25 +390,26 @@ def style_importance(pages: DataFrame, url_col: str = "url", html_col: str = "ht
             host, out = batch.column(1).to_pylist(), []
             for i, source in enumerate(batch.column(0).to_pylist()):
                 out += [(host[i], *s) for s in Page(source, places).styles()]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], ["host", "beside", "place", "children", "texts"])
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int64()] * 4, pa.bool_()), strict=True)], ["host", "beside", "place", "children", "texts", "named"])
 
     own = pages.select(F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host")).where("html is not null and host is not null")
-    nodes = spread(own).mapInArrow(run, "host string, beside long, place long, children long, texts long").distinct()
-    nodes = nodes.groupBy("host", "place", "children", "texts").agg(F.count("*").alias("n"))
+    nodes = spread(own).mapInArrow(run, "host string, beside long, place long, children long, texts long, named boolean").distinct()
+    nodes = nodes.groupBy("host", "place", "children", "texts").agg(F.count("*").alias("n"), F.bool_or("named").alias("named"))
 
     def entropy(of: str) -> DataFrame:
-        n = nodes.groupBy("host", "place", of).agg(F.sum("n").alias("n")).groupBy("host", "place").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
-        return n.select("host", "place", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias(of))
+        n = nodes.groupBy("host", "place", of).agg(F.sum("n").alias("n"), F.bool_or("named").alias("named"))
+        n = n.groupBy("host", "place").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.bool_or("named").alias("named"))
+        return n.select("host", "place", "named", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias(of))
 
-    both = entropy("children").join(entropy("texts").drop("pages"), ["host", "place"])
+    both = entropy("children").join(entropy("texts").drop("pages", "named"), ["host", "place"])
     return both.select(
-        "host", "place", "pages", F.col("children").alias("presentation"), F.col("texts").alias("content"), (GAMMA * F.col("children") + (1 - GAMMA) * F.col("texts")).alias("importance")
+        "host", "place", "pages", F.col("children").alias("presentation"), F.col("texts").alias("content"), (GAMMA * F.col("children") + (1 - GAMMA) * F.col("texts")).alias("importance"), "named"
     )
 
 
 def extract(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, least_pages: int = LEAST_PAGES, places_sent: int = PLACES_SENT,
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, least_pages: int = LEAST_PAGES, places_sent: int = PLACES_SENT, high: float = HIGH,
 ) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
@@ -407,37 +417,40 @@ def extract(
     has no host, so only the page itself is looked at. Repeated rows give repeated
     results. Broken markup is read as far as it goes; other columns are not read.
     """
-    weak = style_importance(pages, url_col, html_col).where((F.col("pages") >= least_pages) & (F.col("importance") < low))
-    weak = written(weak.select("host", "place"))
+    strong = F.col("named") & (F.col("importance") >= high)
+    told = style_importance(pages, url_col, html_col).where((F.col("pages") >= least_pages) & ((F.col("importance") < low) | strong))
+    told = written(told.select("host", "place", strong.alias("strong")))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), F.coalesce(host_of(url_col), F.lit("")).alias("host"))
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     schema = f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long"
 
-    def columns(of, places: dict, low: list) -> list[pa.Array]:
-        texts = [Page(s, places).main_text(w) if s else "" for s, w in zip(of.column("html").to_pylist(), low, strict=True)]
+    def columns(of, places: dict, told: list) -> list[pa.Array]:
+        texts = [Page(s, places).main_text(*t) if s else "" for s, t in zip(of.column("html").to_pylist(), told, strict=True)]
         return [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
 
-    if weak.count() <= places_sent:
-        held: dict[str, set] = {}
-        for r in weak.collect():  # at most places_sent
-            held.setdefault(r.host, set()).add(r.place)
+    if told.count() <= places_sent:
+        held: dict[str, tuple[set, set]] = {}
+        for r in told.collect():  # at most places_sent
+            held.setdefault(r.host, (set(), set()))[r.strong].add(r.place)
         shared = pages.sparkSession.sparkContext.broadcast(held)
 
         def run(batches):
             places: dict = {}
             for batch in batches:
-                low = [shared.value.get(h, ()) for h in batch.column("host").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns(batch, places, low)], ["page_id", "url", "text", "n_chars"])
+                own = [shared.value.get(h, ((), ())) for h in batch.column("host").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns(batch, places, own)], ["page_id", "url", "text", "n_chars"])
 
         return spread(rows).mapInArrow(run, schema)
 
     groups = written(rows.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("groups")))
     part = F.pmod(F.xxhash64("page_id", "url", "html"), F.col("groups")).cast("int").alias("part")
     left = rows.join(groups, "host").select("page_id", "url", "html", "host", part)
-    right = weak.join(groups, "host").select("host", "place", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
+    right = told.join(groups, "host").select("host", "place", "strong", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
 
-    def meet(own: pa.Table, weak: pa.Table) -> pa.Table:
-        low = set(weak.column("place").to_pylist())
-        return pa.Table.from_arrays([own.column("page_id"), own.column("url"), *columns(own, {}, [low] * own.num_rows)], ["page_id", "url", "text", "n_chars"])
+    def meet(own: pa.Table, told: pa.Table) -> pa.Table:
+        both: tuple[set, set] = set(), set()
+        for place, strong in zip(told.column("place").to_pylist(), told.column("strong").to_pylist(), strict=True):
+            both[strong].add(place)
+        return pa.Table.from_arrays([own.column("page_id"), own.column("url"), *columns(own, {}, [both] * own.num_rows)], ["page_id", "url", "text", "n_chars"])
 
     return left.groupBy("host", "part").cogroup(right.groupBy("host", "part")).applyInArrow(meet, schema)

@@ -7,7 +7,8 @@
    repetition limit, whichever is larger. The catalogue of sources is one row
    here, its size that of the sources' list, not of the corpus.
 3. A source's stream is its documents epoch after epoch, each epoch in a new
-   permutation by hash; the last epoch ends where the source's budget does.
+   permutation by a hash of id and text, so rows that tie are equal; the last epoch
+   ends where the source's budget does.
 4. Blocks of the mixture take from every stream in turn so many tokens as its
    weight says. Running sums over a stream are made in ``PARTS`` parts by the
    permutation's leading digits and joined by the parts' totals, so that a source
@@ -91,6 +92,16 @@ def weights(
     return each.select("s.source", "s.tokens", "alpha", weight.alias("weight"), (weight * F.col("budget")).alias("target"))
 
 
+def block_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", most_repeats: float = MOST_REPEATS, blocks: int = 512, least: int = 1 << 20, most: int = 1 << 26) -> tuple[int, int]:
+    """(tokens of a block, number of blocks) of a mixture that keeps all documents: about
+    ``blocks`` blocks of ``least`` to ``most`` tokens, so that each can be a file."""
+    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("source")
+    totals = docs.select(key, tokens_of(F.col(text_col).cast("string")).alias("tokens")).groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    budget = weights(totals, None, most_repeats, True).agg(F.sum("target")).first()[0] or 0.0
+    size = min(max(int(budget) // blocks, least), most)
+    return size, int(budget // size) + 1
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_share: float | None = None, most_repeats: float | None = MOST_REPEATS,
     keep_all: bool = False, block_tokens: int = BLOCK_TOKENS, seed: int = 1, carry: list[str] | None = None, flatten: float | None = FLATTEN,
@@ -101,15 +112,17 @@ def mix(
 
     A null source is a source of its own. Null and empty texts have no tokens; they
     are read once, in epoch 0, if their source has a target, and not at all in a
-    source without tokens unless ``keep_all``. Repeated rows are rows of their own.
-    An empty table gives no rows. No other column is read, except those carried.
+    source without tokens unless ``keep_all``, which deals its rows to all blocks.
+    Repeated rows are rows of their own. The result is the same in any partitioning;
+    of rows that differ in carried columns alone, either may come first. An empty
+    table gives no rows. No other column is read, except those carried.
     """
     text, names = F.col(text_col).cast("string"), carry or []
-    doc_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     rows = docs.select(
         F.struct(*(F.col(c) for c in names)).alias("carry") if names else F.lit(None).alias("carry"),
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("key"),
-        tokens_of(text).alias("tokens"), doc_id.alias("name"),
+        tokens_of(text).alias("tokens"), name.alias("name"),
     )
     totals = rows.groupBy("key").agg(F.sum("tokens").alias("tokens"))
     plan = weights(totals.withColumnRenamed("key", "source"), entropy_share, most_repeats, keep_all, flatten).select(
@@ -120,6 +133,8 @@ def mix(
     last = F.when(F.col("target") - F.col("whole") * F.col("total") >= 1, F.col("whole")).otherwise(F.col("whole") - 1)
     plan = plan.withColumn("last", F.greatest(last, F.lit(0)))
     read = rows.join(plan, "key", "left" if keep_all else "inner")
+    if keep_all:  # a source without tokens knows the number of blocks from the others
+        read = read.crossJoin(F.broadcast(plan.agg(F.floor(F.coalesce(F.sum("target"), F.lit(0.0)) / block_tokens).alias("last_block"))))
     last = F.when(F.col("tokens") > 0, F.coalesce("last", F.lit(0))).otherwise(0)
     read = read.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), "epoch", "name"))
@@ -133,7 +148,11 @@ def mix(
     end = F.col("epoch") * F.coalesce("total", F.lit(0)) + F.col("before") + F.col("end")
     placed = placed.withColumn("at", end).where("total is null or epoch < whole or tokens = 0 or at <= target")
     share = F.greatest(F.coalesce("weight", F.lit(1.0)) * block_tokens, F.lit(1.0))
-    placed = placed.withColumn("block", F.floor((F.col("at") - F.col("tokens")) / share).cast("long"))
+    block = F.floor((F.col("at") - F.col("tokens")) / share)
+    if keep_all:
+        anywhere = F.pmod(F.xxhash64("order"), F.col("last_block") + 1)
+        block = F.when(F.col("weight").isNull(), anywhere).otherwise(F.least(block, F.col("last_block")))
+    placed = placed.withColumn("block", block.cast("long"))
     position = F.row_number().over(Window.partitionBy("block").orderBy("order", "epoch", "key")) - 1
     placed = placed.withColumn("position", position.cast("long"))
     return placed.select("carry.*", "epoch", "block", "position") if names else placed.select("doc_id", "source", "tokens", "epoch", "block", "position")

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spread
@@ -142,14 +142,14 @@ def pieces_of(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt[, ids]); null text is empty.
+def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, part: Column | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, salt[, ids][, part]); null text is empty.
 
     A document is its ids and then ``END_ID``; so an empty one is one piece of
-    length 1.
+    length 1. ``part`` is a string of the row that goes along.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    path = path or tokenizer_path()
+    path, with_part = path or tokenizer_path(), part is not None
     end = int(END_ID).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +164,18 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         to.append(x)
                     if with_ids:
                         ids.append(np.frombuffer(part, "<i4"))
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.array(row, np.int32) & 1023)]
+            rows = pa.array(row, pa.int64())
+            columns = [batch.column(0).take(rows), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.array(row, np.int32) & 1023)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
             if with_ids:
                 columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+            if with_part:
+                columns, names = [*columns, batch.column(2).take(rows)], [*names, "part"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt int" + ", ids array<int>" * with_ids
-    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt int" + ", ids array<int>" * with_ids + ", part string" * with_part
+    own = [F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    return spread(docs.select(*own, *([part.alias("part")] if with_part else []))).mapInArrow(run, schema)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -356,14 +360,20 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY, **limits) -> tuple[np.n
 def pack(pieces: DataFrame, blocks: int, capacity: int = CAPACITY, **limits) -> DataFrame:
     """``pieces`` with sequence_id and offset, packed in so many blocks; ``limits`` go
     to ``bin_completion``."""
-    names = [f.name for f in pieces.schema if f.name != "salt"]
-    key = F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(blocks)).alias("block")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "salt") + ", sequence_id long, offset long"
+    return _packed(pieces, F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(blocks)), 32, capacity, **limits)
+
+
+def _packed(pieces: DataFrame, block: Column, bits: int, capacity: int, **limits) -> DataFrame:
+    """``pieces`` packed block by block; a sequence's number is block * 2^bits + bin."""
+    inner = ("salt", "part", "part_no", "chunks")
+    names = [f.name for f in pieces.schema if f.name not in inner]
+    key = block.alias("block")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in names) + ", sequence_id long, offset long"
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         bin_, offset = place(block["length"].to_numpy(), capacity, **limits)
-        return block[names].assign(sequence_id=(int(key[0]) << 32) + bin_, offset=offset)
+        return block[names].assign(sequence_id=(int(key[0]) << bits) + bin_, offset=offset)
 
     return pieces.select("*", key).groupBy("block").applyInPandas(run, schema)
 
@@ -379,3 +389,15 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     blocks = max(1, -(-docs.count() // BLOCK_ROWS))
     return pack(token_pieces(docs, id_col, text_col, capacity, path, with_ids), blocks, capacity, **limits)
+
+
+def pack_parts(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, **limits) -> DataFrame:
+    """``pack_documents`` for each ``part`` (a string; null is a part of its own) apart:
+    no sequence holds pieces of two parts, and sequence_id follows the parts in their
+    order. A part of more than ``BLOCK_ROWS`` rows is dealt to blocks by hash. A part
+    takes less than one sequence a block more than it needs."""
+    sizes = docs.select(part.alias("part")).groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("chunks"))
+    sizes = sizes.withColumn("part_no", F.row_number().over(Window.orderBy("part")) - 1)  # a row for each part
+    pieces = token_pieces(docs, id_col, text_col, capacity, path, with_ids, part).join(sizes.withColumnRenamed("part", "_part"), F.col("part").eqNullSafe(F.col("_part"))).drop("_part")
+    chunk = F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.col("chunks"))
+    return _packed(pieces, F.col("part_no").cast("long") * (1 << 16) + chunk, 24, capacity, **limits)

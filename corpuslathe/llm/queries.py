@@ -137,7 +137,7 @@ _ENTROPY = "ln(list_sum(list_transform(p, lambda x: pow(x, {0})))) - {0} * list_
 _REPEATS = "pow(list_min(p), {0}) / list_sum(list_transform(p, lambda x: pow(x, {0}))) / list_min(p)"
 OP6_SQL = f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce('=' || source, '') AS key, coalesce(ceil(strlen(text) / 4), 0)::BIGINT AS tokens, coalesce(doc_id::VARCHAR, '') AS name FROM documents),
+  SELECT doc_id, source, coalesce('=' || source, '') AS key, coalesce(ceil(strlen(text) / 4), 0)::BIGINT AS tokens, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS name FROM documents),
 totals AS (SELECT key, sum(tokens)::BIGINT AS total FROM d GROUP BY 1 HAVING sum(tokens) > 0),
 one AS (SELECT list(total / t ORDER BY key) AS p, any_value(t) AS t FROM totals, (SELECT sum(total)::DOUBLE AS t FROM totals)),
 search AS (

@@ -18,6 +18,7 @@ from corpuslathe.llm import ann, embedding_dedup, html, minhash, mixing, packing
 from corpuslathe.llm.common import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 @pytest.fixture(scope="module")
@@ -289,7 +290,7 @@ def test_search(spark):
     x *= rng.uniform(0.5, 2, (900, 1))
     x[100:180] = x[40]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    extra = [(1000, None, 1), (1020, [0.0] * 33, 1), (1040, [float("nan")] * 33, 1), (1060, [1.0, None] + [0.0] * 31, 1), (1080, [1.0] * 5, 1), (None, [1.0] * 33, 1), (0, x[0].tolist(), 1)]
+    extra = [(1000, None, 1), (1020, [0.0] * 33, 1), (1040, [float("nan")] * 33, 1), (1060, [1.0, None] + [0.0] * 31, 1), (1080, [1.0] * 5, 1), (None, (x[40] / 99).tolist(), 1)]
     df = spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>, label int").withColumn("v", F.lit(1))
     got = defaultdict(list)
     for r in ann.search(df, k=10).orderBy("query_id", "rank").collect():
@@ -301,6 +302,25 @@ def test_search(spark):
     assert all(abs(s - float(x[i] @ x[j])) < 1e-9 for i, v in got.items() for _, j, s in v)
     assert ann.recall(ann.search(df), df) >= 0.9
     assert ann.search(df.where("vec_id < 5")).count() == 4 and ann.search(df.where("vec_id < 0")).count() == 0
+    assert ann.recall(ann.search(df.where("vec_id = 0")), df.where("vec_id = 0")) is None
+
+
+def test_search_every_other_row(spark, monkeypatch):
+    """Repeated ids, null ids, several lengths, ties: each row but the query's own."""
+    rows = [(1, [5.0, 0.0]), (1, [2.0, 0.0]), (0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.5, 1.0]), (None, [2.0, 0.0]), (None, [9.0, 9.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0])]
+    rows += [(20, [1.0, 2.0, 3.0]), (21, [3.0, 2.0, 1.0]), (40, [1.0] * 5), (22, None), (60, [0.0, 0.0]), (7, [float("inf"), 0.0])]
+    rows += [(100 + i, [0.25, float(i % 3)]) for i in range(40)]
+    fine = [(k, i, v) for k, (i, v) in enumerate(rows) if v and any(v) and all(map(np.isfinite, v))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("row", "v", "rep", "first", "q")})
+    for name, value in (("BLOCK_ROWS", 8), ("BLOCK_QUERIES", 2), ("HELD", 1)):
+        monkeypatch.setattr(ann, name, value)
+    for k in (1, 3, 60):
+        want = Counter()
+        for at, i, v in fine:
+            if i is not None and i % 20 == 0:
+                scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j is None, j or 0) for other, j, w in fine if other != at and len(w) == len(v))
+                want.update((i, n, None if none else j, -s) for n, (s, none, j) in enumerate(scored[:k], 1))
+        assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(df, k=k).collect()) == want
 
 
 def test_embedding_dedup(spark, monkeypatch):
@@ -451,7 +471,7 @@ def test_html_entropy_decides(spark):
     # brute-force importance of every place
     seen = defaultdict(set)
     for _, _, h in rows:
-        for beside, place, a, b in html.Page(h, {}).styles():
+        for beside, place, a, b, _ in html.Page(h, {}).styles():
             seen[place].add((beside, a, b))
 
     def entropy(values):
@@ -464,6 +484,39 @@ def test_html_entropy_decides(spark):
     assert got.keys() == want.keys() and all(got[p][0] == n and abs(got[p][1] - i) < 1e-9 for p, (n, i) in want.items())
 
 
+NOISE = {
+    "notice": '<div class="cookie-consent">{n}</div>', "teasers": '<div class="related">{n}</div>', "side": '<div class="sidebar">{n}</div>', "form": '<form class="newsletter">{n}</form>',
+    "plain form": "<form>{n}</form>", "header": "<header>{n}</header>", "marked teaser": '<div class="recommended"><article>{n}</article></div>', "comments": '<div class="comments"><article>{n}</article></div>',
+}
+
+
+def test_html_noise_of_any_size(spark):
+    """Long notices, teasers, side bars, forms and headers beside a short text, alone, the
+    same on all pages of a host, and different on each: the text alone is left."""
+    rows, want = [], {}
+    for kind, box in NOISE.items():
+        for host, n in (("none", 1), ("same", 8), ("differ", 8)):
+            for i in range(n):
+                key, text = f"{kind}/{host}/{i}", f"A short text, number {i}."
+                noise = " ".join(f"<p>Many words of noise {k if host == 'same' else (i, k)} that go on and on.</p>" for k in range(20))
+                rows.append((key, None if host == "none" else f"http://{kind[0]}{len(kind)}-{host}.example/{i}", f"<body>{box.format(n=noise)}<div class='q'><p>{text}</p></div></body>"))
+                want[key] = text
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_importance_brings_back(spark):
+    """What a name calls noise comes back by measured importance, where nothing else is left."""
+    page = "<body><nav>m</nav><div class='notice'><p>{t}</p></div><div class='zz'><p>Our site, our rules</p></div></body>"
+    rows = [(i, "http://own.example/x", page.format(t=f"The real text, number {i}, of {i * i}.")) for i in range(9)] + [(20, "http://few.example/x", page.format(t="One of its kind."))]
+    rows += [(30 + i, "http://all.example/x", page.format(t="The same on all pages.")) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(got[i] == f"The real text, number {i}, of {i * i}." for i in range(9)) and got[20] == "Our site, our rules"
+    assert {got[30 + i] for i in range(9)} == {"Our site, our rules"}
+    assert {r.text for r in html.extract(df.where("page_id < 20"), low=-1.0).collect()} == {"Our site, our rules"}  # without the tree
+
+
 def test_mixing(spark, odd, none):
     sources = spark.createDataFrame([("a", 8000), ("b", 1000), ("c", 500), ("d", 0)], "source string, tokens long")
     w = {r.source: r for r in mixing.weights(sources, 0.9, None).collect()}
@@ -491,6 +544,17 @@ def test_mixing(spark, odd, none):
             assert abs(sum(r.tokens for r in rows if r.source == "small") - 500 * plan["small"].weight) <= 16
     epochs = Counter((r.doc_id, r.epoch) for r in got)
     assert max(epochs.values()) == 1
+    flat = lambda df: Counter(tuple(r) for r in df.collect())
+    same = spark.createDataFrame([(1, f"text {i % 40} " * (i % 40), "en", "s" if i % 3 else None, 0) for i in range(400)] + [(2, "", "en", "t", 0)], DOCS)  # one id, several texts
+    for given in (same, odd.select(*DOCS_COLUMNS)):
+        for keep_all in (False, True):
+            mixes = [flat(mixing.mix(d, keep_all=keep_all, block_tokens=200)) for d in (given, given.coalesce(1), given.repartition(7), given.orderBy(F.desc("text")), given.repartition(3, "text"))]
+            assert mixes[0] and all(m == mixes[0] for m in mixes)
+    size, blocks = mixing.block_plan(same.union(odd.select(*DOCS_COLUMNS)), least=1000)
+    spread_out = mixing.mix(same.union(odd.select(*DOCS_COLUMNS)), keep_all=True, block_tokens=size)
+    assert {r.block for r in spread_out.select("block").distinct().collect()} <= set(range(blocks)) and spread_out.select("block").distinct().count() > 0.8 * blocks
+    bare = spark.createDataFrame([(i, "", "en", "empty", 0) for i in range(500)] + [(i, "word " * 90, "en", "full", 0) for i in range(100)], DOCS)
+    assert mixing.mix(bare, keep_all=True, block_tokens=1000).where("source = 'empty'").groupBy("block").count().agg(F.max("count")).first()[0] < 250
     every = mixing.mix(odd, keep_all=True, most_repeats=1.5, carry=["doc_id", "text"])
     assert Counter(r.doc_id for r in every.where("epoch = 0").collect()) == Counter(r.doc_id for r in odd.collect())
     assert mixing.mix(none).count() == 0

@@ -3,10 +3,11 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslathe.llm import secrets, toxicity
+from corpuslathe.llm import mixing, packing, secrets, toxicity
 
 from .test_operators import base_spans, groups, sets_of
 
@@ -72,7 +73,7 @@ def test_near_rows_by_id_and_text(spark, sf):
 def test_secrets(stages):
     before, after = ({r.doc_id: r for r in s.collect()} for s in stages[2:4])
     assert before.keys() == after.keys()
-    live = secrets.secret_spans(stages[2]).select("doc_id", F.filter("spans", lambda s: s["verdict"] == "live").alias("s")).collect()
+    live = secrets.secret_spans(stages[2], repo_col=F.concat_ws("/", "source", "lang"), owner_col="source").select("doc_id", F.filter("spans", lambda s: s["verdict"] == "live").alias("s")).collect()
     for r in live:
         text, out, at = before[r.doc_id].text, "", 0
         for s in r.s:
@@ -95,6 +96,45 @@ def test_mixed_and_packed(stages):
     assert full.count() <= -(-total // 2048) + 1
 
 
+def test_sequences_follow_blocks(spark, sf, tmp_path, monkeypatch):
+    """A block of the mixture is a file, in order; no sequence holds pieces of two blocks,
+    and the sequences' numbers rise with the blocks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", F.row_number().over(Window.orderBy("doc_id")).cast("long"))
+    plan = mixing.block_plan(docs, most_repeats=corpus_pipeline.MOST_REPEATS, least=1 << 14)
+    monkeypatch.setattr(mixing, "block_plan", lambda *a, **b: plan)
+    corpus_pipeline.mixed(spark, docs, sf).write.parquet(str(tmp_path / "mixed"))
+    table = spark.read.parquet(str(tmp_path / "mixed"))
+    placed = mixing.mix(docs, keep_all=True, most_repeats=corpus_pipeline.MOST_REPEATS, block_tokens=plan[0]).orderBy("block", "position").collect()
+    got = table.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in placed] and len({r.block for r in placed}) == len({r.file_name for r in got}) > 3
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 16)  # several chunks a block
+    rows = corpus_pipeline.packed(spark, table, sf).orderBy("sequence_id").collect()
+    blocks = {}
+    for r in placed:
+        blocks.setdefault(r.doc_id, set()).add(r.block)
+    of, where = {}, {}
+    for r in rows:
+        of.setdefault(r.sequence_id, []).append(blocks[r.doc_id])
+    for n, held in of.items():
+        where[n] = set.intersection(*held)  # a document read twice is in two blocks
+        assert where[n]
+    lowest = 0
+    for n in sorted(where):
+        assert max(where[n]) >= lowest
+        lowest = max(lowest, min(where[n]))
+    assert Counter((r.doc_id, r.piece) for r in rows if r.piece == 0) == Counter((r.doc_id, 0) for r in placed)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, None), (None, None)]])
+def test_empty_and_null_texts(spark, sf, tmp_path, rows):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert sorted((r.doc_id is None, r.doc_id, r.length) for r in docs.collect()) == sorted((i is None, i, 1) for i, _ in rows)
+
+
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() > 0 and "sequence_id" in got.columns
