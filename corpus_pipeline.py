@@ -22,7 +22,9 @@ MOST_REPEATS = 1.5
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from ``labels``."""
+    """Documents that the classifier rejects go; it learns from ``labels``. Null and
+    empty texts are scored like others, repeated rows alike; an empty table stays
+    empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
     # text travels once, as an input of the score that is also carried
@@ -47,21 +49,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live credentials are masked; every document stays."""
-    return secrets.redact(docs)
+    """Live credentials are masked; every document stays. A source is an owner, its
+    languages are its repositories. Null texts, ids and sources are judged like others,
+    repeated rows alike; an empty table stays empty."""
+    return secrets.redact(docs, repo_col=F.concat_ws("/", "source", "lang"), owner_col="source")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are read towards flatter weights, each at least once and none more
-    than MOST_REPEATS times; rows repeat accordingly. The numbering of the blocks
-    leaves the rows of a block together and in order."""
-    out = mixing.mix(docs, keep_all=True, most_repeats=MOST_REPEATS, carry=docs.columns)
-    return out.select(*docs.columns)
+    than MOST_REPEATS times; rows repeat accordingly. Each block of the mixture is a
+    partition, thus a file of the written table, with its rows in order. Null sources
+    are a source, null texts are read once, repeated rows each for itself; an empty
+    table stays empty."""
+    size, blocks = mixing.block_plan(docs, most_repeats=MOST_REPEATS)
+    out = mixing.mix(docs, keep_all=True, most_repeats=MOST_REPEATS, carry=docs.columns, block_tokens=size)
+    return out.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("position").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens; a row for each piece."""
-    return packing.pack_documents(docs)
+    """Sequences of at most 2048 tokens; a row for each piece. A table of files is packed
+    file by file, and sequence_id follows the files: so it follows the mixture. Null
+    texts are empty documents, repeated rows each for itself; an empty table has no
+    sequences."""
+    if not docs.inputFiles():
+        return packing.pack_documents(docs)
+    return packing.pack_parts(docs, F.col("_metadata.file_name"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
