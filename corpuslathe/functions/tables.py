@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -27,3 +28,13 @@ def spread(df: DataFrame) -> DataFrame:
     stay as they are, so nothing is shuffled where it matters."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` with their place in the order of ``by``, from 0. Ranges are numbered
+    apart; only their counts, a row for each range, meet in one place."""
+    ranges = written(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranges.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    return ranges.withColumn(name, place).join(F.broadcast(first), "_part").select(*rows.columns, (F.col("_first") + F.col(name)).cast("long").alias(name))

@@ -251,15 +251,20 @@ def imported(language: str, source: str) -> list[tuple[str, bool]]:
     return [(" ".join(x.split()), "*" in x) for x in re.findall(IMPORTS[language], source)]
 
 
-def analysed(files: DataFrame) -> DataFrame:
-    """(path, file_pos, language, symbols, imports) for files (path, file_pos,
-    language, content, content_hash) in one of ``LANGUAGES``.
+#: Goes up whenever results for the same source change; kept analyses are of one version.
+VERSION = 1
+_struct = lambda ddl: "struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", ddl) + ">"
+ANALYSIS = f"content_hash long, language string, symbols array<{_struct(SYMBOL)}>, imports array<{_struct(IMPORT)}>"
+
+
+def sources(files: DataFrame) -> DataFrame:
+    """The files that are analysed: in one of ``LANGUAGES`` and with content."""
+    return files.where(F.col("language").isin(*LANGUAGES) & F.col("content").isNotNull())
 
-    Contents that several files share are analysed once for each language. Null
-    contents are left out; contents that can't be read have no symbols.
-    """
-    known = files.where(F.col("language").isin(*LANGUAGES) & F.col("content").isNotNull())
-    distinct = known.dropDuplicates(["content_hash", "language"]).select("content_hash", "language", "content")
+
+def parsed(contents: DataFrame) -> DataFrame:
+    """``ANALYSIS`` of (content_hash, language, content); contents that can't be read
+    have no symbols."""
 
     def run(batches):
         for pdf in batches:
@@ -268,10 +273,22 @@ def analysed(files: DataFrame) -> DataFrame:
                 rows.append((declared_python(source) if language == "Python" else declared(language, source), [{"source": s, "is_wildcard": w} for s, w in imported(language, source)]))
             yield pd.DataFrame({"content_hash": pdf.content_hash, "language": pdf.language, "symbols": [r[0] for r in rows], "imports": [r[1] for r in rows]})
 
-    kind = files.schema["content_hash"].dataType.simpleString()
-    struct = lambda ddl: "struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", ddl) + ">"
-    found = distinct.mapInPandas(run, f"content_hash {kind}, language string, symbols array<{struct(SYMBOL)}>, imports array<{struct(IMPORT)}>")
-    return known.select("path", "file_pos", "language", "content_hash").join(found, ["content_hash", "language"]).select("path", "file_pos", "language", "symbols", "imports")
+    return contents.select("content_hash", "language", "content").mapInPandas(run, ANALYSIS)
+
+
+def of_files(files: DataFrame, found: DataFrame) -> DataFrame:
+    """Analyses by content as analyses by file."""
+    return sources(files).select("path", "file_pos", "language", "content_hash").join(found, ["content_hash", "language"]).select("path", "file_pos", "language", "symbols", "imports")
+
+
+def analysed(files: DataFrame) -> DataFrame:
+    """(path, file_pos, language, symbols, imports) for files (path, file_pos,
+    language, content, content_hash) in one of ``LANGUAGES``.
+
+    Contents that several files share are analysed once for each language. Null
+    contents are left out; contents that can't be read have no symbols.
+    """
+    return of_files(files, parsed(sources(files).dropDuplicates(["content_hash", "language"])))
 
 
 def symbols(analyses: DataFrame) -> DataFrame:

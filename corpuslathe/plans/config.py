@@ -50,6 +50,8 @@ class Config:
     formats: tuple[str, ...] = ("OpenAI", "ChatML")
     token_budget: int = 8192
     include_manifest: bool = True
+    #: (sample type, registered table function) of generators from outside the package.
+    added_generators: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self):
         if self.token_budget <= 0:

@@ -109,7 +109,7 @@ def _key(sample_type: str, ctx: Tables, *parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(sample_type), F.lit(ctx.project), *parts), 256)
 
 
-def _samples(rows: DataFrame, ctx: Tables, rank: int, sample_type: str, pattern: str, turns: list[Column], tokens: Column, tier: Column | str, files: Column | None = None, at: tuple[Column, Column] | None = None, tools: Column | None = None, symbol: bool = True, language: Column | None = None) -> DataFrame:
+def _samples(rows: DataFrame, ctx: Tables, rank: int, sample_type: str, pattern: Column | str, turns: list[Column], tokens: Column, tier: Column | str, files: Column | None = None, at: tuple[Column, Column] | None = None, tools: Column | None = None, symbol: bool = True, language: Column | None = None) -> DataFrame:
     a, b = at or (F.col("file_pos"), F.col("sym_pos") * 4 + (0 if pattern[-1] == "1" else 1))
     ord_ = F.shiftleft(F.lit(rank).cast("long"), 56) + F.shiftleft(a.cast("long"), 28) + b.cast("long")
     files = F.array("path") if files is None else files
@@ -117,7 +117,7 @@ def _samples(rows: DataFrame, ctx: Tables, rank: int, sample_type: str, pattern:
         (F.col("language") if language is None else language).alias("language"), (F.col("name") if symbol else F.lit(None)).alias("symbol_name"), (F.col("kind") if symbol else F.lit(None)).alias("symbol_kind"),
         tokens.alias("estimated_tokens"), (F.lit(tier) if isinstance(tier, str) else tier).alias("complexity_tier"),
     ).cast(METADATA)
-    key = _key(sample_type, ctx, F.lit(pattern), F.array_join(files, ","), ord_.cast("string"))
+    key = _key(sample_type, ctx, F.lit(pattern) if isinstance(pattern, str) else pattern, F.array_join(files, ","), ord_.cast("string"))
     return rows.select(
         key.alias("sample_key"), ord_.alias("ord"), F.lit(ctx.project).alias("source_project"), files.cast("array<string>").alias("source_files"), F.lit(sample_type).alias("sample_type"),
         F.array(*turns).alias("conversation"), (F.lit(None).cast(f"array<{TOOL}>") if tools is None else tools).alias("tools"), meta.alias("metadata"),
@@ -397,13 +397,19 @@ GENERATORS: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
-def generated(ctx: Tables, enabled: tuple[str, ...]) -> DataFrame:
-    """All samples of the enabled types."""
+def generated(ctx: Tables, enabled: tuple[str, ...], added: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """All samples of the enabled types, and of the table functions (sample type, name)
+    that ``plugins.register`` made known."""
+    from . import plugins
+
     out = None
     for name, generate in GENERATORS.items():
         if name in enabled:
             own = generate(ctx).select(*COLUMNS)
             out = own if out is None else out.unionByName(own)
+    for i, (sample_type, name) in enumerate(added):
+        own = plugins.generated_by(ctx, name, sample_type, len(GENERATORS) + i).select(*COLUMNS)
+        out = own if out is None else out.unionByName(own)
     if out is None:
         raise ValueError("no sample type is enabled")
     return out

@@ -1,22 +1,26 @@
-"""One user's session: projects by id, settings, runs that can be cancelled."""
+"""One user's session: projects by id, settings, runs that other sessions see and may cancel."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-import threading
+import time
+import uuid
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import files as shared
 from ..operators import statistics
+from ..operators.analyses import Store
 from ..sinks import export, formats
 from ..sources import detect, scan
-from . import pipeline
+from . import lease, pipeline
 from .config import Config
 from .generators import Tables
+from .runlog import RunLog, events
 
 
 @dataclass
@@ -32,14 +36,21 @@ class Project:
 
 @dataclass
 class Session:
-    """``work`` is a folder that all executors see."""
+    """``work`` is a folder that all executors see; sessions with the same one know of
+    each other's runs."""
 
     spark: SparkSession
     work: str
     config: Config = field(default_factory=Config)
     projects: dict[str, Project] = field(default_factory=dict)
-    status: dict = field(default_factory=lambda: {"state": "idle"})
-    _busy: threading.Lock = field(default_factory=threading.Lock)
+    lease_lives_s: float = lease.LIVES_S
+
+    @property
+    def status(self) -> dict:
+        """What the run under way, of whatever session, or else the last one came to."""
+        if held := lease.holder(self.work):
+            return {"state": "running", "project": held["project"], "run": held["run"]}
+        return shared.read(f"{self.work}/status.json") or {"state": "idle"}
 
     def discover(self, root: str) -> DataFrame:
         return scan.discover(self.spark, root)
@@ -49,7 +60,7 @@ class Session:
         it. The id follows from the path."""
         key = hashlib.sha256(root.encode()).hexdigest()[:16]
         name = root.rstrip("/").rpartition("/")[2]
-        tables = pipeline.project_tables(self.spark, root, name, f"{self.work}/{key}", config=self.config)
+        tables = pipeline.project_tables(self.spark, root, name, f"{self.work}/{key}", config=self.config, store=Store(self.spark, f"{self.work}/store"), log=RunLog(f"{self.work}/log", uuid.uuid4().hex))
         found = scan.discover(self.spark, root).where(F.col("path") == root).first()
         tables.description = self.readme_description(tables.files)
         totals = statistics.language_totals(tables.files).where("is_total").first()
@@ -89,32 +100,35 @@ class Session:
         return formats.catalogue(self.spark)
 
     def run(self, key: str) -> pipeline.Result:
-        """Generates, filters, deduplicates and stages a project's samples. One run at
-        a time; its Spark jobs are a group, so ``cancel`` ends them."""
-        project = self.get(key)
-        if not self._busy.acquire(blocking=False):
-            raise RuntimeError("a run is under way")
-        try:
-            self.status = {"state": "running", "project": key}
-            self.spark.sparkContext.setJobGroup(f"run-{key}", project.name, True)
-            result = pipeline.run(project.tables, f"{self.work}/{key}", self.config)
-            result.kept.write.mode("overwrite").parquet(f"{self.work}/{key}/kept")
-            result.kept = self.spark.read.parquet(f"{self.work}/{key}/kept")
-            outputs = export.export(result.kept, f"{self.work}/{key}/out", self.config.formats)
-            if self.config.include_manifest:
-                export.manifest(self.spark, f"{self.work}/{key}/out", project.name, result.kept.count(), self.config.formats, outputs, datetime.now(UTC))
-            self.status = {"state": "complete", "project": key}
-            return result
-        except Exception as e:
-            self.status = {"state": "error", "message": str(e)}
-            raise
-        finally:
-            self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-            self._busy.release()
-
-    def cancel(self) -> None:
-        if self.status["state"] == "running":
-            self.spark.sparkContext.cancelJobGroup(f"run-{self.status['project']}")
+        """Generates, filters, deduplicates and writes a project's samples. One run at a
+        time in all sessions of the folder: raises ``lease.Busy`` beside another one, and
+        ``lease.Cancelled`` if any session cancels it. Its events are in ``log``."""
+        project, began = self.get(key), time.monotonic()
+        with lease.Lease(self.spark, self.work, key, self.lease_lives_s) as held:
+            log = RunLog(f"{self.work}/log", held.run, check=held.check)
+            try:
+                result = pipeline.run(project.tables, f"{self.work}/{key}", self.config, log)
+                with log.phase("exporting"):
+                    export.export(result.kept, f"{self.work}/{key}/out", self.config.formats, project.name, datetime.now(UTC), manifest=self.config.include_manifest)
+                log.tell("complete", ms=round(1000 * (time.monotonic() - began)))
+                shared.put(f"{self.work}/status.json", {"state": "complete", "project": key, "run": held.run, "counters": result.counters})
+                return result
+            except Exception as e:
+                state = "cancelled" if held.cancelled else "error"
+                log.check = None
+                log.tell(state, message=str(e)[:1000])
+                shared.put(f"{self.work}/status.json", {"state": state, "project": key, "run": held.run, "message": str(e)[:1000]})
+                if held.cancelled and not isinstance(e, lease.Cancelled):
+                    raise lease.Cancelled(f"the run of {project.name} was cancelled") from e
+                raise
+
+    def cancel(self) -> bool:
+        """Ends the run under way, of whatever session; False if there is none."""
+        return lease.cancel(self.work)
+
+    def log(self) -> DataFrame:
+        """Events of all scans and runs."""
+        return events(self.spark, f"{self.work}/log")
 
     def preview(self, samples: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
         return pipeline.preview(samples, offset, limit)

@@ -1,42 +1,50 @@
-"""JSON lines, manifest and dataset card."""
+"""JSON lines, manifest and dataset card, written together."""
 
 from __future__ import annotations
 
-import json
 import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import numbered
 from ..operators import statistics
+from . import commit
 from .formats import BLURBS, FEATURES, TOOL_SUPPORT, formatted
 
 # Licences that a card may name.
 LICENCES = ("mit", "apache-2.0", "gpl-3.0", "bsd-3-clause", "cc-by-4.0", "cc-by-sa-4.0", "cc0-1.0", "other")
 
 
-def export(samples: DataFrame, path: str, styles: tuple[str, ...]) -> list[str]:
-    """Writes a folder of JSON lines for each style, in ``ord`` order over its part
-    files; returns the folders."""
-    out = []
-    for style in styles:
-        folder = f"{path}/data/{style.lower()}"
-        formatted(samples, style).orderBy("ord").select("line").write.mode("overwrite").text(folder)
-        out.append(folder)
-    return out
+#: Lines of a file.
+LINES_A_FILE = 100_000
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    """A small text file by Spark's own file system, so any store will do."""
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def lines_of(samples: DataFrame, styles: tuple[str, ...], lines_a_file: int = LINES_A_FILE) -> DataFrame:
+    """(folder, line) of all styles, a partition for each file: so many samples in the
+    order of ``ord``. Files depend on the samples alone, not on their partitioning."""
+    if not styles:
+        return samples.sparkSession.createDataFrame([], "folder string, line string")
+    order = numbered(samples.select("ord"), "ord", "pos")
+    files = max(1, -(-order.count() // lines_a_file))
+    every = None
+    for i, style in enumerate(styles):
+        own = formatted(samples, style).select("ord", "line").join(order, "ord")
+        file = F.floor(F.col("pos") / lines_a_file).cast("int") + i * files
+        own = own.select(F.lit(f"data/{style.lower()}").alias("folder"), "line", "pos", file.alias("file"))
+        every = own if every is None else every.union(own)
+    return every.repartitionById(len(styles) * files, F.col("file")).sortWithinPartitions("pos").select("folder", "line")
 
 
-def manifest(spark: SparkSession, path: str, project: str, n_samples: int, styles: tuple[str, ...], outputs: list[str], now: datetime) -> str:
-    """Writes the manifest and returns it."""
-    text = json.dumps({"project": project, "generated_at": now.isoformat(), "total_samples": n_samples, "formats": list(styles), "output_files": outputs}, indent=2, sort_keys=True)
-    _put(spark, f"{path}/manifest", text)
-    return text
+def export(
+    samples: DataFrame, path: str, styles: tuple[str, ...], project: str, now: datetime, extras: dict[str, str] | None = None, lines_a_file: int = LINES_A_FILE, manifest: bool = True
+) -> dict | None:
+    """Writes JSON lines of each style below ``path``, the manifest and ``extras``, all at
+    once; returns the manifest. Samples without a style's columns have no line there."""
+    folders = [f"data/{s.lower()}" for s in styles]
+    about = {"project": project, "generated_at": now.isoformat(), "total_samples": samples.count(), "formats": list(styles), "output_files": folders}
+    return commit.save(lines_of(samples, styles, lines_a_file), path, about, extras, manifest=manifest)
 
 
 def validated(spark: SparkSession, outputs: list[str]) -> list[str]:
@@ -96,8 +104,6 @@ def staged(spark: SparkSession, samples: DataFrame, path: str, project: str, des
     """Everything that a hub needs, as files below ``path``."""
     if not re.fullmatch(r"[A-Za-z0-9_][A-Za-z0-9._-]{0,95}", project):
         raise ValueError(f"{project!r} is no name for a repository")
-    outputs = validated(spark, export(samples, path, styles))
     counts = statistics.counts(samples).collect()  # one row for each type, language and tier
     tokens = statistics.order_statistics(samples.select(F.col("metadata.estimated_tokens").alias("n")), "n").first()
-    _put(spark, f"{path}/card", card(project, description, licence, styles, counts, tokens, now))
-    manifest(spark, path, project, sum(r.n for r in counts if r.dimension == "type"), styles, outputs, now)
+    export(samples, path, styles, project, now, {"card": card(project, description, licence, styles, counts, tokens, now)})

@@ -14,11 +14,11 @@ import re
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tables import spread, written
+from ..functions.tables import numbered, spread, written
 from ..functions.tokens import content_hash
 from . import detect
 
@@ -113,16 +113,6 @@ def project_paths(spark: SparkSession, root: str, skip: re.Pattern, use_gitignor
             return found
 
 
-def numbered(paths: DataFrame, name: str = "file_pos") -> DataFrame:
-    """``paths`` (path) with their place in byte order, from 0. Ranges of paths are
-    numbered apart; only their counts, a row for each range, meet in one place."""
-    ranges = written(paths.repartitionByRange("path").withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = ranges.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("path")) - 1
-    return ranges.withColumn(name, place).join(F.broadcast(first), "_part").select("path", (F.col("_first") + F.col(name)).cast("long").alias(name))
-
-
 def project_files(spark: SparkSession, root: str, sensitive: bool = True, use_gitignore: bool = True, max_bytes: int = MAX_BYTES, extra: tuple[str, ...] = ()) -> DataFrame:
     """(path, file_pos, language, size_bytes, line_count, is_binary, content_hash,
     content) of a project's files; content is null where it is no UTF-8 text.
@@ -151,12 +141,17 @@ def project_files(spark: SparkSession, root: str, sensitive: bool = True, use_gi
     paths = project_paths(spark, root, skip, use_gitignore, max_bytes)
     tasks = max(spark.sparkContext.defaultParallelism, -(-paths.count() // FILES_PER_TASK))
     raw = paths.repartition(tasks).mapInPandas(read, "path string, raw binary")
+    return described_files(raw)
+
+
+def described_files(raw: DataFrame) -> DataFrame:
+    """The columns of ``project_files`` from (path, raw)."""
     text = F.when(F.is_valid_utf8(F.col("raw").cast("string")), F.col("raw").cast("string"))
     files = raw.select(
         "path", F.length("raw").cast("long").alias("size_bytes"), detect.is_binary(F.col("raw")).alias("is_binary"), content_hash(F.col("raw")).alias("content_hash"), text.alias("content")
     ).where("not is_binary")
     files = written(files.withColumns({"language": detect.language(F.col("path"), F.col("content")), "line_count": T.line_count(F.coalesce("content", F.lit("")))}))
-    return files.join(numbered(files.select("path")), "path").select("path", "file_pos", "language", "size_bytes", "line_count", "is_binary", "content_hash", "content")
+    return files.join(numbered(files.select("path"), "path", "file_pos"), "path").select("path", "file_pos", "language", "size_bytes", "line_count", "is_binary", "content_hash", "content")
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
