@@ -57,10 +57,11 @@ class Session:
 
     def scan(self, root: str) -> Project:
         """Scans a project by the present settings, reads its description and remembers
-        it. The id follows from the path."""
+        it. The id follows from the path. Tables are this scan's own, as other sessions
+        may still read older ones."""
         key = hashlib.sha256(root.encode()).hexdigest()[:16]
         name = root.rstrip("/").rpartition("/")[2]
-        tables = pipeline.project_tables(self.spark, root, name, f"{self.work}/{key}", config=self.config, store=Store(self.spark, f"{self.work}/store"), log=RunLog(f"{self.work}/log", uuid.uuid4().hex))
+        tables = pipeline.project_tables(self.spark, root, name, f"{self.work}/{key}/scan-{uuid.uuid4().hex}", config=self.config, store=Store(self.spark, f"{self.work}/store"), log=RunLog(f"{self.work}/log", uuid.uuid4().hex))
         found = scan.discover(self.spark, root).where(F.col("path") == root).first()
         tables.description = self.readme_description(tables.files)
         totals = statistics.language_totals(tables.files).where("is_total").first()
@@ -107,7 +108,7 @@ class Session:
         with lease.Lease(self.spark, self.work, key, self.lease_lives_s) as held:
             log = RunLog(f"{self.work}/log", held.run, check=held.check)
             try:
-                result = pipeline.run(project.tables, f"{self.work}/{key}", self.config, log)
+                result = pipeline.run(project.tables, f"{self.work}/{key}/{held.tag}", self.config, log)
                 with log.phase("exporting"):
                     export.export(result.kept, f"{self.work}/{key}/out", self.config.formats, project.name, datetime.now(UTC), manifest=self.config.include_manifest)
                 log.tell("complete", ms=round(1000 * (time.monotonic() - began)))

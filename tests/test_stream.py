@@ -27,10 +27,12 @@ def events(runs):
 
 @pytest.fixture()
 def stored(spark):
-    before = spark.conf.get(phases.STORE[0])
+    before = {k: spark.conf.get(k) for k in (phases.STORE[0], "spark.sql.shuffle.partitions")}
     spark.conf.set(*phases.STORE)
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
     yield spark
-    spark.conf.set(phases.STORE[0], before)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def streamed(spark, batches, tmp_path, stall_ms=None, wait=lambda: False):
@@ -40,10 +42,10 @@ def streamed(spark, batches, tmp_path, stall_ms=None, wait=lambda: False):
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = phases.tracked(stream, stall_ms).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, i: df.write.mode("append").parquet(str(tmp_path / "out"))).start()
     try:
-        q.processAllAvailable()
-        end = time.time() + 60
-        while wait() and time.time() < end:
+        end = time.time() + 90  # a query with timers runs on without data
+        while (sum(p.numInputRows for p in q.recentProgress) < sum(map(len, batches)) or wait()) and time.time() < end and q.isActive:
             time.sleep(0.5)
+        assert q.exception() is None
     finally:
         q.stop()
     return spark.read.parquet(str(tmp_path / "out"))
