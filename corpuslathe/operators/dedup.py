@@ -4,6 +4,12 @@ Signatures are 128 minima over XXH3 hashes of 5-character shingles, in 16 bands
 8; two samples link when their signatures agree in at least the threshold's share.
 A sample goes if an earlier, kept one links with it. This is not the same as one
 per component: of a chain a-b-c without a-c, both a and c stay.
+
+Candidates are rows of one band's bucket. Copies leave in a few rounds in which the
+earliest rows remove what links with them; what is open then, the rows of a bucket that
+do not link as a rule, is compared in pairs of chunks, so that no bucket is one task. The
+chunks hold sketches, the lowest byte of each minimum: rows that link agree in so many of
+them for certain, so only few pairs fetch their signatures.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ PERMUTATIONS, BANDS, SHINGLE = 128, 16, 5
 THRESHOLD = 0.85
 #: Runs of characters whose hashes a task keeps, and how many are signed at once.
 RUNS_HELD, RUNS_AT_ONCE = 1_000_000, 200_000
+#: Rounds in which the earliest rows remove others, and rows of a chunk after that.
+ROUNDS, CHUNK = 3, 1024
 
 
 def seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +74,7 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, ord_col: str = "ord", text_col: str = "text") -> DataFrame:
-    """(ord, signature, bands) for each row; both as signed longs."""
+    """(ord, signature, bands, sketch) for each row; the first two as signed longs."""
 
     def run(batches):
         import xxhash
@@ -82,30 +90,75 @@ def signatures(texts: DataFrame, ord_col: str = "ord", text_col: str = "text") -
             s = [*s, *signed(sets, a, b)]
             bands = [[xxhash.xxh3_64_intdigest(x[i : i + 8].astype("<u8").tobytes()) for i in range(0, PERMUTATIONS, PERMUTATIONS // BANDS)] for x in s]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array([np.array(x, np.uint64).view(np.int64) for x in bands], pa.list_(pa.int64()))],
-                ["ord", "signature", "bands"],
+                [batch.column(0), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array([np.array(x, np.uint64).view(np.int64) for x in bands], pa.list_(pa.int64())), pa.array([x.astype(np.uint8).tobytes() for x in s], pa.binary())],
+                ["ord", "signature", "bands", "sketch"],
             )
 
-    return spread(texts.select(F.col(ord_col).cast("long").alias("ord"), F.col(text_col).alias("text"))).mapInArrow(run, "ord long, signature array<long>, bands array<long>")
+    return spread(texts.select(F.col(ord_col).cast("long").alias("ord"), F.col(text_col).alias("text"))).mapInArrow(run, "ord long, signature array<long>, bands array<long>, sketch binary")
 
 
 def firsts(signed: DataFrame) -> DataFrame:
-    """(i, signature, bands): of rows with equal signatures the first. The others
+    """(i, signature, bands, sketch): of rows with equal signatures the first. The others
     are always removed: by the first if it is kept, else by what removed the first."""
-    return signed.groupBy("signature").agg(F.min("ord").alias("i"), F.first("bands").alias("bands"))
-
+    return signed.groupBy("signature").agg(F.min("ord").alias("i"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+
+
+def _sketched(least: int):
+    """Pairs (i, j) of rows (band, h, lo, hi, i, chunk, sketch), sorted by the first four,
+    of which each group meets in one place: between its two chunks, or in its only one."""
+
+    def met(group: list[tuple]) -> list[tuple[int, int]]:
+        lo, hi = group[0][2:4]
+        left = [r for r in group if r[5] == lo]
+        right = left if lo == hi else [r for r in group if r[5] != lo]
+        if not left or not right or len(group) < 2:
+            return []
+        x, y = (np.frombuffer(b"".join(r[6] for r in side), np.uint8).reshape(len(side), PERMUTATIONS) for side in (left, right))
+        out = []
+        for at in range(0, len(x), 64):
+            a, b = np.nonzero((x[at : at + 64, None] == y[None]).sum(2, dtype=np.int32) >= least)
+            out += [(left[at + p][4], right[q][4]) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+        return [(min(p), max(p)) for p in out if p[0] != p[1] and (left is not right or p[0] < p[1])]
 
-def links(first: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(i, j, similarity) of pairs i < j that share a band and reach the threshold."""
-    rows = first.select("i", F.posexplode("bands").alias("band", "h"))
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.i") < F.col("y.i")))
-    pairs = pairs.select(F.col("x.i").alias("i"), F.col("y.i").alias("j")).distinct()
+    def run(batches):
+        group: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[:4] != group[0][:4]:
+                    found += met(group)
+                    group = []
+                group.append(row)
+            yield table(found)
+        yield table(met(group) if group else [])
+
+    def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        i, j = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64())], ["i", "j"])
+
+    return run
+
+
+def _linked(rows: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """``links`` between rows (i, band, h) of ``first``."""
+    sizes = rows.groupBy("band", "h").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = rows.join(sizes, ["band", "h"]).withColumn("chunk", F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int")).join(first.select("i", "sketch"), "i")
+    placed = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    group = ["band", "h", "lo", "hi"]
+    placed = placed.select("band", "h", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "i", "chunk", "sketch")
+    least = int(np.ceil(threshold * PERMUTATIONS - 1e-9))
+    pairs = placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(_sketched(least), "i long, j long").distinct()
     left, right = first.select("i", F.col("signature").alias("s")), first.select(F.col("i").alias("j"), F.col("signature").alias("t"))
     same = F.aggregate(F.zip_with("s", "t", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, v: n + v)
     near = pairs.join(left, "i").join(right, "j").select("i", "j", (same / F.lit(float(PERMUTATIONS))).alias("similarity"))
     return near.where(F.col("similarity") >= threshold)
 
 
+def links(first: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(i, j, similarity) of pairs i < j that share a band and reach the threshold."""
+    return _linked(first.select("i", F.posexplode("bands").alias("band", "h")), first, threshold)
+
+
 def removed(edges: DataFrame) -> DataFrame:
     """Ends j that the keep-first rule removes, from links (i, j) with i < j.
 
@@ -124,19 +177,20 @@ def removed(edges: DataFrame) -> DataFrame:
             return state.where("not kept").select(F.col("n").alias("ord"))
 
 
-def removed_by_rounds(first: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(ord) that the keep-first rule removes, without all pairs of a bucket.
+def removed_by_rounds(first: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+    """(ord) that the keep-first rule removes, without all pairs of copies.
 
-    Rounds over the open rows of buckets: a row that is the earliest open one in all
-    of its buckets is kept, as whatever could remove it is settled. It is compared
-    with the open rows of its buckets and removes those that link; both leave. So m
-    near copies of a row cost m comparisons, not m squared. The earliest open row is
-    always settled, so rounds end.
+    In each of a few rounds, a row that is the earliest open one in all of its buckets is
+    kept, as whatever could remove it is settled. It is compared with the open rows of
+    its buckets and removes those that link; both leave. So m near copies of a row cost m
+    comparisons, not m squared. What is still open links with no settled row; there the
+    links are found in pairs of chunks, and the rule follows them (``removed``), whose
+    rounds grow with chains of links, not with buckets.
     """
     rows = first.select(F.col("i").alias("ord"), F.posexplode("bands").alias("band", "h"))
     signed = first.select(F.col("i").alias("ord"), "signature")
     open_, gone = rows, None
-    while True:
+    for _ in range(rounds):
         low = open_.groupBy("band", "h").agg(F.min("ord").alias("low"), F.count("*").alias("n")).where("n > 1")
         open_ = written(open_.select("ord", "band", "h").join(low, ["band", "h"]))
         if open_.isEmpty():
@@ -149,6 +203,11 @@ def removed_by_rounds(first: DataFrame, threshold: float = THRESHOLD) -> DataFra
         now = written(near.select(F.col("j").alias("ord")).distinct())
         gone = now if gone is None else gone.union(now)
         open_ = open_.join(kept.union(now), "ord", "left_anti")
+    else:
+        edges = written(_linked(open_.select(F.col("ord").alias("i"), "band", "h"), first, threshold))
+        if not edges.isEmpty():
+            late = removed(edges)
+            gone = late if gone is None else gone.union(late)
     return gone if gone is not None else signed.select("ord").limit(0)
 
 

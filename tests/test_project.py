@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,39 @@ def test_dedup_equals_loop(spark, sf):
     assert {r.ord for r in dedup.removed(dedup.links(first)).collect()} == {r.ord for r in dedup.removed_by_rounds(first).collect()}
 
 
+def test_dedup_of_a_dense_bucket(spark, monkeypatch):
+    """Texts of one template that share buckets and do not link, with some that do: a
+    number of tables that does not grow with them, and the rule's result."""
+    import random
+
+    r = random.Random(1)
+    same = " ".join(f"word{r.randrange(10**6)}" for _ in range(150))
+    texts = [same + " " + " ".join(f"own{r.randrange(10**6)}" for _ in range(26)) for _ in range(300)]
+    texts += [texts[k] + f" tail{i}" for i, k in enumerate((5, 5, 9, 250))] + [texts[3], ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    made, real = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df: made.append(1) or real(df))
+    monkeypatch.setattr(dedup, "CHUNK", 64)
+    got = {x.ord for x in dedup.deduplicated(docs, F.col("text")).collect()}
+    a, b = dedup.seeds()
+    signed = np.array([dedup.signature(dedup.shingle_hashes(t), a, b) for t in texts])
+    banded = lambda i, j: (signed[i] == signed[j]).reshape(16, 8).all(1).any()
+    gone: set = set()
+    shared = 0
+    for j in range(len(texts)):
+        for i in range(j):
+            if banded(i, j):
+                shared += 1
+                if i not in gone and (signed[i] == signed[j]).mean() >= 0.85:
+                    gone.add(j)
+    assert shared > 2000 and len(gone) >= 5 and got == set(range(len(texts))) - gone
+    assert len(made) <= 2 + 3 * dedup.ROUNDS + 1 + 8
+    first = dedup.firsts(dedup.signatures(docs))
+    pairs = {(x.i, x.j) for x in dedup.links(first).collect()}
+    heads = sorted(x.i for x in first.select("i").collect())
+    assert pairs == {(i, j) for i in heads for j in heads if i < j and (signed[i] == signed[j]).mean() >= 0.85 and banded(i, j)}
+
+
 def test_reasons(spark):
     turn = lambda role, content: (role, content, None, None, None)
     base = [turn("user", "Explain this part of the program to me, please, in a few words."), turn("assistant", "It reads a file, counts its words and prints the ten most common. " * 6)]
