@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 
 def language_totals(files: DataFrame) -> DataFrame:
     """Files, lines and bytes by language and in total (language null and is_total)
@@ -31,13 +33,17 @@ def order_statistics(numbers: DataFrame, column: str) -> DataFrame:
     """One row: n, total, min, max, mean (rounded down), median, p90, p99, each the
     element at its index of the sorted list; zeros for an empty table.
 
-    Equal numbers are grouped first, so what is ordered in one place is the list of
-    distinct values, not the rows.
+    Equal numbers are grouped first. Their distinct values are counted in ranges; of
+    the ranges alone, a row each, the running total is made in one place. Then only the
+    range that holds an index is ordered within.
     """
     each = numbers.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = each.withColumn("upto", F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.sum("n").over(Window.partitionBy())
-    rows = upto.withColumn("total", total)
+    ranges = written(each.repartitionByRange("v").withColumn("_part", F.spark_partition_id()))
+    parts = ranges.groupBy("_part").agg(F.sum("n").alias("part_n"))  # a row for each range
+    before = F.coalesce(F.sum("part_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_part", before.alias("before"), F.sum("part_n").over(Window.partitionBy()).alias("total"))
+    inner = F.sum("n").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = ranges.withColumn("inner", inner).join(F.broadcast(parts), "_part").withColumn("upto", F.col("before") + F.col("inner"))
     at = {"median": F.floor(F.col("total") / 2), "p90": F.floor((F.col("total") - 1) * 0.9), "p99": F.floor((F.col("total") - 1) * 0.99)}
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.agg(

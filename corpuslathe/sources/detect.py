@@ -38,17 +38,46 @@ def ignored_pattern(globs: list[str]) -> re.Pattern:
     return re.compile("|".join(fnmatch.translate(g) for g in globs) or r"(?!)")
 
 
+#: Extensions that several languages share: patterns in a file's content and what each
+#: says for a language. The largest sum counts; without one, the extension's own language.
+CONTENT_SIGNS = {
+    "h": [
+        ("C++", 3, r"(?m)^\s*(?:class|namespace)\s+\w+[^;]*$"), ("C++", 3, r"(?m)^\s*template\s*<"), ("C++", 2, r"\bstd::|\w+::\w+\s*\("), ("C++", 2, r"(?m)^\s*(?:public|private|protected)\s*:"),
+        ("C++", 2, r"(?m)^\s*using\s+(?:namespace\s+)?\w+"), ("C++", 1, r"\b(?:virtual|constexpr|noexcept|nullptr|operator)\b"), ("C++", 1, r"(?m)^\s*#\s*include\s*<[a-z_]+>"),
+        ("C", 2, r"(?m)^\s*typedef\s+(?:struct|enum|union)\b"), ("C", 1, r"(?m)^\s*#\s*include\s*<[a-z/_]+\.h>"), ("C", 2, r"\b(?:malloc|calloc|free)\s*\("), ("C", 1, r"\bstruct\s+\w+\s*\*"),
+    ],
+    "ts": [("XML", 4, r"\A\s*<\?xml\b"), ("XML", 3, r"(?m)^\s*<!DOCTYPE\s+TS>"), ("TypeScript", 1, r"(?m)^\s*(?:import|export|const|let|function|interface|type|class)\b")],
+    "m": [("Objective-C", 3, r"(?m)^\s*@(?:interface|implementation|import|protocol)\b"), ("Objective-C", 2, r"(?m)^\s*#\s*import\b"), ("MATLAB", 2, r"(?m)^\s*function\b[^{;]*$"), ("MATLAB", 1, r"(?m)^\s*%")],
+    "pl": [("Prolog", 2, r"(?m)^[a-z]\w*\(.*\)\s*:-"), ("Prolog", 2, r"(?m)^:-\s*\w+"), ("Perl", 3, r"(?m)^\s*(?:use\s+(?:strict|warnings)|package\s+\w+|sub\s+\w+)"), ("Perl", 1, r"(?m)^\s*my\s+[$@%]")],
+}
+
+
+def by_content(extension: Column, content: Column) -> Column:
+    """Language that the content of a file with a shared extension speaks for, by the sum
+    of the weights of its signs, under this engine's name; ties go to the first listed
+    language, null without any sign."""
+    out = F.lit(None).cast("string")
+    for name, signs in CONTENT_SIGNS.items():
+        totals = {k: sum((F.when(content.rlike(p), w).otherwise(0) for lang, w, p in signs if lang == k), F.lit(0)) for k in dict.fromkeys(s[0] for s in signs)}
+        best = F.greatest(*totals.values(), F.lit(1))
+        said = F.coalesce(*(F.when(n == best, k) for k, n in totals.items()))
+        out = F.when(extension == name, said).otherwise(out)
+    return mapped_name(out)
+
+
 def language(path: Column, content: Column | None = None) -> Column:
-    """Language by file name, then extension, then the interpreter of the first line."""
+    """Language by file name, then by content where languages share the extension, then
+    by extension, then by the interpreter of the first line."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     pairs = [F.lit(x) for k, v in EXTENSIONS.items() for e in v.split() for x in (e, k)]
-    by_extension = F.element_at(F.create_map(*pairs), F.lower(F.regexp_extract(name, r".\.([^.]+)$", 1)))
+    extension = F.lower(F.regexp_extract(name, r".\.([^.]+)$", 1))
+    by_extension = F.element_at(F.create_map(*pairs), extension)
     by_name = F.element_at(F.create_map(*(F.lit(x) for kv in FILE_NAMES.items() for x in kv)), name)
     if content is None:
         return F.coalesce(by_name, by_extension)
     program = F.regexp_extract(content, r"^#![^\n]*?([a-z]+)[0-9.]*\s*(?:\n|$)", 1)
     by_program = F.element_at(F.create_map(*(F.lit(x) for kv in SHEBANGS.items() for x in kv)), program)
-    return F.coalesce(by_name, by_extension, by_program)
+    return F.coalesce(by_name, F.when(extension.isin(*CONTENT_SIGNS), by_content(extension, content)), by_extension, by_program)
 
 
 def mapped_name(name: Column) -> Column:

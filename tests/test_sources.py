@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, StringStartsWith
 
-from corpuslathe.sinks import commit, export
-from corpuslathe.sources import scan, tree
+from corpuslathe.operators import statistics
+from corpuslathe.sinks import commit, export, staging
+from corpuslathe.sources import detect, scan, tree
 
 
 @pytest.fixture(scope="module")
@@ -146,3 +147,51 @@ def test_export_depends_on_samples_alone(spark, tmp_path):
     order = [r.line for r in export.formatted(samples, "OpenAI").orderBy("ord").collect()]
     assert [x for f in told["files"] if "openai" in f["name"] for x in (tmp_path / "o0" / f["name"]).read_text().splitlines()] == order
     assert "manifest.json" not in held(tmp_path / "o3") if export.export(samples, str(tmp_path / "o3"), styles, "p", now, manifest=False) is None else False
+
+
+def test_payload_of_a_staged_folder(spark, tmp_path):
+    """A plain loop over the files gives the same objects, uploads and lines."""
+    import base64
+
+    files = {"data/a/part-1.jsonl": b"{}\n" * 50, "data/a/part-2.jsonl": b"x" * 500, "data/b/part-1.jsonl": b"x" * 500, "card": "# é\n".encode(), "data/c d/p.bin": bytes(range(256))}
+    for path, data in files.items():
+        (tmp_path / "out" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "out" / path).write_bytes(data)
+    found = staging.objects(spark, str(tmp_path / "out"), inline_bytes=300)
+    digest = lambda d: hashlib.sha256(d).hexdigest()
+    from urllib.parse import unquote
+
+    want = sorted((p, len(d), digest(d), len(d) > 300) for p, d in files.items())
+    assert sorted((unquote(r.path), r.size_bytes, r.sha256, r.large) for r in found.collect()) == want
+    assert [tuple(r) for r in staging.uploads(found).collect()] == [(digest(b"x" * 500), 500, "data/a/part-2.jsonl")]
+    lines = [json.loads(r.line) for r in staging.payload(found, "Add", "About").orderBy("ord").collect()]
+    assert lines[0] == {"key": "header", "value": {"summary": "Add", "description": "About"}}
+    told = {unquote(x["value"]["path"]): x for x in lines[1:]}
+    for p, d in files.items():
+        inline = {"key": "file", "value": {"content": base64.b64encode(d).decode(), "encoding": "base64", "path": told[p]["value"]["path"]}}
+        large = {"key": "lfsFile", "value": {"algo": "sha256", "oid": digest(d), "path": told[p]["value"]["path"], "size": len(d)}}
+        assert told[p] == (large if len(d) > 300 else inline)
+    (tmp_path / "none").mkdir()
+    assert staging.payload(staging.objects(spark, str(tmp_path / "none")), "s").count() == 1
+
+
+def test_language_by_content(spark):
+    cases = [
+        ("a.h", "#include <stdio.h>\ntypedef struct node { int x; } node;\nvoid f(struct node *n);\n", "C"), ("b.h", "#include <vector>\nnamespace q {\ntemplate <class T>\nclass Box {\npublic:\n  std::vector<T> x;\n};\n}\n", "C++"),
+        ("c.h", "int f(void);\n", "C"), ("d.h", "", "C"), ("e.h", None, "C"), ("f.ts", '<?xml version="1.0"?>\n<!DOCTYPE TS>\n', "XML"), ("g.ts", "export const a = 1;\n", "TypeScript"),
+        ("h.m", "#import <Foundation/Foundation.h>\n@implementation A\n@end\n", "Objective-C"), ("i.m", "function y = f(x)\n% doubles\ny = 2 * x;\n", "MATLAB"), ("j.pl", "use strict;\nmy $x = 1;\n", "Perl"), ("k.pl", ":- module(a, []).\nf(X) :- g(X).\n", "Prolog"),
+        ("l.py", "class A:\n", "Python"), ("Makefile", "a:\n", "Makefile"), ("n", "#!/bin/sh\n", "Shell"),
+    ]
+    df = spark.createDataFrame(cases, "path string, content string, want string").select("*", detect.language(F.col("path"), F.col("content")).alias("got"))
+    assert {r.path: r.got for r in df.collect()} == {p: w for p, _, w in cases}
+
+
+def test_order_statistics_by_ranges(spark):
+    import random
+
+    r = random.Random(3)
+    for values in ([], [7], [1, 2], [r.randrange(40) for _ in range(999)], [5] * 400 + [r.randrange(10**9) for _ in range(601)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long").repartition(5)
+        got, v, n = statistics.order_statistics(df, "v").first(), sorted(values), len(values)
+        at = lambda i: v[int(i)] if v else 0
+        assert tuple(got) == (n, sum(v), at(0), at(-1), sum(v) // n if v else 0, at(n // 2), at((n - 1) * 0.9), at((n - 1) * 0.99))
