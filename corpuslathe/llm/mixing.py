@@ -13,13 +13,19 @@
    weight says. Running sums over a stream are made in ``PARTS`` parts by the
    permutation's leading digits and joined by the parts' totals, so that a source
    with a third of all rows is spread like any other.
+5. Rows are placed by their ids and hashes. What else a caller wants of them, texts
+   above all, joins the places at the end, by file and row number; so a text is
+   shuffled once. Tables that aren't Parquet files are written first for that.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 TURNS = 60
 PARTS = 4096
 BLOCK_TOKENS = 1 << 18
@@ -102,6 +108,17 @@ def block_plan(docs: DataFrame, text_col: str = "text", source_col: str = "sourc
     return size, int(budget // size) + 1
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with _mix_file and _mix_index, which tell its rows apart in every reading."""
+    place = F.xxhash64("_metadata.file_path").alias("_mix_file"), F.col("_metadata.row_index").alias("_mix_index")
+    if docs.inputFiles():
+        try:
+            return docs.select("*", *place)
+        except AnalysisException:  # not as it was read, or no Parquet
+            pass
+    return written(docs).select("*", *place)
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_share: float | None = None, most_repeats: float | None = MOST_REPEATS,
     keep_all: bool = False, block_tokens: int = BLOCK_TOKENS, seed: int = 1, carry: list[str] | None = None, flatten: float | None = FLATTEN,
@@ -117,11 +134,12 @@ def mix(
     of rows that differ in carried columns alone, either may come first. An empty
     table gives no rows. No other column is read, except those carried.
     """
-    text, names = F.col(text_col).cast("string"), carry or []
+    text = F.col(text_col).cast("string")
+    docs = _numbered(docs) if carry else docs
+    own = [F.col("_mix_file"), F.col("_mix_index")] if carry else []
     name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     rows = docs.select(
-        F.struct(*(F.col(c) for c in names)).alias("carry") if names else F.lit(None).alias("carry"),
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("key"),
+        *own, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("key"),
         tokens_of(text).alias("tokens"), name.alias("name"),
     )
     totals = rows.groupBy("key").agg(F.sum("tokens").alias("tokens"))
@@ -155,4 +173,9 @@ def mix(
     placed = placed.withColumn("block", block.cast("long"))
     position = F.row_number().over(Window.partitionBy("block").orderBy("order", "epoch", "key")) - 1
     placed = placed.withColumn("position", position.cast("long"))
-    return placed.select("carry.*", "epoch", "block", "position") if names else placed.select("doc_id", "source", "tokens", "epoch", "block", "position")
+    if carry:
+        places = placed.select("_mix_file", "_mix_index", "epoch", "block", "position").withColumnsRenamed({c: f"_{c}" for c in ("epoch", "block", "position")})
+        # the places, without texts, are the side that a task holds
+        met = docs.select(*carry, "_mix_file", "_mix_index").join(places.hint("shuffle_hash"), ["_mix_file", "_mix_index"])
+        return met.select(*carry, F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_position").alias("position"))
+    return placed.select("doc_id", "source", "tokens", "epoch", "block", "position")
