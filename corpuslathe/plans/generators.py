@@ -136,8 +136,13 @@ def _or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def code_qa(ctx: Tables) -> DataFrame:
-    """Explanations of symbols, and usage examples of the longer ones."""
+# The texts of prompts and answers below are fixed values.
+def _lines_tier() -> Column:
+    return F.when(F.col("n_lines") < 10, "Simple").when(F.col("n_lines") < 40, "Moderate").otherwise("Complex")
+
+
+def explanations(ctx: Tables) -> DataFrame:
+    """Explanations of symbols."""
     rows = _of(ctx, 4, "function", "method", "class", "struct", "trait", "interface", "enum").withColumn("fence", T.fence_name(F.col("language")))
     kind, doc = F.col("kind"), F.regexp_replace("doc_comment", r"\.+$", "")
     about = f"Project description: {ctx.description}. " if ctx.description else ""
@@ -160,17 +165,24 @@ def code_qa(ctx: Tables) -> DataFrame:
     each = F.transform("parameters", lambda p: F.concat(F.lit("`"), p["name"], F.lit("`"), _or_empty(F.concat(F.lit(" ("), p["type_annotation"], F.lit(")")))))
     takes = F.when(F.size("parameters") > 0, T.template("\n\nIt takes {} parameter(s): {}.", F.size("parameters"), F.array_join(each, ", "))).otherwise("")
     answer = F.concat(opening, takes, _or_empty(T.template(" It returns `{}`.", "return_type")))
-    tier = F.when(F.col("n_lines") < 10, "Simple").when(F.col("n_lines") < 40, "Moderate").otherwise("Complex")
-    tokens = T.quarter_bytes(F.col("source_text"))
-    explain = _samples(rows, ctx, 0, "CodeQA", "explain1", [turn("system", system), turn("user", question), turn("assistant", answer)], tokens, tier)
+    return _samples(rows, ctx, 0, "CodeQA", "explain1", [turn("system", system), turn("user", question), turn("assistant", answer)], T.quarter_bytes(F.col("source_text")), _lines_tier())
+
 
-    longer = rows.where((F.col("n_lines") > 15) & kind.isin("function", "method", "class", "struct"))
+def usages(ctx: Tables) -> DataFrame:
+    """Usage examples of the longer symbols."""
+    kind = F.col("kind")
+    longer = _of(ctx, 16, "function", "method", "class", "struct").withColumn("fence", T.fence_name(F.col("language")))
     names = F.array_join(F.transform(F.filter("parameters", lambda p: (kind == "function") | _named(p)), lambda p: p["name"]), ", ")
     use = usage(F.col("language"), kind, names)
     asked = T.template("How would you use the `{}` {} from `{}`? Show a practical example.\n\n```{}\n{}\n```", "name", "kind", "path", "fence", F.coalesce("signature", "source_text"))
     shown = T.template("Here's how you might use `{}` from `{}`:\n\n```{}\n{}```", "name", "path", "fence", use)
     expert = T.template("You are an expert {} developer. Provide clear, practical code examples.", "language")
-    return explain.unionByName(_samples(longer, ctx, 0, "CodeQA", "usage2", [turn("system", expert), turn("user", asked), turn("assistant", shown)], tokens, tier))
+    return _samples(longer, ctx, 0, "CodeQA", "usage2", [turn("system", expert), turn("user", asked), turn("assistant", shown)], T.quarter_bytes(F.col("source_text")), _lines_tier())
+
+
+def code_qa(ctx: Tables) -> DataFrame:
+    """Explanations of symbols, and usage examples of the longer ones."""
+    return explanations(ctx).unionByName(usages(ctx))
 
 
 #: How a language calls a function, makes an object and calls a method of it; Rust's are the fixed texts.
@@ -258,11 +270,17 @@ def _arguments(**values: Column) -> Column:
     return F.to_json(F.struct(*(values[k].alias(k) for k in sorted(values))))
 
 
-def tool_calling(ctx: Tables) -> DataFrame:
-    """Reading and explaining, finding references, exploring directories."""
-    lead = f"You are a coding assistant for the {ctx.project.replace('{}', '')} project. "
-    key = _key("ToolCalling", ctx, "path", F.col("file_pos").cast("string"))
-    tools = read_only_tools()
+def _tool_lead(ctx: Tables) -> str:
+    return f"You are a coding assistant for the {ctx.project.replace('{}', '')} project. "
+
+
+def _tool_key(ctx: Tables) -> Column:
+    return _key("ToolCalling", ctx, "path", F.col("file_pos").cast("string"))
+
+
+def reading(ctx: Tables) -> DataFrame:
+    """Functions read from their files and explained."""
+    lead, key, tools = _tool_lead(ctx), _tool_key(ctx), read_only_tools()
     rows = _of(ctx, 5, "function", "method")
     read = rows.join(ctx.files.where("content is not null").select("path"), "path", "left_semi")
     listed = F.array_join(F.transform("parameters", lambda p: T.template("- `{}`: {}\n", p["name"], F.coalesce(p["type_annotation"], F.lit("unspecified")))), "")
@@ -276,8 +294,12 @@ def tool_calling(ctx: Tables) -> DataFrame:
         turn("assistant", T.template("Let me read the source code for `{}`.", "name"), c), turn("tool", F.col("source_text"), call_id=c["id"]), turn("assistant", explained),
     ]
     tier = F.when(F.col("n_lines") > 30, "Complex").otherwise("Moderate")
-    first = _samples(read, ctx, 3, "ToolCalling", "read1", turns, T.quarter_bytes(F.col("source_text")) + 200, tier, tools=tools)
+    return _samples(read, ctx, 3, "ToolCalling", "read1", turns, T.quarter_bytes(F.col("source_text")) + 200, tier, tools=tools)
+
 
+def references(ctx: Tables) -> DataFrame:
+    """Functions and the files that mention them."""
+    lead, key, tools = _tool_lead(ctx), _tool_key(ctx), read_only_tools()
     found = _of(ctx, 9, "function", "method")
     refs = relations.referencing_files(found, ctx.hits, ctx.analyses)
     found = found.join(refs, ["path", "sym_pos"], "left").withColumn("referencing", F.coalesce("referencing", F.array().cast("array<string>")))
@@ -291,9 +313,12 @@ def tool_calling(ctx: Tables) -> DataFrame:
         turn("system", lead + "Use tools to search the codebase and answer questions."), turn("user", T.template("Where is `{}` used in the project?", "name")),
         turn("assistant", T.template("Let me search for references to `{}`.", "name"), c), turn("tool", T.template("{}:{}  (definition)\n{}", "path", "start_line", usages), call_id=c["id"]), turn("assistant", summary),
     ]
-    second = _samples(found, ctx, 3, "ToolCalling", "references2", turns, F.lit(300), "Moderate", tools=tools)
+    return _samples(found, ctx, 3, "ToolCalling", "references2", turns, F.lit(300), "Moderate", tools=tools)
 
-    # once for each directory, by its first file with symbols
+
+def exploring(ctx: Tables) -> DataFrame:
+    """Directories, once each, by their first file with symbols."""
+    lead, key, tools = _tool_lead(ctx), _tool_key(ctx), read_only_tools()
     own = ctx.analyses.where(F.size("symbols") > 0).select("path", "file_pos", "language", T.parent_dir(F.col("path")).alias("dir"))
     own = own.groupBy("dir").agg(F.min(F.struct("file_pos", "path", "language")).alias("f")).select("f.path", "f.file_pos", "f.language", "dir")
     own = own.join(relations.siblings(ctx.analyses.select("path", "file_pos")), "dir").where(F.size("siblings") >= 2)
@@ -303,8 +328,12 @@ def tool_calling(ctx: Tables) -> DataFrame:
         turn("system", lead + "Use tools to explore the codebase structure."), turn("user", T.template("What files are in the `{}` directory?", "dir")),
         turn("assistant", T.template("Let me list the contents of `{}`.", "dir"), c), turn("tool", F.array_join("siblings", "\n"), call_id=c["id"]), turn("assistant", summary),
     ]
-    third = _samples(own, ctx, 3, "ToolCalling", "explore1", turns, F.lit(250), "Simple", files=F.col("siblings"), at=(F.col("file_pos"), F.lit(1 << 27)), tools=tools, symbol=False)
-    return first.unionByName(second).unionByName(third)
+    return _samples(own, ctx, 3, "ToolCalling", "explore1", turns, F.lit(250), "Simple", files=F.col("siblings"), at=(F.col("file_pos"), F.lit(1 << 27)), tools=tools, symbol=False)
+
+
+def tool_calling(ctx: Tables) -> DataFrame:
+    """Reading and explaining, finding references, exploring directories."""
+    return reading(ctx).unionByName(references(ctx)).unionByName(exploring(ctx))
 
 
 def multi_turn(ctx: Tables) -> DataFrame:
@@ -360,8 +389,8 @@ def bug_detection(ctx: Tables) -> DataFrame:
     return _samples(rows, ctx, 5, "BugDetection", "bugs1", turns, T.quarter_bytes(code) + 200, "Moderate")
 
 
-def repo_context(ctx: Tables) -> DataFrame:
-    """An overview of the project, and how pairs of related files interact."""
+def overview(ctx: Tables) -> DataFrame:
+    """An overview of the project: one sample, which lists all its files."""
     per_file = ctx.analyses.select("path", "file_pos", "language", F.size("symbols").alias("n"), F.transform(F.slice("symbols", 1, 3), lambda s: s["name"]).alias("names"))
     totals = per_file.agg(F.count("*").alias("n_files"), F.sum("n").alias("n_symbols"))
     head = per_file.orderBy("file_pos").limit(8).where("n > 0")
@@ -372,8 +401,11 @@ def repo_context(ctx: Tables) -> DataFrame:
     about = f" — {ctx.description}" if ctx.description else ""
     text = F.concat(F.lit(f"**{ctx.project}**{about}\n\n"), T.template("The project contains {} source file(s) with {} symbol(s).\n\n**Key files:**\n{}", "n_files", "n_symbols", "key_files"))
     turns = [turn("system", "You are a senior developer. Provide clear, structured overviews of codebases."), turn("user", f"Give me an overview of the {ctx.project} project."), turn("assistant", text)]
-    overview = _samples(one, ctx, 6, "RepoContext", "overview1", turns, F.lit(300), "Moderate", files=F.col("paths"), at=(F.lit(0), F.lit(0)), symbol=False, language=F.lit(None).cast("string"))
+    return _samples(one, ctx, 6, "RepoContext", "overview1", turns, F.lit(300), "Moderate", files=F.col("paths"), at=(F.lit(0), F.lit(0)), symbol=False, language=F.lit(None).cast("string"))
 
+
+def interactions(ctx: Tables) -> DataFrame:
+    """How pairs of related files interact."""
     pairs = relations.related_pairs(ctx.analyses, ctx.symbols, ctx.imports, ctx.hits)
     sources = ctx.analyses.select("path", F.array_join(F.transform("symbols", lambda s: s["source_text"]), "\u0000").alias("text"))
     named = relations.names_mentioned(ctx.symbols, sources, relations.mentions(ctx.symbols.select("name"), sources))
@@ -388,7 +420,12 @@ def repo_context(ctx: Tables) -> DataFrame:
         turn("system", "You are a senior developer. Explain code architecture and module interactions clearly."), turn("user", T.template(f"How do `{{}}` and `{{}}` interact in the {ctx.project.replace('{}', '')} project?", "a", "b")),
         turn("assistant", F.concat(T.template("`{}` and `{}` are related modules in the project.\n\n", "a", "b"), forth, back, neither)),
     ]
-    return overview.unionByName(_samples(pairs, ctx, 6, "RepoContext", "interaction1", turns, F.lit(350), "Complex", files=F.array("a", "b"), at=(F.col("a_pos"), F.col("b_pos")), symbol=False))
+    return _samples(pairs, ctx, 6, "RepoContext", "interaction1", turns, F.lit(350), "Complex", files=F.array("a", "b"), at=(F.col("a_pos"), F.col("b_pos")), symbol=False)
+
+
+def repo_context(ctx: Tables) -> DataFrame:
+    """An overview of the project, and how pairs of related files interact."""
+    return overview(ctx).unionByName(interactions(ctx))
 
 
 #: Open to further generators; the order is that of ``ord``.

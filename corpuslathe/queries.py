@@ -421,7 +421,7 @@ def project(spark: SparkSession, sf_dir: str) -> generators.Tables:
     when = lambda n, value: F.when(F.col("doc_id") % n == 0, value)
     fields = {
         "name": F.concat(F.lit("get_item_"), "doc_id"), "kind": kind, "start_line": F.lit(1), "end_line": T.line_count(code), "start_col": F.lit(0), "byte_start": F.lit(0), "byte_end": F.octet_length(code), "source_text": code,
-        "doc_comment": when(2, F.concat(F.lit("About "), "source", F.lit("."))), "parameters": parameters, "return_type": when(5, F.lit("int")), "signature": F.lit(None).cast("string"), "parent": F.when(kind == "method", "Box"),
+        "doc_comment": when(2, F.concat(F.lit("About "), "source", F.lit("."))), "parameters": parameters, "return_type": when(5, F.lit("int")), "signature": F.lit(None).cast("string"), "body_text": F.when(F.instr(code, "\n") > 0, F.substr(code, F.instr(code, "\n") + 1)), "parent": F.when(kind == "method", "Box"),
     }
     text = table(spark, sf_dir, "documents").where("text is not null")
     base = text.select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.col("doc_id").alias("file_pos"), language.alias("language"), F.array(F.struct(*(v.alias(k) for k, v in fields.items()))).alias("symbols"), code.alias("content"))
@@ -468,7 +468,7 @@ def generator_reviews(spark, sf_dir):
 )
 def generator_explanations(spark, sf_dir):
     """Explanations of symbols."""
-    return _said(generators.code_qa(project(spark, sf_dir)).where(~F.col("conversation")[1]["content"].startswith("How would you use")))
+    return _said(generators.explanations(project(spark, sf_dir)))
 
 
 @query(
@@ -482,7 +482,7 @@ def generator_explanations(spark, sf_dir):
 )
 def generator_usage(spark, sf_dir):
     """Usage examples in the syntax of the language."""
-    return _said(generators.code_qa(project(spark, sf_dir)).where(F.col("conversation")[1]["content"].startswith("How would you use")))
+    return _said(generators.usages(project(spark, sf_dir)))
 
 
 _DOC_SQL = """CASE language
@@ -512,7 +512,7 @@ def generator_documentation(spark, sf_dir):
 )
 def generator_reading(spark, sf_dir):
     """A file is read and a symbol explained."""
-    return _said(generators.tool_calling(project(spark, sf_dir)).where(F.col("conversation")[1]["content"].startswith("Can you explain")))
+    return _said(generators.reading(project(spark, sf_dir)))
 
 
 _RULES = {
@@ -533,6 +533,60 @@ def generator_issues(spark, sf_dir):
     return _said(generators.bug_detection(project(spark, sf_dir)))
 
 
+_BODY_LINES_SQL = LINES_SQL.format("body")
+
+
+@query(
+    f"""WITH {SYMBOLS_SQL}, b AS (SELECT *, substr(code, strpos(code, chr(10)) + 1) AS body, left(code, strpos(code, chr(10))) AS prefix FROM s WHERE kind <> 'class' AND strpos(code, chr(10)) > 0),
+    n AS (SELECT *, {_BODY_LINES_SQL} AS k FROM b)
+    SELECT doc_id, 'Complete the function body for the following code. The `<FILL>` marker shows where the code should be inserted.' || chr(10) || chr(10) || '```' || fence || chr(10) || prefix || '<FILL>' || chr(10) || '```' AS asked,
+      '```' || fence || chr(10) || body || chr(10) || '```' AS answered, (strlen(prefix) + strlen(body)) // 4 AS tokens, CASE WHEN k > 20 THEN 'Complex' WHEN k > 8 THEN 'Moderate' ELSE 'Simple' END AS tier FROM n WHERE k >= 3"""
+)
+def generator_completion(spark, sf_dir):
+    """Bodies to fill in; a text's first word is what stands before its body."""
+    return _said(generators.code_completion(project(spark, sf_dir)))
+
+
+@query(
+    """WITH d AS (SELECT source AS dir, doc_id, source || '/' || doc_id AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT dir, min(doc_id) AS doc_id, count(*) AS k, array_to_string(list('- `' || path || '`' ORDER BY doc_id), chr(10)) AS listed FROM d WHERE n <= 10 GROUP BY dir HAVING count(*) >= 2)
+    SELECT doc_id, 'What files are in the `' || dir || '` directory?' AS asked, 'The `' || dir || '` directory contains ' || k || ' file(s):' || chr(10) || chr(10) || listed AS answered, 250 AS tokens, 'Simple' AS tier FROM s"""
+)
+def generator_exploring(spark, sf_dir):
+    """What each directory holds."""
+    return _said(generators.exploring(project(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {SYMBOLS_SQL}, t AS (SELECT count(*) AS n FROM s), k AS (SELECT string_agg('- `' || path || '` (' || language || ') — defines: ' || name || chr(10), '' ORDER BY doc_id) AS files FROM (SELECT * FROM s ORDER BY doc_id LIMIT 8))
+    SELECT 'Give me an overview of the demo project.' AS asked, '**demo** — A demo' || chr(10) || chr(10) || 'The project contains ' || n || ' source file(s) with ' || n || ' symbol(s).' || chr(10) || chr(10) || '**Key files:**' || chr(10) || files AS answered, 300 AS tokens, 'Moderate' AS tier, n AS n_files FROM t, k WHERE n >= 3"""
+)
+def generator_overview(spark, sf_dir):
+    """The overview of the project, and of how many files it tells."""
+    own = generators.overview(project(spark, sf_dir))
+    return own.select(
+        F.col("conversation")[1]["content"].alias("asked"), F.element_at("conversation", -1)["content"].alias("answered"), F.col("metadata.estimated_tokens").alias("tokens"), F.col("metadata.complexity_tier").alias("tier"), F.size("source_files").alias("n_files")
+    )
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_slice(string_split(coalesce(text, ''), ' '), 1, doc_id % 6) AS w FROM documents),
+    c AS (SELECT *, array_to_string(w, chr(10)) AS code FROM d),
+    j AS (SELECT doc_id, text, {LINES_SQL.format("code")} AS k, regexp_replace(text, '{SPACE}', '', 'g') = '' AS blank,
+      CASE WHEN strlen(text) // nullif({TEXT_LINES}, 0) > 200 THEN 'long lines' WHEN NOT contains(text, '```') AND length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / greatest(length(text), 1) < 0.4 THEN 'few letters' END AS r FROM c)
+    SELECT doc_id, CASE WHEN blank THEN 'empty turn' ELSE coalesce(r, CASE WHEN k BETWEEN 1 AND 2 THEN 'short code' END) END AS reason FROM j"""
+)
+def fenced_samples(spark, sf_dir):
+    """Questions with so many words of a text as code, a word a line, answered
+    by the text; the first reason to reject each."""
+    text = F.coalesce("text", F.lit(""))
+    k = (F.col("doc_id") % 6).cast("int")
+    code = F.array_join(F.slice(F.split(text, " "), F.lit(1), k), "\n")
+    turns = F.array(generators.turn("user", F.concat(F.lit("See:\n```\n"), code, F.lit("\n```\n"))), generators.turn("assistant", text))
+    return table(spark, sf_dir, "documents").select("doc_id", quality.cheap_reason(turns, Quality()).alias("reason"))
+
+
+
 _PASSED = "list_filter(c, lambda t: t.role = 'assistant' AND (strlen(t.content) // nullif({0}, 0) > 200 OR NOT contains(t.content, '```') AND length(regexp_replace(t.content, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / greatest(length(t.content), 1) < 0.4))".replace("{0}", LINES_SQL.format("t.content")).replace("{{", "{").replace("}}", "}")
 
 
