@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.tables import numbered, spread, written
 from ..functions.tokens import content_hash
-from . import detect
+from . import detect, markdown
 
 MAX_BYTES = 1_000_000
 #: Files that a task reads, 64 at a time.
@@ -180,13 +180,7 @@ def description(paragraphs_of: DataFrame, text_col: str = "content") -> DataFram
     out, as are badges; links and emphasis keep their words, soft line ends become
     blanks; list and quote markers are dropped.
     """
-    text = F.regexp_replace(F.col(text_col), r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"(?ms)^ {0,3}(```|~~~).*?(?:^ {0,3}\1[^\n]*$|\z)", "\n")
-    text = F.regexp_replace(text, r"(?m)^[^\n]+\n {0,3}(=+|-+)[ \t]*$", "\n")
-    text = F.regexp_replace(text, r"(?m)^(?: {4}|\t).*$", "")
-    text = F.regexp_replace(text, r"(?m)^ {0,3}(?:#{1,6}(?:[ \t].*)?|(?:[-*_][ \t]*){3,}|\|.*|<.*)$", "\n")
-    text = F.regexp_replace(text, r"(?m)^ {0,3}(?:>[ \t]?|(?:[-+*]|\d{1,9}[.)])[ \t]+)+", "\n")
-    blocks = F.transform(F.split(text, r"\n[ \t]*\n+"), _inline)
+    blocks = F.transform(markdown.paragraphs(F.col(text_col)), _inline)
     kept = F.filter(blocks, lambda b: (b != "") & ~T.is_badge(b))
     return paragraphs_of.withColumn("description", T.truncated_sentences(F.array_join(kept, " ")))
 
