@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions.tables import written
+from .functions.tables import spread, written
 from .functions.tokens import content_hash, sample_text
 from .operators import dedup, quality, relations, statistics, symbols
 from .plans.config import Quality
@@ -334,7 +334,7 @@ def size_buckets(spark, sf_dir):
 @query()
 def descriptions(spark, sf_dir):
     """The first sentences of each text read as Markdown."""
-    return scan.description(table(spark, sf_dir, "documents"), "text").select("doc_id", "description")
+    return scan.description(spread(table(spark, sf_dir, "documents")), "text").select("doc_id", "description")
 
 
 @query(

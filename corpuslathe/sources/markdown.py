@@ -72,6 +72,10 @@ def _flushed(out: Column, para: Column) -> Column:
     return F.when(para != "", F.concat(out, F.array(para))).otherwise(out)
 
 
+def _joined(para: Column, line: Column) -> Column:
+    return F.concat(para, F.when(para != "", "\n").otherwise(""), F.trim(line))
+
+
 def _step(s: Column, line: Column) -> Column:
     def leaf(m: Column, o: Column) -> Column:
         rest, every = o["rest"], m["n"] == F.size(s["stack"])
@@ -86,7 +90,7 @@ def _step(s: Column, line: Column) -> Column:
             F.when(underline, _state(out, none, stack, none))  # the paragraph was a heading
             .when(blank | other, _state(_flushed(out, para), none, stack, F.regexp_extract(rest, FENCE, 1)))
             .when((para == "") & rest.rlike("^ {4}"), _state(out, none, stack, none))
-            .otherwise(_state(out, F.concat(para, F.when(para != "", "\n").otherwise(""), F.trim(rest)), stack, none))
+            .otherwise(_state(out, _joined(para, rest), stack, none))
         )
 
     def after(m: Column) -> Column:
@@ -96,7 +100,9 @@ def _step(s: Column, line: Column) -> Column:
         open_para = (s["para"] != "") & (m["n"] == F.size(s["stack"]))
         return F.when(inside, fenced).otherwise(let(_opened(m["rest"], open_para), lambda o: leaf(m, o)))
 
-    return let(_matched(line, s["stack"]), after)
+    # most lines begin with a letter outside of everything: they go on with a paragraph
+    plain = (F.size(s["stack"]) == 0) & (s["fence"] == "") & line.rlike(r"^\p{L}")
+    return F.when(plain, _state(s["out"], _joined(s["para"], line), s["stack"], s["fence"])).otherwise(let(_matched(line, s["stack"]), after))
 
 
 def paragraphs(text: Column) -> Column:
