@@ -1,9 +1,10 @@
 """Joins between files: who mentions whose names, who stands beside whom.
 
 Mentions are substring matches, as a name inside another counts too. The distinct
-names are few against the texts: an Aho-Corasick automaton over a part of them
-scans all texts once a part, in Arrow batches, and gives (path, name) pairs; all
-further joins are equi-joins on names and paths.
+names are few against the texts: they are written in parts of bounded size, and a task
+reads the part it needs and scans its texts with an Aho-Corasick automaton, in Arrow
+batches. Names pass neither through the driver nor a broadcast. All further joins are
+equi-joins on names and paths.
 """
 
 from __future__ import annotations
@@ -13,44 +14,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.files import store
+from ..functions.tables import written
 
-#: Names in one automaton, which travels with the tasks.
+#: Names in one automaton, which a task builds.
 NAMES_AT_ONCE = 200_000
 
 
 def mentions(names: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct (path, name): texts (path, text) that contain names (name).
 
-    Null and empty names and texts match nothing. Names go out in parts of bounded
-    size, each a broadcast of its own.
+    Null and empty names and texts match nothing. Where there are several parts of
+    names, texts are dealt to the tasks of each part.
     """
-    spark = texts.sparkSession
     wanted = names.where("name is not null and name <> ''").select("name").distinct()
     parts = max(1, -(-wanted.count() // NAMES_AT_ONCE))
     kind = texts.schema["path"].dataType.simpleString()
-    out = None
-    for part in range(parts):
-        own = wanted.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
-        shared = spark.sparkContext.broadcast([r.name for r in own.collect()])  # about NAMES_AT_ONCE
-
-        def run(batches, shared=shared):
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for n in shared.value:
-                machine.add_word(n, n)
-            machine.make_automaton()
-            for batch in batches:
-                rows, found = [], []
-                for i, t in enumerate(batch.column(1).to_pylist()):
-                    hits = sorted({n for _, n in machine.iter(t)}) if t and len(machine) else []
-                    rows += [i] * len(hits)
-                    found += hits
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["path", "name"])
-
-        hits = texts.select("path", "text").mapInArrow(run, f"path {kind}, name string")
-        out = hits if out is None else out.union(hits)
-    return out.distinct()
+    folder = written(wanted.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int")), "part").inputFiles()
+    at = folder[0].rpartition("/part=")[0] if folder else None
+
+    def automaton(part: int):
+        import ahocorasick
+        from pyarrow import dataset, fs
+
+        machine = ahocorasick.Automaton()
+        if at is not None:
+            files, path = store(at)
+            if files.get_file_info(f"{path}/part={part}").type == fs.FileType.Directory:
+                for batch in dataset.dataset(f"{path}/part={part}", filesystem=files, format="parquet").to_batches(columns=["name"]):
+                    for n in batch.column(0).to_pylist():
+                        machine.add_word(n, n)
+        machine.make_automaton()
+        return machine
+
+    def run(batches):
+        machine, of = None, None
+        for batch in batches:
+            rows, found = [], []
+            for i, (t, part) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if part != of:
+                    machine, of = automaton(part), part
+                hits = sorted({n for _, n in machine.iter(t)}) if t and len(machine) else []
+                rows += [i] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["path", "name"])
+
+    own = texts.select("path", "text")
+    if parts == 1:
+        own = own.withColumn("part", F.lit(0))
+    else:
+        tasks = max(parts, own.rdd.getNumPartitions())
+        own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        own = own.repartition(tasks, "part", F.pmod(F.xxhash64("path"), F.lit(-(-tasks // parts)))).sortWithinPartitions("part")
+    return own.mapInArrow(run, f"path {kind}, name string").distinct()
 
 
 def searched_texts(analyses: DataFrame) -> DataFrame:

@@ -228,6 +228,17 @@ def test_relations(ctx):
         assert refs.get((s.path, s.sym_pos), []) == [p for p in order if p != s.path and s.name in texts[p]][:3]
 
 
+@pytest.mark.parametrize("at_once", [1, 3, 1000])
+def test_mentions_in_parts(spark, monkeypatch, at_once):
+    """Names in one part or in many, none of them, and texts without any."""
+    monkeypatch.setattr(relations, "NAMES_AT_ONCE", at_once)
+    names = ["add", "dd", "a", "é日", "x y", "never", "", None, "add"]
+    texts = [("t1", "add it, add é日 to x y"), ("t2", "nothing"), ("t3", None), ("t4", ""), (None, "odd add"), ("t1", "dd")]
+    got = relations.mentions(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(texts, "path string, text string"))
+    assert {(r.path, r.name) for r in got.collect()} == {(p, n) for p, t in texts for n in names if n and t and n in t}
+    assert relations.mentions(spark.createDataFrame([], "name string"), spark.createDataFrame(texts, "path string, text string")).count() == 0
+
+
 def test_pipeline_and_formats(spark, ctx, tmp_path):
     got = pipeline.run(ctx, str(tmp_path / "w"), Config(enabled_types=SAMPLE_TYPES))
     samples = got.samples.collect()
