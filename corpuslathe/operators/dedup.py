@@ -10,6 +10,10 @@ earliest rows remove what links with them; what is open then, the rows of a buck
 do not link as a rule, is compared in pairs of chunks, so that no bucket is one task. The
 chunks hold sketches, the lowest byte of each minimum: rows that link agree in so many of
 them for certain, so only few pairs fetch their signatures.
+
+A signature has a kilobyte and is written once. Rows alone in all of their buckets, most of
+them, are told from band hashes; only the others' signatures are shuffled, and a candidate
+pair meets them only if its sketches agree.
 """
 
 from __future__ import annotations
@@ -74,7 +78,7 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, ord_col: str = "ord", text_col: str = "text") -> DataFrame:
-    """(ord, signature, bands, sketch) for each row; the first two as signed longs."""
+    """(ord, signature, bands) for each row; the last two as signed longs."""
 
     def run(batches):
         import xxhash
@@ -90,17 +94,70 @@ def signatures(texts: DataFrame, ord_col: str = "ord", text_col: str = "text") -
             s = [*s, *signed(sets, a, b)]
             bands = [[xxhash.xxh3_64_intdigest(x[i : i + 8].astype("<u8").tobytes()) for i in range(0, PERMUTATIONS, PERMUTATIONS // BANDS)] for x in s]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array([np.array(x, np.uint64).view(np.int64) for x in bands], pa.list_(pa.int64())), pa.array([x.astype(np.uint8).tobytes() for x in s], pa.binary())],
-                ["ord", "signature", "bands", "sketch"],
+                [batch.column(0), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array([np.array(x, np.uint64).view(np.int64) for x in bands], pa.list_(pa.int64()))],
+                ["ord", "signature", "bands"],
             )
 
-    return spread(texts.select(F.col(ord_col).cast("long").alias("ord"), F.col(text_col).alias("text"))).mapInArrow(run, "ord long, signature array<long>, bands array<long>, sketch binary")
+    return spread(texts.select(F.col(ord_col).cast("long").alias("ord"), F.col(text_col).alias("text"))).mapInArrow(run, "ord long, signature array<long>, bands array<long>")
+
+
+def heads(signed: DataFrame) -> DataFrame:
+    """(i, bands): of rows with equal signatures the first. The others are always removed:
+    by the first if it is kept, else by what removed the first. The 16 band hashes, 1024
+    bits, stand for the signature."""
+    return signed.groupBy("bands").agg(F.min("ord").alias("i")).select("i", "bands")
 
 
 def firsts(signed: DataFrame) -> DataFrame:
-    """(i, signature, bands, sketch): of rows with equal signatures the first. The others
-    are always removed: by the first if it is kept, else by what removed the first."""
-    return signed.groupBy("signature").agg(F.min("ord").alias("i"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    """(i, bands, signature) of ``heads``."""
+    return heads(signed).join(signed.select(F.col("ord").alias("i"), "signature"), "i")
+
+
+def _sketches(batches):
+    """Rows (i, signature) with their sketch."""
+    for batch in batches:
+        low = batch.column(1).flatten().to_numpy().astype(np.uint8).reshape(-1, PERMUTATIONS)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in low], pa.binary())], ["i", "signature", "sketch"])
+
+
+def _shared(first: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (i, band, h, low) of buckets with several of ``first``, low being the earliest
+    of the bucket, and (i, signature, sketch) of these rows, out of ``stored``."""
+    rows = first.select("i", F.posexplode("bands").alias("band", "h"))
+    rows = written(rows.join(_several(rows), ["band", "h"]))
+    own = stored.select("i", "signature").join(rows.select("i").distinct(), "i", "left_semi")
+    return rows, written(own.mapInArrow(_sketches, "i long, signature array<long>, sketch binary"))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("band", "h").agg(F.min("i").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def _agreeing(least: int):
+    """Pairs (i, j) of rows (i, j, x, y) whose sketches x and y agree in ``least`` places."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for c in ("x", "y"))
+            yield batch.select(["i", "j"]).filter(pa.array((x == y).sum(1) >= least))
+
+    return run
+
+
+def _least(threshold: float) -> int:
+    return int(np.ceil(threshold * PERMUTATIONS - 1e-9))
+
+
+def _near(pairs: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
+    """(i, j, similarity) of the pairs (i, j) that reach the threshold. The pairs are written:
+    if they are few, Spark sends them to the signatures, which then stay where they are."""
+    ends = written(pairs).select("i", "j", F.explode(F.array("i", "j")).alias("end"))
+    met = stored.select(F.col("i").alias("end"), "signature").join(ends, "end")
+    sides = [F.collect_list(F.when(F.col("end") == F.col(c), F.col("signature"))).alias(c + "s") for c in "ij"]
+    met = met.groupBy("i", "j").agg(*sides).select("i", "j", F.explode("is").alias("s"), "js").select("i", "j", "s", F.explode("js").alias("t"))
+    same = F.aggregate(F.zip_with("s", "t", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, v: n + v)
+    near = met.select("i", "j", (same / F.lit(float(PERMUTATIONS))).alias("similarity"))
+    return near.where(F.col("similarity") >= threshold)
 
 
 def _sketched(least: int):
@@ -139,24 +196,23 @@ def _sketched(least: int):
     return run
 
 
-def _linked(rows: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
-    """``links`` between rows (i, band, h) of ``first``."""
+def _linked(rows: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
+    """``links`` between rows (i, band, h), whose signatures and sketches are in ``stored``."""
     sizes = rows.groupBy("band", "h").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = rows.join(sizes, ["band", "h"]).withColumn("chunk", F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int")).join(first.select("i", "sketch"), "i")
+    own = rows.join(sizes, ["band", "h"]).withColumn("chunk", F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int")).join(stored.select("i", "sketch"), "i")
     placed = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     group = ["band", "h", "lo", "hi"]
     placed = placed.select("band", "h", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "i", "chunk", "sketch")
-    least = int(np.ceil(threshold * PERMUTATIONS - 1e-9))
-    pairs = placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(_sketched(least), "i long, j long").distinct()
-    left, right = first.select("i", F.col("signature").alias("s")), first.select(F.col("i").alias("j"), F.col("signature").alias("t"))
-    same = F.aggregate(F.zip_with("s", "t", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, v: n + v)
-    near = pairs.join(left, "i").join(right, "j").select("i", "j", (same / F.lit(float(PERMUTATIONS))).alias("similarity"))
-    return near.where(F.col("similarity") >= threshold)
+    pairs = placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(_sketched(_least(threshold)), "i long, j long").distinct()
+    return _near(pairs, stored, threshold)
 
 
-def links(first: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(i, j, similarity) of pairs i < j that share a band and reach the threshold."""
-    return _linked(first.select("i", F.posexplode("bands").alias("band", "h")), first, threshold)
+def links(first: DataFrame, threshold: float = THRESHOLD, stored: DataFrame | None = None) -> DataFrame:
+    """(i, j, similarity) of pairs i < j that share a band and reach the threshold.
+    ``first`` has (i, bands), ``stored`` (i, signature) of these rows at least; without it,
+    ``first`` has all."""
+    rows, stored = _shared(first, first if stored is None else stored)
+    return _linked(rows, stored, threshold)
 
 
 def removed(edges: DataFrame) -> DataFrame:
@@ -177,8 +233,9 @@ def removed(edges: DataFrame) -> DataFrame:
             return state.where("not kept").select(F.col("n").alias("ord"))
 
 
-def removed_by_rounds(first: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """(ord) that the keep-first rule removes, without all pairs of copies.
+def removed_by_rounds(first: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, stored: DataFrame | None = None) -> DataFrame:
+    """(ord) that the keep-first rule removes, without all pairs of copies. ``first`` and
+    ``stored`` are those of ``links``.
 
     In each of a few rounds, a row that is the earliest open one in all of its buckets is
     kept, as whatever could remove it is settled. It is compared with the open rows of
@@ -187,33 +244,34 @@ def removed_by_rounds(first: DataFrame, threshold: float = THRESHOLD, rounds: in
     links are found in pairs of chunks, and the rule follows them (``removed``), whose
     rounds grow with chains of links, not with buckets.
     """
-    rows = first.select(F.col("i").alias("ord"), F.posexplode("bands").alias("band", "h"))
-    signed = first.select(F.col("i").alias("ord"), "signature")
-    open_, gone = rows, None
-    for _ in range(rounds):
-        low = open_.groupBy("band", "h").agg(F.min("ord").alias("low"), F.count("*").alias("n")).where("n > 1")
-        open_ = written(open_.select("ord", "band", "h").join(low, ["band", "h"]))
+    open_, stored = _shared(first, first if stored is None else stored)
+    gone = None
+    for at in range(rounds):
+        if at:
+            rows = open_.select("i", "band", "h")
+            open_ = written(rows.join(_several(rows), ["band", "h"]))
         if open_.isEmpty():
             break
-        kept = written(open_.groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("low")).alias("kept")).where("kept").select("ord"))
-        lead = open_.join(kept, "ord").select(F.col("ord").alias("i"), "band", "h")
-        pairs = lead.join(open_.select(F.col("ord").alias("j"), "band", "h"), ["band", "h"]).where("i < j").select("i", "j").distinct()
-        same = F.aggregate(F.zip_with("s", "t", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, v: n + v)
-        near = pairs.join(signed.toDF("i", "s"), "i").join(signed.toDF("j", "t"), "j").where(same / F.lit(float(PERMUTATIONS)) >= threshold)
-        now = written(near.select(F.col("j").alias("ord")).distinct())
+        kept = open_.groupBy("i").agg(F.bool_and(F.col("i") == F.col("low")).alias("kept")).where("kept").select("i")
+        lead = open_.join(kept, "i").select("i", "band", "h")
+        pairs = lead.join(open_.select(F.col("i").alias("j"), "band", "h"), ["band", "h"]).where("i < j").select("i", "j").distinct()
+        sketched = pairs.join(stored.select("i", F.col("sketch").alias("x")), "i").join(stored.select(F.col("i").alias("j"), F.col("sketch").alias("y")), "j")
+        alike = sketched.select("i", "j", "x", "y").mapInArrow(_agreeing(_least(threshold)), "i long, j long")
+        now = written(_near(alike, stored, threshold).select(F.col("j").alias("ord")).distinct())
         gone = now if gone is None else gone.union(now)
-        open_ = open_.join(kept.union(now), "ord", "left_anti")
+        open_ = open_.join(kept.union(now), "i", "left_anti")
     else:
-        edges = written(_linked(open_.select(F.col("ord").alias("i"), "band", "h"), first, threshold))
+        edges = written(_linked(open_.select("i", "band", "h"), stored, threshold))
         if not edges.isEmpty():
             late = removed(edges)
             gone = late if gone is None else gone.union(late)
-    return gone if gone is not None else signed.select("ord").limit(0)
+    return gone if gone is not None else first.select(F.col("i").alias("ord")).limit(0)
 
 
 def deduplicated(samples: DataFrame, text, ord_col: str = "ord", threshold: float = THRESHOLD) -> DataFrame:
     """``samples`` without those that the rule removes; ``text`` is a column."""
     signed = written(signatures(samples.select(F.col(ord_col).alias("ord"), text.alias("text"))))
-    first = written(firsts(signed))
-    gone = removed_by_rounds(first, threshold).union(signed.join(first, signed.ord == first.i, "left_anti").select("ord"))
+    first = written(heads(signed))
+    stored = signed.select(F.col("ord").alias("i"), "signature")
+    gone = removed_by_rounds(first, threshold, stored=stored).union(signed.join(first, signed.ord == first.i, "left_anti").select("ord"))
     return samples.join(gone.withColumnRenamed("ord", ord_col), ord_col, "left_anti")

@@ -181,7 +181,8 @@ def deduplicated_documents(spark, sf_dir):
 def minhash_links(spark, sf_dir):
     """Linked pairs of documents and their estimated similarity."""
     signed = written(dedup.signatures(table(spark, sf_dir, "documents"), "doc_id"))
-    return dedup.links(written(dedup.firsts(signed)))
+    stored = signed.select(F.col("ord").alias("i"), "signature")
+    return dedup.links(written(dedup.heads(signed)), stored=stored)
 
 
 def _json(x: str) -> str:
