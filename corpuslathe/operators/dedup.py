@@ -116,7 +116,7 @@ def firsts(signed: DataFrame) -> DataFrame:
 def _sketches(batches):
     """Rows (i, signature) with their sketch."""
     for batch in batches:
-        low = batch.column(1).flatten().to_numpy().astype(np.uint8).reshape(-1, PERMUTATIONS)
+        low = _values(batch.column(1)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in low], pa.binary())], ["i", "signature", "sketch"])
 
 
@@ -133,13 +133,20 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.groupBy("band", "h").agg(F.min("i").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """A row of numbers for each sketch or signature."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PERMUTATIONS)
+    return column.flatten().to_numpy().reshape(-1, PERMUTATIONS)
+
+
 def _agreeing(least: int):
     """Pairs (i, j) of rows (i, j, x, y) whose sketches x and y agree in ``least`` places."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for c in ("x", "y"))
-            yield batch.select(["i", "j"]).filter(pa.array((x == y).sum(1) >= least))
+            alike = (_values(batch.column("x")) == _values(batch.column("y"))).sum(1) >= least
+            yield batch.select(["i", "j"]).filter(pa.array(alike))
 
     return run
 
@@ -160,28 +167,31 @@ def _near(pairs: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
     return near.where(F.col("similarity") >= threshold)
 
 
-def _sketched(least: int):
-    """Pairs (i, j) of rows (band, h, lo, hi, i, chunk, sketch), sorted by the first four,
-    of which each group meets in one place: between its two chunks, or in its only one."""
+def _compared(least: int):
+    """(i, j, n) of pairs whose sketches or signatures agree in n places, ``least`` or more,
+    out of rows (band, h, lo, hi, i, chunk, values), sorted by the first four, of which
+    each group meets in one place: between its two chunks, or in its only one."""
 
-    def met(group: list[tuple]) -> list[tuple[int, int]]:
+    def met(group: list[tuple]) -> list[tuple[int, int, int]]:
         lo, hi = group[0][2:4]
         left = [r for r in group if r[5] == lo]
         right = left if lo == hi else [r for r in group if r[5] != lo]
         if not left or not right or len(group) < 2:
             return []
-        x, y = (np.frombuffer(b"".join(r[6] for r in side), np.uint8).reshape(len(side), PERMUTATIONS) for side in (left, right))
+        x, y = (np.stack([r[6] for r in side]) for side in (left, right))
+        u, v = x.astype(np.uint8), y.astype(np.uint8)
         out = []
-        for at in range(0, len(x), 64):
-            a, b = np.nonzero((x[at : at + 64, None] == y[None]).sum(2, dtype=np.int32) >= least)
-            out += [(left[at + p][4], right[q][4]) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
-        return [(min(p), max(p)) for p in out if p[0] != p[1] and (left is not right or p[0] < p[1])]
+        for at in range(0, len(x), 16):
+            a, b = np.nonzero((u[at : at + 16, None] == v[None]).sum(2, dtype=np.int32) >= least)
+            n = (x[at + a] == y[b]).sum(1)
+            out += [(left[at + p][4], right[q][4], k) for p, q, k in zip(a.tolist(), b.tolist(), n.tolist(), strict=True) if k >= least]
+        return [(min(p[:2]), max(p[:2]), p[2]) for p in out if p[0] != p[1] and (left is not right or p[0] < p[1])]
 
     def run(batches):
         group: list[tuple] = []
         for batch in batches:
             found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns[:6]), _values(batch.column(6)), strict=True):
                 if group and row[:4] != group[0][:4]:
                     found += met(group)
                     group = []
@@ -189,30 +199,31 @@ def _sketched(least: int):
             yield table(found)
         yield table(met(group) if group else [])
 
-    def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        i, j = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64())], ["i", "j"])
+    def table(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["i", "j", "n"])
 
     return run
 
 
-def _linked(rows: DataFrame, stored: DataFrame, threshold: float) -> DataFrame:
-    """``links`` between rows (i, band, h), whose signatures and sketches are in ``stored``."""
+def _meeting(rows: DataFrame, stored: DataFrame, values: str, threshold: float) -> DataFrame:
+    """(i, j, n) of pairs among rows (i, band, h) that share a bucket and agree in n of their
+    ``values``, a column of ``stored``, if n reaches the threshold."""
     sizes = rows.groupBy("band", "h").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = rows.join(sizes, ["band", "h"]).withColumn("chunk", F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int")).join(stored.select("i", "sketch"), "i")
+    own = rows.join(sizes, ["band", "h"]).withColumn("chunk", F.pmod(F.xxhash64("i"), F.col("chunks")).cast("int")).join(stored.select("i", values), "i")
     placed = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     group = ["band", "h", "lo", "hi"]
-    placed = placed.select("band", "h", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "i", "chunk", "sketch")
-    pairs = placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(_sketched(_least(threshold)), "i long, j long").distinct()
-    return _near(pairs, stored, threshold)
+    placed = placed.select("band", "h", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "i", "chunk", values)
+    return placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compared(_least(threshold)), "i long, j long, n long").distinct()
 
 
 def links(first: DataFrame, threshold: float = THRESHOLD, stored: DataFrame | None = None) -> DataFrame:
     """(i, j, similarity) of pairs i < j that share a band and reach the threshold.
     ``first`` has (i, bands), ``stored`` (i, signature) of these rows at least; without it,
-    ``first`` has all."""
+    ``first`` has all. Signatures go to the buckets, as there may be far more pairs than rows."""
     rows, stored = _shared(first, first if stored is None else stored)
-    return _linked(rows, stored, threshold)
+    near = _meeting(rows.select("i", "band", "h"), stored, "signature", threshold)
+    return near.select("i", "j", (F.col("n") / F.lit(float(PERMUTATIONS))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def removed(edges: DataFrame) -> DataFrame:
@@ -261,7 +272,8 @@ def removed_by_rounds(first: DataFrame, threshold: float = THRESHOLD, rounds: in
         gone = now if gone is None else gone.union(now)
         open_ = open_.join(kept.union(now), "i", "left_anti")
     else:
-        edges = written(_linked(open_.select("i", "band", "h"), stored, threshold))
+        alike = _meeting(open_.select("i", "band", "h"), stored, "sketch", threshold).select("i", "j")
+        edges = written(_near(alike, stored, threshold))
         if not edges.isEmpty():
             late = removed(edges)
             gone = late if gone is None else gone.union(late)
