@@ -1,7 +1,13 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-1. Equal vectors of a label are one node with a count.
-2. A label's nodes are dealt to clusters that overlap: a node goes to every
+1. Equal vectors of a label are one node with a count and a sketch: on which side of
+   ``BITS`` random planes it lies. Until step 3 only sketches travel, not vectors.
+2. Nodes of a label whose sketches agree in some of their bits are compared by all of
+   them, as often as it takes to miss a pair at the link distance with chance ``MISS`` at
+   most. What is near makes groups; a node without a group links with nothing. Groups of
+   a label are put together to shards, whole; each shard is a task that builds a graph
+   (3) of its vectors and searches it (4).
+   A group that is too large for a task is dealt to clusters that overlap: a node goes to every
    centre whose bisector with its nearest centre is within half the link distance.
    Two vectors within the link distance then share a shard for certain (the
    nearest centre of their midpoint has both). Centres are fitted on at most
@@ -9,11 +15,11 @@
    task are dealt again in the same way, by centres fitted on ``FIT_SHARD`` of their
    own nodes. What no centre divides (one dense cluster) is cut into chunks, and
    each pair of chunks is a task, so that a task is bounded and no pair lost.
-3. Each task builds a graph: its nodes are dealt to overlapping sub-clusters, which
+3. A task's graph: its nodes are dealt to overlapping sub-clusters, which
    propose near candidates; robust pruning picks neighbours of these, and of random
    ones for long edges, with reverse edges. The adjacency lists of all sub-clusters
-   and of all tasks are united by node.
-4. Each task searches the united graph for every node of its own: greedy search
+   (and of all tasks of a group that is too large for one) are united by node.
+4. Each task searches the graph for every node of its own: greedy search
    from the medoids of the node's nearest sub-clusters, then expansion along all nodes within
    the link similarity less ``SLACK``. Links are verified in double precision on the
    original vectors.
@@ -25,9 +31,13 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +59,19 @@ BEAM, STARTS = 12, 3
 SLACK = 0.03
 #: Pairs of nodes looked at in one step of a search.
 AT_ONCE = 1 << 20
+#: Bits of a sketch, the chance that a pair at the link distance is missed by them, and that its sketches differ in more bits than allowed.
+BITS, MISS, APART = 256, 1e-6, 1e-8
+WORDS = [f"b{k}" for k in range(BITS // 64)]
+#: Sketches that a task holds; a larger label is dealt by some bits, several times. Each deal is searched by so many tables.
+SKETCHES = 1 << 18
+DEAL_TABLES, TABLE_BITS, DEAL_BITS = 16, 16, 12
+#: Sketches that agree in all bits of a table and are so many are one group without comparison.
+LONG_RUN = 4096
+#: Nodes with groups that are broadcast.
+FEW = 200_000
+FOUND = "node long, root long, others long"
+#: Links of a lower cosine are not sought by sketches, which would take too many tables.
+LEAST_SKETCHED = 0.9
 
 
 def centres(x: np.ndarray, k: int, seed: int = 1, turns: int = 8) -> np.ndarray:
@@ -226,7 +249,7 @@ def _deal(nodes: DataFrame, fitted, cosine: float, level: str) -> DataFrame:
                     row.append(i), place.append(-len(vectors[i])), places.append([-len(vectors[i])])
                 if fits.any():
                     own = own[fits]
-                    x = np.stack([vectors[i] for i in own])
+                    x = np.stack([vectors[i] for i in own]).astype(np.float64)
                     goes = overlapping(x / np.linalg.norm(x, axis=1)[:, None], c, cosine)
                     for i, to in zip(own.tolist(), goes, strict=True):
                         to = np.flatnonzero(to).tolist()
@@ -246,7 +269,7 @@ def _fit(x: list, rows: float) -> np.ndarray | None:
     """Centres for about so many rows, from some of them; None if they fit one task."""
     sizes = [len(a) for a in x]
     dim = max(sorted(set(sizes)), key=sizes.count)
-    x = np.array([a for a in x if len(a) == dim])
+    x = np.array([a for a in x if len(a) == dim], np.float64)
     k = min(MOST_CENTRES, len(x) // 8, round(rows / SHARD_ROWS))
     return centres(x / np.linalg.norm(x, axis=1)[:, None], k) if rows > CHUNK and k > 1 else None
 
@@ -313,6 +336,184 @@ class _First:
         return fine
 
 
+@functools.cache
+def _differing(cosine: float, bits: int = BITS) -> np.ndarray:
+    """Chances that so many bits of a pair of this cosine differ in 0, 1, ... places."""
+    q, h = math.acos(min(cosine, 1 - 1e-12)) / math.pi, np.arange(bits + 1)
+    ways = np.array([math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) for k in h])
+    return np.exp(ways + h * math.log(q) + (bits - h) * math.log(1 - q))
+
+
+@functools.cache
+def _agree(bits: int) -> np.ndarray:
+    """Chances that so many picked bits have none of 0, 1, ... differing ones."""
+    ways = lambda n: math.lgamma(n + 1) - math.lgamma(n - bits + 1)
+    return np.array([math.exp(ways(BITS - h) - ways(BITS)) if BITS - h >= bits else 0.0 for h in range(BITS + 1)])
+
+
+@functools.cache
+def allowed(cosine: float, bits: int = BITS) -> int:
+    """In how many places so many bits of a link may differ."""
+    return int(np.flatnonzero(_differing(cosine, bits)[::-1].cumsum()[::-1] > APART)[-1])
+
+
+@functools.cache
+def tables(cosine: float, bits: int) -> int:
+    """How many tables of so many bits miss a link with chance ``MISS`` at most."""
+    n = 1
+    while _differing(cosine) @ (1 - _agree(bits)) ** n > MISS:
+        n += 1
+    return n
+
+
+@functools.cache
+def deals(cosine: float, bits: int) -> int:
+    """How many deals by so many bits, each searched by ``DEAL_TABLES`` tables, miss a
+    link with chance ``MISS`` at most."""
+    n, found = 1, _agree(bits) * (1 - (1 - _agree(TABLE_BITS)) ** DEAL_TABLES)
+    while _differing(cosine) @ (1 - found) ** n > MISS:
+        n += 1
+    return n
+
+
+def sketches(x: np.ndarray) -> np.ndarray:
+    """On which sides of random planes the rows of x lie, as words of 64 bits."""
+    planes = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], BITS), np.float32)
+    sides = (x / np.abs(x).max(1, keepdims=True)).astype(np.float32) @ planes > 0
+    return np.packbits(sides, axis=1).view(np.int64)
+
+
+def picked(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Some bits of sketches as one number."""
+    code = np.zeros(len(words), np.int64)
+    for bit in bits.tolist():
+        code = code << 1 | words[:, bit // 64] >> bit % 64 & 1
+    return code
+
+
+def forest(spaces: np.ndarray, words: np.ndarray, n_tables: int, cosine: float = COSINE, seed: int = 1) -> np.ndarray:
+    """For each sketch the first one of its group: sketches of a space that agree in all
+    bits of a table and differ in ``allowed`` places at most are of one group. So many
+    tables, or as many as ``MISS`` takes if 0."""
+    n, most, most_of_word = len(spaces), allowed(cosine), allowed(cosine, 64)
+    root, place = np.arange(n), np.unique(spaces, return_inverse=True)[1].astype(np.int64)
+    bits = int(np.clip(math.log2(max(np.bincount(place).max(), 1)) - 2, 2, TABLE_BITS))
+    rng, room = np.random.default_rng(seed), n.bit_length()
+    sides = words.view(np.uint64)  # bits of signed words would be counted without sign
+    word = sides[:, 0].copy()
+    for _ in range(n_tables or tables(cosine, bits)):
+        code = np.sort((place << bits | picked(words, rng.choice(BITS, bits, replace=False))) << room | np.arange(n))
+        order, code = code & (1 << room) - 1, code >> room
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        length = np.diff(np.append(starts, n))
+        run, end = np.repeat(np.arange(len(starts)), length), np.repeat(starts + length, length)
+        for at in np.flatnonzero(length > LONG_RUN).tolist():
+            own = order[starts[at] : starts[at] + length[at]]
+            root = _united(root, own[1:], own[:-1])
+        w, step, look = word[order], 1, 2
+        live = np.flatnonzero((np.arange(n) + 1 < end) & (length[run] <= LONG_RUN))
+        while len(live):  # each with the one that stands so many steps behind it
+            pair = live[np.bitwise_count(w[live] ^ w[live + step]) <= most_of_word]  # few that are not near
+            a, b = order[pair], order[pair + step]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            near = np.bitwise_count(sides[a] ^ sides[b]).sum(1, dtype=np.int64) <= most
+            if near.any():
+                root = _united(root, a[near], b[near])
+            step += 1
+            live = live[live + step < end[live]]
+            if step == look and len(live):  # what is one group already is done
+                look *= 2
+                at = root[order]
+                one = np.minimum.reduceat(at, starts) == np.maximum.reduceat(at, starts)
+                live = live[~one[run[live]]]
+    return root
+
+
+def _sketched(rows: DataFrame) -> DataFrame:
+    """``rows`` with sketches instead of vectors."""
+    names = [c for c in rows.columns if c != "v"]
+
+    def run(batches):
+        for batch in batches:
+            v, words = batch.column(0), np.zeros((batch.num_rows, len(WORDS)), np.int64)
+            size, flat = pc.list_value_length(v).to_numpy(), v.flatten().to_numpy()
+            starts = np.cumsum(size) - size
+            for dim in np.unique(size).tolist():
+                own = np.flatnonzero(size == dim)
+                part = max(1, (1 << 21) // dim)
+                for some in (own[i : i + part] for i in range(0, len(own), part)):
+                    words[some] = sketches(flat[starts[some][:, None] + np.arange(dim)].astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(w) for w in words.T.copy())], [*names, *WORDS])
+
+    into = rows.select("v", *names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in into.schema.fields[1:])
+    return into.mapInArrow(run, f"{schema}, " + ", ".join(f"{w} long" for w in WORDS))
+
+
+def _near(nodes: DataFrame, cosine: float) -> DataFrame:
+    """(node, root) of a forest of the groups of ``nodes`` (node, space, sketch)."""
+    spark = nodes.sparkSession
+    sizes = written(nodes.groupBy("space").count())
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    alone = {r.space: r["count"] for r in sizes.where(F.col("count") > min(CHUNK, SKETCHES)).collect()}  # few, as each has many nodes
+    shared = max(1, round(total / SKETCHES * 2), min(64, total // 1024))  # tasks of the other spaces
+    bits = {k: math.ceil(math.log2(n / SKETCHES)) for k, n in alone.items() if n > SKETCHES}
+
+    def dealt(chunks: dict, only: bool = False):
+        """A function that deals sketches to tasks; only: those of spaces in ``bits``, by themselves."""
+        held = spark.sparkContext.broadcast((dict(bits), alone, chunks))
+
+        def run(batches):
+            bits, alone, chunks = held.value
+            for batch in batches:
+                space, node = (batch.column(k).to_numpy() for k in (0, 1))
+                words = np.stack([batch.column(2 + k).to_numpy() for k in range(len(WORDS))], 1)
+                kept = []  # row, bucket, chunks i and j, tables
+                for key in np.unique(space).tolist() if bits else ():
+                    if key not in bits:
+                        continue
+                    own = np.flatnonzero(space == key)
+                    rng = np.random.default_rng(abs(key))
+                    for deal in range(deals(cosine, bits[key])):
+                        code = picked(words[own], rng.choice(BITS, bits[key], replace=False))
+                        bucket = (key & ~0xFFFFFF) + (deal << DEAL_BITS) + code
+                        parts = np.array([chunks.get(b, 1) for b in bucket.tolist()]) if chunks else np.ones(len(own), np.int64)
+                        c = (node[own].astype(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
+                        row = np.repeat(np.arange(len(own)), parts)
+                        other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                        kept.append((own[row], bucket[row], np.minimum(c[row], other), np.maximum(c[row], other), np.full(len(row), DEAL_TABLES)))
+                if not only:
+                    own = np.flatnonzero(~np.isin(space, np.array([*bits], np.int64)))
+                    by_itself = np.isin(space[own], np.array([*alone], np.int64))
+                    kept.append((own, np.where(by_itself, space[own], space[own] % shared), *np.zeros((3, len(own)), np.int64)))
+                if kept:
+                    row, *places = (np.concatenate(x) for x in zip(*kept, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)) for p in (*places, space[row], node[row], *words[row].T)], ["bucket", "i", "j", "tables", "space", "node", *WORDS])
+
+        return nodes.select("space", "node", *WORDS).mapInArrow(run, "bucket long, i long, j long, tables long, space long, node long, " + ", ".join(f"{w} long" for w in WORDS))
+
+    chunks: dict = {}
+    while bits:  # more bits where some leave too many together
+        large = dealt({}, only=True).groupBy("space", "bucket").count().where(F.col("count") > 2 * SKETCHES).collect()  # few, as each has many sketches
+        most_of = {}
+        for r in large:
+            most_of[r.space] = max(r["count"], most_of.get(r.space, 0))
+        more = {k: min(DEAL_BITS, bits[k] + math.ceil(math.log2(n / SKETCHES))) for k, n in most_of.items() if bits[k] < DEAL_BITS}
+        if not more:
+            chunks = {r.bucket: -(-r["count"] // SKETCHES) for r in large}
+            break
+        bits |= more
+
+    def find(block: pd.DataFrame) -> pd.DataFrame:
+        node = block.node.to_numpy()
+        root = forest(block.space.to_numpy(), np.ascontiguousarray(block[WORDS].to_numpy()), int(block.tables.iloc[0]), cosine, abs(int(block.bucket.iloc[0])))
+        some = root != np.arange(len(root))
+        return pd.DataFrame({"node": node[some], "root": node[root[some]]})
+
+    return dealt(chunks).groupBy("bucket", "i", "j", "tables").applyInPandas(find, "node long, root long")
+
+
 def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Components after further links: for each row the least row of its own."""
     while True:
@@ -324,15 +525,25 @@ def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(node, root, others) for the rows (node, label, v, n) of each task in which a
-    node has links: root is a node of the same component, others the rows (sums of
-    n) that it links with and that count in this task."""
+def _links(x: np.ndarray, n: np.ndarray, edges: list[np.ndarray], cosine: float, first=None) -> tuple[np.ndarray, np.ndarray]:
+    """For each node its component and the rows (sums of n) that it links with."""
+    others, root = np.zeros(len(x), np.int64), np.arange(len(x))
+    for a, b in range_search(x, np.linalg.norm(x, axis=1), edges, cosine):
+        if first:
+            counts = first(a, b)
+            a, b = a[counts], b[counts]
+        others += np.bincount(a, n[b], len(x)).astype(np.int64) + np.bincount(b, n[a], len(x)).astype(np.int64)
+        root = _united(root, a, b)
+    return root, others
+
+
+def _linked_large(nodes: DataFrame, cosine: float) -> DataFrame:
+    """``linked`` for groups that no task holds."""
     tasks = written(_tasks(nodes, cosine))
 
     def build(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("node", ignore_index=True)
-        x = np.stack(block.v.to_numpy())
+        x = np.stack(block.v.to_numpy()).astype(np.float64)
         ids = block.node.to_numpy()
         edges = robust_graph(x / np.linalg.norm(x, axis=1)[:, None])
         return pd.DataFrame({"node": ids, "near": [ids[e] for e in edges]})
@@ -343,28 +554,74 @@ def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     def find(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("node", ignore_index=True)
-        x, ids, n = np.stack(block.v.to_numpy()), block.node.to_numpy(), block.n.to_numpy()
+        x, ids, n = np.stack(block.v.to_numpy()).astype(np.float64), block.node.to_numpy(), block.n.to_numpy()
         edges = []
         for near in block.near:
             near = np.asarray(near)
             at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
             edges.append(at[ids[at] == near])
-        first, others, root = _First(block), np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for a, b in range_search(x, np.linalg.norm(x, axis=1), edges, cosine):
-            counts = first(a, b)
-            a, b = a[counts], b[counts]
-            others += np.bincount(a, n[b], len(ids)).astype(np.int64) + np.bincount(b, n[a], len(ids)).astype(np.int64)
-            root = _united(root, a, b)
+        root, others = _links(x, n, edges, cosine, _First(block))
         some = others > 0
         return pd.DataFrame({"node": ids[some], "root": ids[root[some]], "others": others[some]})
 
-    return tasks.join(graph, "node").groupBy("shard", "i", "j").applyInPandas(find, "node long, root long, others long")
+    return tasks.join(graph, "node").groupBy("shard", "i", "j").applyInPandas(find, FOUND)
+
+
+def _linked(rows: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
+    """``linked`` for ``nodes`` (node, space, n, sketch); ``rows`` (node, v) has their
+    vectors, each once or more."""
+    if cosine < LEAST_SKETCHED:
+        groups = nodes.select("node", F.col("space").alias("component"))
+    else:
+        groups = connected_components(written(_near(nodes, cosine)), "node", "root").withColumnRenamed("id", "node")
+    groups = written(groups)
+    few = groups.count() < FEW
+    groups = written(nodes.select("node", "space", "n").join(F.broadcast(groups) if few else groups, "node"))
+    # a group of over SHARD_ROWS nodes is a shard or, beyond CHUNK, several; the others of a space share shards
+    own = written(groups.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > min(SHARD_ROWS, CHUNK)))
+    groups = groups.join(F.broadcast(own), "component", "left")
+    shards = written(groups.where("size is null").groupBy("space").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("shards")).where("shards > 1"))
+    shard = F.when(F.col("size").isNotNull(), F.xxhash64("space", "component")).otherwise(F.xxhash64("space", F.pmod(F.xxhash64("component"), F.coalesce("shards", F.lit(1)))))
+    placed = groups.join(F.broadcast(shards), "space", "left").select("node", "space", "n", shard.alias("shard"), F.coalesce(F.col("size") > CHUNK, F.lit(False)).alias("large"))
+    once = lambda df, *more: df.groupBy("node", *more).agg(F.first("v").alias("v"))
+    if few:
+        vectors = once(rows.join(F.broadcast(placed), "node").select("node", "space", "n", "shard", "large", "v"), "space", "n", "shard", "large")
+    else:
+        vectors = once(rows.select("node", "v")).join(placed, "node")
+
+    def find(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("node", ignore_index=True)
+        x, ids, n = np.stack(block.v.to_numpy()).astype(np.float64), block.node.to_numpy(), block.n.to_numpy()
+        root, others = _links(x, n, robust_graph(x / np.linalg.norm(x, axis=1)[:, None]), cosine)
+        some = others > 0
+        return pd.DataFrame({"node": ids[some], "root": ids[root[some]], "others": others[some]})
+
+    large = own.where(F.col("size") > CHUNK).count() > 0
+    if large:
+        vectors = written(vectors)
+    found = vectors.where(~F.col("large")).groupBy("shard").applyInPandas(find, FOUND)
+    if large:
+        found = found.unionByName(_linked_large(vectors.where("large").select("node", F.col("space").alias("label"), "v", "n"), cosine))
+    return found
+
+
+def linked(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(node, root, others) for the rows (node, label, v, n) of each task in which a
+    node has links: root is a node of the same component, others the rows (sums of
+    n) that it links with and that count in this task."""
+    return _linked(nodes.select("node", "v"), written(_sketched(nodes.select("node", _space(), "n", "v"))), cosine)
+
+
+def _space():
+    """Vectors of different spaces never link."""
+    return F.xxhash64("label", F.size("v")).alias("space")
 
 
 def graph_nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(vec_id, node, label, v) of the rows that can link."""
+    """(vec_id, node, label, v) of the rows that can link; v keeps single precision."""
+    kind = "array<float>" if dict(vectors.dtypes).get(vector_col) == "array<float>" else "array<double>"
     fine = usable(vectors.where(F.col(label_col).isNotNull()).select(F.struct(id_col, F.col(label_col).alias("label")).alias("_r"), F.col(vector_col)), "_r", vector_col)
-    return fine.select(F.col(f"vec_id.{id_col}").alias("vec_id"), F.col("vec_id.label").alias("label"), "v").withColumn("node", F.xxhash64("label", "v"))
+    return fine.select(F.col(f"vec_id.{id_col}").alias("vec_id"), F.col("vec_id.label").alias("label"), "v", F.xxhash64("vec_id.label", "v").alias("node")).withColumn("v", F.col("v").cast(kind))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -378,19 +635,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     component_id if another has an id, and is kept only if none has. An empty table
     gives no rows. Other columns are not read.
     """
-    rows = written(graph_nodes(vectors, id_col, vector_col, label_col).select("vec_id", "label", "node", "v"))
-    nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
-    nodes = written(nodes)
-    found = written(linked(nodes.select("node", "label", "v", "n"), cosine))
+    rows = graph_nodes(vectors, id_col, vector_col, label_col)  # read where they are needed, as written vectors take much more room than sketches
+    firsts = [F.first(c).alias(c) for c in ("space", *WORDS)]
+    nodes = written(_sketched(rows.select("node", "vec_id", _space(), "v")).groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), *firsts))
+    found = written(_linked(rows.select("node", "v"), nodes, cosine))
     others = found.groupBy("node").agg(F.sum("others").alias("others"))
     parts = written(connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node"))
-    placed = written(nodes.select("node", "first_id", "n").join(others, "node", "left").join(parts, "node", "left"))
+    placed = written(nodes.select("node", "first_id", "n").join(others, "node", "left").join(parts, "node", "left").where("n > 1 or others is not null"))
     # written before the join, so that one large component is no single task
     first = written(placed.where("component is not null").groupBy("component").agg(F.min("first_id").alias("component_id")))
     placed = placed.join(first, "component", "left").select(
-        "node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")
+        "node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.lit(True).alias("some")
     )
-    out = rows.select("vec_id", "node").join(written(placed), "node").select("vec_id", "n_links", "component_id")
+    # a row that is not placed is the only one of its vector and without links
+    out = rows.select("vec_id", "node").join(written(placed), "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("some"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     ids = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     apart = ids.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -401,6 +659,7 @@ def audit(nodes: DataFrame, found: DataFrame, queries: int = 200, cosine: float
     """Share of the true links of at most so many nodes (node, label, v, n) that
     ``found``, the result of ``linked``, counts; by brute force over the nodes of
     their labels. None if they have no link."""
+    nodes = nodes.withColumn("v", F.col("v").cast("array<double>"))
     asked = F.broadcast(nodes.orderBy(F.xxhash64("node")).limit(queries).select(F.col("node").alias("q"), "label", F.col("v").alias("w")))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     near = dot("v", "w") / F.sqrt(dot("v", "v") * dot("w", "w"))

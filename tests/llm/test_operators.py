@@ -7,6 +7,7 @@ import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuslathe.llm import ann, embedding_dedup, html, minhash, mixing, packing, quality, secrets, sharding, toxicity
-from corpuslathe.llm.common import connected_components
+from corpuslathe.llm.common import connected_components, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -398,6 +399,65 @@ def test_embedding_levels(spark, monkeypatch):
     assert n.sum() > 10_000 and all(got[i] <= n[i] for i in got) and sum(got.values()) >= 0.99 * n.sum()
 
 
+def test_embedding_room(spark):
+    """Vectors that link with nothing leave sketches behind, not copies of themselves; links at the very cosine are found."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = rng.standard_normal((200, 64))
+    off -= (off * x[:200]).sum(1)[:, None] * x[:200]
+    x[1000:1200] = 0.9801 * x[:200] + np.sqrt(1 - 0.9801**2) * off / np.linalg.norm(off, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), i % 1000 % 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    folder = Path(re.sub("^file:", "", shared_dir(spark)))
+    used = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = used()
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    assert used() - before < 0.5 * 4 * x.size
+    assert len(got) == len(x) and all(got[i].component_id == got[i + 1000].component_id == i and got[i].n_links == got[i + 1000].n_links == 1 for i in range(200))
+    assert sum(r.n_links for r in got.values()) == 400
+
+
+def test_embedding_deals(spark, monkeypatch):
+    """Sketches dealt by bits, in chunks where bits do not divide them, and groups too large for a task find the links of brute force."""
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((6000, 32))
+    x[2000:4000] = x[2000] + 0.6 * rng.standard_normal((2000, 32))  # a cone that few planes cut
+    x[4000:4500] = x[4000] + 0.1 * rng.standard_normal((500, 32))
+    for at in range(100, 1900, 2):
+        x[at + 1] = x[at] + rng.choice([0.1, 0.15, 0.18, 0.25]) * rng.standard_normal(32)
+    df = spark.createDataFrame([(i, v.tolist(), 0 if i < 5000 else i % 7) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for name, value in (("SKETCHES", 400), ("DEAL_BITS", 4), ("CHUNK", 300), ("SHARD_ROWS", 150)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    label = np.where(np.arange(6000) < 5000, 0, np.arange(6000) % 7)
+    a, b = np.nonzero(np.triu((u @ u.T >= 0.98) & (label[:, None] == label), 1))
+    n, g = np.bincount(np.concatenate([a, b]), minlength=len(x)), groups(len(x), zip(a.tolist(), b.tolist(), strict=True))
+    assert n.sum() > 10_000 and all(got[i].n_links <= n[i] for i in got) and sum(r.n_links for r in got.values()) >= 0.99 * n.sum()
+    assert all(got[i].component_id == g[i] for i in range(2000))
+
+
+def test_sketches():
+    """Pairs at the cosine are one group by their sketches, in one task and by deals; vectors at random are none."""
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    off = rng.standard_normal((4000, 64))
+    off -= (off * x[:4000]).sum(1)[:, None] * x[:4000]
+    x[4000:8000] = 0.98 * x[:4000] + np.sqrt(1 - 0.98**2) * off / np.linalg.norm(off, axis=1)[:, None]
+    words, space = embedding_dedup.sketches(x), np.zeros(len(x), np.int64)
+    root = embedding_dedup.forest(space, words, 0)
+    assert (root[4000:8000] == np.arange(4000)).all() and (root[8000:] == np.arange(8000, 12_000)).all()
+    space[4000:8000] = 1
+    assert (embedding_dedup.forest(space, words, 0) == np.arange(len(x))).all()
+    met = np.zeros(4000, bool)
+    for _ in range(embedding_dedup.deals(0.98, 4)):
+        deal = embedding_dedup.picked(words, rng.choice(embedding_dedup.BITS, 4, replace=False))
+        root = embedding_dedup.forest(deal, words, embedding_dedup.DEAL_TABLES, seed=int(rng.integers(1 << 30)))
+        met |= root[4000:8000] == np.arange(4000)
+    assert met.all()
+
+
 PAGES = {
     '<html><head><title>t</title><style>p{}</style></head><body><nav><a>m</a></nav><div class="ad">buy</div><article><h1>T &amp; t</h1><p>one\n two<p>three<br>four</article><footer>f</footer>': "T & t\none two\nthree four",
     '<main><p>m</p><form>f</form><div class="cookie-notice">c</div><aside>s</aside></main><p>out</p>': "m",
